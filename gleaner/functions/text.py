@@ -6,8 +6,8 @@ from pyspark.sql import Column, functions as F
 
 # Unicode white space as whitespace-splitting treats it, and the CJK blocks
 # that are indexed as 1- and 2-grams.
-WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\xA0  -     　]+"
-CJK = r"぀-ヿ㐀-䶿一-鿿豈-﫿가-힯"
+WHITESPACE = r"[\s\x0B\x1C-\x1F\x85\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+"
+CJK = r"\u3040-\u30FF\u3400-\u4DBF\u4E00-\u9FFF\uF900-\uFAFF\uAC00-\uD7AF"
 
 URL_PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
 
@@ -53,7 +53,7 @@ def clip_bytes(text: Column, max_bytes: int) -> Column:
     """Cut to ``max_bytes`` UTF-8 bytes; a character split by the cut is dropped."""
     cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, max_bytes), "UTF-8")
     # a partial last character decodes to replacement characters
-    return F.when(F.octet_length(text) > max_bytes, F.regexp_replace(cut, "�+$", "")).otherwise(text)
+    return F.when(F.octet_length(text) > max_bytes, F.regexp_replace(cut, "\uFFFD+$", "")).otherwise(text)
 
 
 def scrub_html(html: Column, max_bytes: int = 5_242_880) -> Column:
@@ -108,9 +108,9 @@ def strip_tags(html: Column) -> Column:
 
 # The character references that occur in running text.
 ENTITIES = {
-    "&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
-    "&copy;": "©", "&reg;": "®", "&middot;": "·", "&hellip;": "…",
-    "&mdash;": "—", "&ndash;": "–", "&laquo;": "«", "&raquo;": "»",
+    "&nbsp;": "\u00A0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
+    "&copy;": "\u00A9", "&reg;": "\u00AE", "&middot;": "\u00B7", "&hellip;": "\u2026",
+    "&mdash;": "\u2014", "&ndash;": "\u2013", "&laquo;": "\u00AB", "&raquo;": "\u00BB",
     "&amp;": "&",
 }
 
@@ -132,5 +132,5 @@ def escape(text: Column) -> Column:
 
 def sentences(text: Column) -> Column:
     """Sentences of a text: split after closing punctuation or at line ends, blanks dropped."""
-    marked = F.regexp_replace(text, "([.!?。！？])[ \\n]+", "$1\n")
+    marked = F.regexp_replace(text, "([.!?\u3002\uFF01\uFF1F])[ \\n]+", "$1\n")
     return F.filter(F.transform(F.split(marked, "\n+"), lambda s: squash(s)), lambda s: s != "")
