@@ -127,7 +127,8 @@ def contains_any(hay: DataFrame, hay_id: str, text: str, needles: DataFrame, nee
         if not rows:
             kinds = dict(few.dtypes)
             return hay.limit(0).select(hay_id, *[F.lit(None).cast(kinds[c]).alias(c) for c in (needle_id, needle)])
-        listed = F.array(*[F.struct(F.lit(r[0]).alias(needle_id), F.lit(r[1]).alias(needle)) for r in rows])
+        kind = dict(few.dtypes)[needle_id]
+        listed = F.array(*[F.struct(F.lit(r[0]).cast(kind).alias(needle_id), F.lit(r[1]).alias(needle)) for r in rows])
         hits = F.filter(listed, lambda e: F.contains(F.col(text), e[needle]))
         return hay.select(hay_id, F.inline(hits))
     keyed = few.withColumn("gram", F.substring(needle, 1, 3))

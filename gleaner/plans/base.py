@@ -149,3 +149,78 @@ def fetch_log(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     return e.select(F.col("user_id").alias("feed_id"), F.col("event_id").alias("seq"),
                     F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") != "error").alias("ok"))
+
+
+def article_topics(spark: SparkSession, sf: str, arts: DataFrame | None = None) -> DataFrame:
+    from ..operators.topics import match_keywords
+
+    return match_keywords(arts if arts is not None else articles(spark, sf), topics(spark))
+
+
+def mentions(spark: SparkSession, sf: str, arts: DataFrame | None = None) -> DataFrame:
+    from ..operators.entities import extract_entities
+
+    return extract_entities(arts if arts is not None else articles(spark, sf), gazetteer(spark))
+
+
+def entities(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
+    """Entities folded from the mentions; the surfaces are their aliases."""
+    from ..operators.entities import fold_entities
+
+    seen = _article_meta(spark, sf).select("article_id", F.col("fetched_at").alias("seen"))
+    rows = (found if found is not None else mentions(spark, sf)).join(seen, "article_id").select(
+        "article_id", "name", "type", F.array("surface").alias("aliases"),
+        F.concat("name", F.lit(" is a "), "type").alias("description"), "confidence", "seen")
+    return fold_entities(rows)
+
+
+def article_entities(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
+    from ..operators.entities import link_entities
+
+    return link_entities(found if found is not None else mentions(spark, sf))
+
+
+def relations(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
+    from ..operators.entities import co_mentions, fold_relations, resolve_relations
+
+    found = found if found is not None else mentions(spark, sf)
+    seen = _article_meta(spark, sf).select("article_id", F.col("fetched_at").alias("seen"))
+    return fold_relations(resolve_relations(co_mentions(found), found), seen)
+
+
+def summaries(spark: SparkSession, sf: str, arts: DataFrame | None = None) -> DataFrame:
+    """Leading sentences as summary and key points; articles in error have none."""
+    from ..functions.text import sentences
+
+    rows = (arts if arts is not None else raw_articles(spark, sf)).where("status <> 'error'").select(
+        "article_id", sentences(F.col("content_text")).alias("l")).where(F.size("l") > 0)
+    return rows.select("article_id", F.element_at("l", 1).alias("summary_text"), F.slice("l", 2, 3).alias("key_points"))
+
+
+def translations(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("article_id"), F.col("turn").alias("seq"), F.col("role").alias("translated_title"),
+        F.col("text").alias("translated_content"))
+
+
+def states(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.attempts import current_state
+
+    return current_state(attempts(spark, sf))
+
+
+def index(spark: SparkSession, sf: str) -> DataFrame:
+    """Index of the live articles."""
+    from ..operators.index import build_index
+
+    return build_index(articles(spark, sf).where("dedupe_of is null"))
+
+
+def article_wiki(spark: SparkSession, sf: str) -> DataFrame:
+    """Article pages without their related lists, enough for the searches over pages."""
+    from ..operators.pages import article_pages
+
+    arts = articles(spark, sf)
+    none = arts.where("false").select("article_id", F.col("article_id").alias("related_id"), F.lit("").alias("src"),
+                                      F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
+    return article_pages(arts, summaries(spark, sf, arts), none)
