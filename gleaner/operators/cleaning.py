@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import (
     canonical_url, content_hash, scrub_html, squash, strip_tags, tokens, unescape, url_hash, url_host, word_count)
+from ..session import small_side
 
 # Elements that never hold article text.
 NOISE_TAGS = ["nav", "header", "footer", "aside", "form", "noscript", "template", "svg"]
@@ -133,7 +134,7 @@ def classify_hosts(df: DataFrame, url: str, allowed: DataFrame) -> DataFrame:
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     ok = (
         hosts.select("host").distinct().select("host", F.explode(suffixes).alias("suffix"))
-        .join(allowed.select(F.lower("host").alias("suffix")), "suffix", "left_semi").select("host", F.lit(True).alias("ok")).distinct()
+        .join(small_side(allowed.select(F.lower("host").alias("suffix"))), "suffix", "left_semi").select("host", F.lit(True).alias("ok")).distinct()
     )
     return hosts.join(ok, "host", "left").withColumn("host_class", F.when(is_private_host(F.col("host")), "private").when(
         F.col("ok"), "allowed").otherwise("blocked")).drop("ok")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import sentences, tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 
 
 def entity_id(kind: Column, name: Column) -> Column:
@@ -19,18 +19,19 @@ def extract_entities(articles: DataFrame, gazetteer: DataFrame, max_words: int =
     ``gazetteer`` has alias (blank-separated lower-case tokens), name, type. Sentences are cut into word
     n-grams that meet the aliases in an equi-join. A surface equal to the name is more certain than an alias.
     """
-    toks = F.col("toks")
-    starts = F.sequence(F.lit(1), F.size(toks))
-    gram = lambda i, n: F.struct(i.alias("pos"), F.array_join(F.slice(toks, i, n), " ").alias("alias"))
-    grams = F.flatten(F.transform(starts, lambda i: F.filter(
-        F.array(*[gram(i, n) for n in range(1, max_words + 1)]),
-        lambda g: (g["pos"] >= 1) & (F.size(F.split(g["alias"], " ")) <= F.size(toks) - g["pos"] + 1))))
+    shifted = [F.col("toks"), *[F.slice("toks", n, F.size("toks")) for n in range(2, max_words + 1)]]
+    names = [f"t{n}" for n in range(1, max_words + 1)]
+    # every prefix of the words that start at a position; null once it would run past the end
+    grams = F.array(*[F.concat(*[x for m in range(n) for x in ([F.lit(" ")] if m else []) + [F.col(names[m])]])
+                      for n in range(1, max_words + 1)])
     return (
         articles.select("article_id", F.posexplode(sentences(F.col("content_text"))).alias("sentence", "s"))
-        .select("article_id", "sentence", tokens(F.col("s")).alias("toks")).where(F.size("toks") > 0)
-        .select("article_id", "sentence", F.inline(F.array_distinct(grams)))
-        .join(gazetteer, "alias")
-        .select("article_id", F.col("sentence").cast("long"), F.col("pos").cast("long"), "name", "type",
+        .select("article_id", "sentence", tokens(F.col("s")).alias("toks"))
+        .select("article_id", "sentence", F.posexplode(F.arrays_zip(*[c.alias(n) for c, n in zip(shifted, names)])).alias("pos", "z"))
+        .select("article_id", "sentence", "pos", "z.*")
+        .select("article_id", "sentence", "pos", F.explode(grams).alias("alias")).where(F.col("alias").isNotNull())
+        .join(small_side(gazetteer), "alias")
+        .select("article_id", F.col("sentence").cast("long"), (F.col("pos") + 1).cast("long").alias("pos"), "name", "type",
                 F.col("alias").alias("surface"),
                 F.when(F.col("alias") == F.lower("name"), 0.9).otherwise(0.7).alias("confidence"))
     )

@@ -40,7 +40,9 @@ def lit(v) -> str:
         return "NULL"
     if isinstance(v, bool):
         return str(v)
-    if isinstance(v, (int, float)):
+    if isinstance(v, int):
+        return f"{v}::BIGINT"
+    if isinstance(v, float):
         return str(v)
     if isinstance(v, (list, tuple)):
         return "[" + ", ".join(lit(x) for x in v) + "]"

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # Settings that pay off at any size; sizing knobs are left to the cluster.
 DEFAULTS = {
@@ -62,3 +62,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 def at_most(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; reads no more than it needs to decide."""
     return df.limit(rows + 1).count() <= rows
+
+
+# Registries (topics, aliases, feeds, allow-lists) up to this many rows are broadcast.
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint for a side counted to be small; a larger one is left to the shuffle joins."""
+    return F.broadcast(df) if at_most(df, rows) else df
