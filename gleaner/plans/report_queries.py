@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import attempts as at, listings as ls, reports as rp, tables as tb
-from ..session import cut_lineage
+from ..operators.ranking import top_per_group
 from ..sources import payloads as src, sinks
 from . import base, oracle as O
 from .registry import query, ts
@@ -68,10 +68,11 @@ def src_api_json(spark, sf):
 SELECT feed_id, pos, id, body FROM (SELECT user_id AS feed_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS pos FROM events)
 JOIN (SELECT doc_id AS id, n_chars AS body FROM documents) USING (id) WHERE pos < 50""")
 def src_detail_join(spark, sf):
-    """Id lists per user; documents are the details, ids without one are skipped."""
-    ids = base.table(spark, sf, "events").groupBy(F.col("user_id").alias("feed_id")).agg(F.sort_array(F.collect_list("event_id")).alias("ids"))
+    """Ids per user in order; documents are the details, ids without one are skipped."""
+    events = base.table(spark, sf, "events").select(F.col("user_id").alias("feed_id"), F.col("event_id").alias("id"))
+    ids = top_per_group(events, ["feed_id"], [F.col("id")], 60).withColumn("pos", F.col("rank") - 1)
     details = base.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("body"))
-    return src.api_details(ids, details).select("feed_id", F.col("pos").cast("long"), "id", "body")
+    return src.api_details(ids, details).select("feed_id", "pos", "id", "body")
 
 
 @query("src_skip_unchanged", """

@@ -103,10 +103,14 @@ def read_api(spark: SparkSession, path: str, mapper: Mapping[str, str | Sequence
     return map_items(explode_items(spark.read.text(path, wholetext=True), "value", items_path), "doc", mapper)
 
 
-def api_details(ids: DataFrame, details: DataFrame, max_items: int = 50, key: str = "feed_id") -> DataFrame:
-    """First ``max_items`` ids of every list ``(key, ids array)`` joined to ``details (id, ...)``; missing ones are skipped."""
-    wanted = ids.select(key, F.posexplode(F.slice("ids", 1, max_items)).alias("pos", "id"))
-    return wanted.join(details, "id")
+def explode_ids(payloads: DataFrame, ids: str = "ids", key: str = "feed_id") -> DataFrame:
+    """Id lists of responses as rows ``(key, pos, id)``."""
+    return payloads.select(key, F.posexplode(ids).alias("pos", "id"))
+
+
+def api_details(ids: DataFrame, details: DataFrame, max_items: int = 50) -> DataFrame:
+    """First ``max_items`` ids ``(key, pos, id)`` of every list with their ``details (id, ...)``; missing ones are skipped."""
+    return ids.where(F.col("pos") < max_items).join(details, "id")
 
 
 def skip_unchanged(payloads: DataFrame, seen: DataFrame, url: str = "url", body: str = "body", order: str = "seq") -> DataFrame:
