@@ -22,7 +22,12 @@ def squash(text: Column) -> Column:
 
 
 def content_hash(text: Column) -> Column:
-    return F.sha2(squash(F.coalesce(text, F.lit(""))), 256)
+    return never_null(F.sha2(squash(F.coalesce(text, F.lit(""))), 256))
+
+
+def never_null(key: Column) -> Column:
+    """Tells the optimizer a key has no nulls: joins on it then add no filter that computes it twice."""
+    return F.coalesce(key, F.lit(""))
 
 
 def url_part(url: Column, group: int) -> Column:
@@ -43,7 +48,7 @@ def canonical_url(url: Column) -> Column:
 
 
 def url_hash(url: Column) -> Column:
-    return F.sha2(canonical_url(url), 256)
+    return never_null(F.sha2(canonical_url(url), 256))
 
 
 def url_host(url: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import sentences, squash, tokens
+from ..session import cut_lineage, small_side
 from .ranking import top_per_group
 
 UNKNOWN = "unknown"
@@ -22,7 +23,8 @@ def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", s
     counts = docs.select(lang, F.explode(tokens(F.col(text))).alias("token")).groupBy(lang, "token").agg(F.count("*").alias("n"))
     totals = counts.groupBy(lang).agg(F.sum("n").alias("total"))
     best = top_per_group(counts, [lang], [F.col("n").desc(), F.col("token")], size)
-    return best.join(totals, lang).select(F.col(lang).alias("lang"), "token", F.ln(F.col("n") / F.col("total")).alias("w"))
+    profile = best.join(totals, lang).select(F.col(lang).alias("lang"), "token", F.ln(F.col("n") / F.col("total")).alias("w"))
+    return cut_lineage(profile)  # learned once, looked up many times
 
 
 def detect_language(df: DataFrame, key: str, text: str, profiles: DataFrame, min_chars: int = 10, penalty: float = -12.0) -> DataFrame:
@@ -33,7 +35,7 @@ def detect_language(df: DataFrame, key: str, text: str, profiles: DataFrame, min
     """
     long_enough = F.length(squash(F.coalesce(F.col(text), F.lit("")))) >= min_chars
     words = df.where(long_enough).select(key, F.explode(tokens(F.col(text))).alias("token"))
-    counts = words.join(profiles, "token").groupBy(key, "lang").agg(F.sum(F.col("w") - penalty).alias("gain"))
+    counts = words.join(small_side(profiles), "token").groupBy(key, "lang").agg(F.sum(F.col("w") - penalty).alias("gain"))
     best = counts.groupBy(key).agg(F.min_by("lang", F.struct(-F.round("gain", 6), F.col("lang"))).alias("lang"))
     return df.select(key).join(best, key, "left").select(key, F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
 
@@ -56,25 +58,27 @@ def needs_task(articles: DataFrame, done: DataFrame, task: str, article_topics:
 def summarize(df: DataFrame, key: str, text: str, max_points: int = 5, max_chars: int = 200) -> DataFrame:
     """Extractive summary ``(key, summary_text, key_points, confidence)``.
 
-    Sentences are scored by the mean tf-idf of their distinct tokens over sentences of the whole corpus. The
-    best ``max_points`` become the key points in reading order, the leading ones the summary of at most
+    Sentences are scored by the mean of ``ln(1 + documents / sentences with the token)`` over their distinct
+    tokens. The best ``max_points`` become the key points in reading order, the leading ones the summary of at most
     ``max_chars`` characters; the confidence is the share of the score they carry.
     """
-    cut = df.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence"))
-    words = cut.select(key, "pos", F.explode(F.array_distinct(tokens(F.col("sentence")))).alias("token"))
+    words = df.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence")).select(
+        key, "pos", F.explode(F.array_distinct(tokens(F.col("sentence")))).alias("token"))
     freq = words.groupBy("token").agg(F.count("*").alias("df"))
-    n = cut.agg(F.count("*")).scalar()
+    n = df.agg(F.count("*")).scalar()
     weighed = words.join(freq, "token").withColumn("w", F.ln(1 + n / F.col("df")))
     scores = weighed.groupBy(key, "pos").agg(F.round(F.avg("w"), 6).alias("score"))
-    scored = cut.join(scores, [key, "pos"])
-    total = scored.groupBy(key).agg(F.sum("score").alias("total"))
-    best = top_per_group(scored, [key], [F.col("score").desc(), F.col("pos")], max_points)
-    points = best.groupBy(key).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "sentence"))).alias("p"), F.sum("score").alias("kept"))
-    lines = F.transform("p", lambda e: e["sentence"])
-    return points.join(total, key).select(
-        key, F.substring(F.array_join(lines, " "), 1, max_chars).alias("summary_text"), lines.alias("key_points"),
-        F.round(F.col("kept") / F.col("total"), 6).alias("confidence"))
+    total = scores.groupBy(key).agg(F.sum("score").alias("total"))
+    best = top_per_group(scores, [key], [F.col("score").desc(), F.col("pos")], max_points)
+    points = best.groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("p"), F.sum("score").alias("kept"))
+    # only the positions travel; the sentences are cut again from the text of their document
+    lines = F.transform("p", lambda i: F.element_at(F.col("s"), i + 1))
+    return (
+        df.select(key, sentences(F.col(text)).alias("s")).join(points.join(total, key), key)
+        .withColumn("key_points", lines)
+        .select(key, F.substring(F.array_join("key_points", " "), 1, max_chars).alias("summary_text"), "key_points",
+                F.round(F.col("kept") / F.col("total"), 6).alias("confidence"))
+    )
 
 
 def text_vectors(df: DataFrame, key: str, text: str, dim: int = 1 << 12, model: Callable[[Column], Column] | None = None,

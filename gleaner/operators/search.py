@@ -54,8 +54,7 @@ def keyword_search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     allows; the other terms, phrases and exclusions are checked on the candidate's own row.
     """
     alts = query_alternatives(queries)
-    n = index.agg(F.count("*")).scalar()
-    avgdl = index.agg(F.avg("dl")).scalar()
+    n, avgdl = index.agg(F.count("*")).scalar(), index.agg(F.avg("dl")).scalar()
     every = F.array_append(F.map_keys("terms"), F.lit(""))
     asked = alts.select("query_id", "alt", F.explode("pos").alias("term"))
     df = (
@@ -115,28 +114,27 @@ LITERAL_NEEDLES = 1_000
 
 
 def contains_any(hay: DataFrame, hay_id: str, text: str, needles: DataFrame, needle_id: str, needle: str,
-                 limit: int = LITERAL_NEEDLES) -> DataFrame:
-    """``(needle_id, needle, hay_id)`` for every needle that occurs in the text.
+                 limit: int = LITERAL_NEEDLES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(hay_id, *keep, needle_id, needle)`` for every needle that occurs in the text.
 
     Up to ``limit`` needles become a literal list, tested in one pass without any join. Beyond it both sides
     are keyed by trigrams (shorter needles by themselves), joined on the key and then verified.
     """
     few = needles.select(needle_id, needle)
     if at_most(few, limit):
+        kinds = dict(few.dtypes)
         rows = few.collect()
-        if not rows:
-            kinds = dict(few.dtypes)
-            return hay.limit(0).select(hay_id, *[F.lit(None).cast(kinds[c]).alias(c) for c in (needle_id, needle)])
-        kind = dict(few.dtypes)[needle_id]
-        listed = F.array(*[F.struct(F.lit(r[0]).cast(kind).alias(needle_id), F.lit(r[1]).alias(needle)) for r in rows])
+        listed = F.array(*[
+            F.struct(F.lit(r[0]).cast(kinds[needle_id]).alias(needle_id), F.lit(r[1]).alias(needle)) for r in rows
+        ]).cast(f"array<struct<{needle_id}:{kinds[needle_id]},{needle}:string>>")
         hits = F.filter(listed, lambda e: F.contains(F.col(text), e[needle]))
-        return hay.select(hay_id, F.inline(hits))
+        return hay.select(hay_id, *keep, F.inline(hits))
     keyed = few.withColumn("gram", F.substring(needle, 1, 3))
     grams = F.array_distinct(F.concat(*[
         F.regexp_extract_all(text, F.lit(rf"(?s)(?=({'.' * w}))"), F.lit(1)) for w in (1, 2, 3)]))
     cand = hay.select(hay_id, F.explode(grams).alias("gram")).join(keyed, "gram").drop("gram")
-    return cand.join(hay.select(hay_id, text), hay_id).where(F.contains(text, F.col(needle))).select(
-        hay_id, needle_id, needle)
+    return cand.join(hay.select(hay_id, text, *keep), hay_id).where(F.contains(text, F.col(needle))).select(
+        hay_id, *keep, needle_id, needle)
 
 
 def search(index: DataFrame, queries: DataFrame, vectors: DataFrame | None = None,

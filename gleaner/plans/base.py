@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import content_hash
+from ..session import cut_lineage
 
 # The small registries the example queries run with.
 TOPICS = [
@@ -30,6 +31,11 @@ ALLOWED_HOSTS = ["example.com", "blog.therin.example.net", "therou.example.net",
 PAGE_TOPIC = "Nature"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A table a deployment keeps in storage and a query reads several times: written out once here."""
+    return cut_lineage(df)
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -154,13 +160,14 @@ def fetch_log(spark: SparkSession, sf: str) -> DataFrame:
 def article_topics(spark: SparkSession, sf: str, arts: DataFrame | None = None) -> DataFrame:
     from ..operators.topics import match_keywords
 
-    return match_keywords(arts if arts is not None else articles(spark, sf), topics(spark))
+    return match_keywords(arts if arts is not None else raw_articles(spark, sf), topics(spark))
 
 
 def mentions(spark: SparkSession, sf: str, arts: DataFrame | None = None) -> DataFrame:
     from ..operators.entities import extract_entities
 
-    return extract_entities(arts if arts is not None else articles(spark, sf), gazetteer(spark))
+    rows = arts if arts is not None else raw_articles(spark, sf).select("article_id", "content_text")
+    return stored(extract_entities(rows, gazetteer(spark)))
 
 
 def entities(spark: SparkSession, sf: str, found: DataFrame | None = None) -> DataFrame:
@@ -213,14 +220,14 @@ def index(spark: SparkSession, sf: str) -> DataFrame:
     """Index of the live articles."""
     from ..operators.index import build_index
 
-    return build_index(articles(spark, sf).where("dedupe_of is null"))
+    return stored(build_index(articles(spark, sf).where("dedupe_of is null")))
 
 
 def article_wiki(spark: SparkSession, sf: str) -> DataFrame:
     """Article pages without their related lists, enough for the searches over pages."""
     from ..operators.pages import article_pages
 
-    arts = articles(spark, sf)
+    arts = raw_articles(spark, sf)
     none = arts.where("false").select("article_id", F.col("article_id").alias("related_id"), F.lit("").alias("src"),
                                       F.lit(0.0).alias("score"), F.lit(0).alias("rank"))
     return article_pages(arts, summaries(spark, sf, arts), none)

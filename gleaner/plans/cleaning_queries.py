@@ -195,10 +195,10 @@ WHERE NOT EXISTS (SELECT 1 FROM attempts d WHERE d.article_id = live.article_id
 UNION ALL SELECT article_id, 'topics', content_hash FROM live WHERE article_id NOT IN (SELECT article_id FROM article_topics)
   AND NOT EXISTS (SELECT 1 FROM attempts d WHERE d.article_id = live.article_id AND d.task = 'topics' AND d.outcome = 'succeeded')""")
 def enrich_select(spark, sf):
-    arts = base.articles(spark, sf)
+    arts = base.stored(base.articles(spark, sf))
     done = base.attempts(spark, sf).where("outcome = 'succeeded'").select("article_id", "task").distinct().join(
         arts.select("article_id", "content_hash"), "article_id")
-    tagged = base.article_topics(spark, sf, arts)
+    tagged = base.article_topics(spark, sf)
     out = enrich.needs_task(arts, done, "summarize")
     for task in ("translate", "extract_entities", "topics"):
         out = out.unionByName(enrich.needs_task(arts, done, task, tagged))
@@ -209,7 +209,7 @@ def enrich_select(spark, sf):
 WITH s AS (SELECT doc_id, unnest(range(len(l))) AS pos, unnest(l) AS sentence FROM (SELECT doc_id, {O.sents('text')} AS l FROM documents)),
 w AS (SELECT doc_id, pos, unnest(list_distinct({O.tok('sentence')})) AS token FROM s),
 f AS (SELECT token, count(*) AS df FROM w GROUP BY 1),
-sc AS (SELECT doc_id, pos, round(avg(ln(1 + (SELECT count(*) FROM s) / df)), 6) AS score FROM w JOIN f USING (token) GROUP BY 1, 2),
+sc AS (SELECT doc_id, pos, round(avg(ln(1 + (SELECT count(*) FROM documents) / df)), 6) AS score FROM w JOIN f USING (token) GROUP BY 1, 2),
 r AS (SELECT doc_id, pos, sentence, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank,
       sum(score) OVER (PARTITION BY doc_id) AS total FROM s JOIN sc USING (doc_id, pos))
 SELECT doc_id, substr(string_agg(sentence, ' ' ORDER BY pos), 1, 200) AS summary_text, string_agg(sentence, '|' ORDER BY pos) AS key_points,
@@ -289,8 +289,8 @@ pairs AS (SELECT doc_id AS article_id, winner AS neighbour_id, 1.0::DOUBLE AS si
 def near_inputs(spark, sf):
     from ..operators.index import build_index
 
-    arts = cut_lineage(base.articles(spark, sf))
-    ix = cut_lineage(build_index(arts.where("dedupe_of is null")).drop("token_text"))
+    arts = base.stored(base.articles(spark, sf))
+    ix = base.stored(build_index(arts.where("dedupe_of is null")).drop("token_text"))
     return arts, dedup.near_pairs(ix, arts)
 
 
@@ -313,7 +313,7 @@ SELECT article_id, coalesce(root_id, dedupe_of) AS dedupe_of, CASE WHEN root_id
 FROM articles LEFT JOIN root USING (article_id)""")
 def near_dup_merge(spark, sf):
     arts, pairs = near_inputs(spark, sf)
-    topics = base.article_topics(spark, sf, arts)
+    topics = base.article_topics(spark, sf)
     merged, kept = dedup.merge_losers(arts, cut_lineage(pairs), topics)
     n = kept.groupBy("article_id").agg(F.count("*").alias("n_topics"))
     return merged.join(n, "article_id", "left").select(
@@ -343,7 +343,7 @@ SELECT article_id, CASE WHEN article_id IN (SELECT article_id FROM back) THEN NU
 FROM articles LEFT JOIN taken USING (article_id)""")
 def undedupe(spark, sf):
     arts = base.articles(spark, sf).withColumn("mention_count", F.lit(5).cast("long"))
-    back, kept = dedup.undedupe(arts, base.article_topics(spark, sf, arts), arts.where("status = 'error'").select("article_id"))
+    back, kept = dedup.undedupe(arts, base.article_topics(spark, sf), arts.where("status = 'error'").select("article_id"))
     n = kept.groupBy("article_id").agg(F.count("*").alias("n_topics"))
     return back.join(n, "article_id", "left").select(
         "article_id", "dedupe_of", "status", F.col("mention_count").cast("long"), F.coalesce("n_topics", F.lit(0)).cast("long").alias("n_topics"))

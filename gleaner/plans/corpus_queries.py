@@ -26,14 +26,14 @@ def topic_scores(spark, sf):
     scores = base.table(spark, sf, "labels").select(
         F.col("doc_id").alias("article_id"), (F.col("doc_id") % 5 + 1).alias("topic_id"),
         ((F.col("quality") * 2 + F.col("toxic") + 1) / 4.0).cast("double").alias("score"))
-    return tp.score_topics(arts, scores, base.article_topics(spark, sf, arts))
+    return tp.score_topics(arts, scores, base.article_topics(spark, sf))
 
 
 @query("topic_aggregate", f"""
 SELECT topic_id, article_id, title, score, {O.ts('published_at')} AS published_at, rank FROM best_topic JOIN articles USING (article_id, published_at) WHERE rank <= 20""")
 def topic_aggregate(spark, sf):
     arts = base.articles(spark, sf)
-    return tp.topic_articles(arts, base.article_topics(spark, sf, arts)).select(
+    return tp.topic_articles(arts, base.article_topics(spark, sf)).select(
         "topic_id", "article_id", "title", "score", ts("published_at"), "rank")
 
 
@@ -52,10 +52,10 @@ UNION ALL SELECT article_id, NULL, NULL, NULL, 'uncovered' FROM live WHERE fetch
   AND article_id NOT IN (SELECT article_id FROM fresh) AND article_id NOT IN (SELECT article_id FROM article_topics WHERE topic_id <> 1)""")
 def topic_reclassify(spark, sf):
     """Topic 1 gets other keywords; a one-day window."""
-    arts = base.articles(spark, sf)
+    arts = base.stored(base.articles(spark, sf))
     changed = base.topics(spark).withColumn("keywords", F.when(
         F.col("topic_id") == 1, F.array(*[F.lit(k) for k in NEW_KEYWORDS])).otherwise(F.col("keywords")))
-    rows, uncovered = tp.reclassify(arts, base.article_topics(spark, sf, arts), changed, 1, RECENT, 1)
+    rows, uncovered = tp.reclassify(arts, base.article_topics(spark, sf), changed, 1, RECENT, 1)
     none = F.lit(None)
     return rows.withColumn("part", F.lit("row")).unionByName(uncovered.select(
         "article_id", none.cast("long").alias("topic_id"), none.cast("double").alias("score"), none.cast("string").alias("method"),
@@ -205,9 +205,9 @@ SELECT {NODE} FROM entities WHERE entity_id IN (SELECT entity_id FROM article_en
 ORDER BY mention_count DESC, entity_id LIMIT 300""")
 def graph_topic_filter(spark, sf):
     arts = base.articles(spark, sf)
-    found = base.mentions(spark, sf, arts)
+    found = base.mentions(spark, sf)
     return gr.graph(base.entities(spark, sf, found), base.relations(spark, sf, found), topic_id=4,
-                    article_topics=base.article_topics(spark, sf, arts), article_entities=base.article_entities(spark, sf, found))[0]
+                    article_topics=base.article_topics(spark, sf), article_entities=base.article_entities(spark, sf, found))[0]
 
 
 @query("graph_node_articles", f"""
@@ -215,7 +215,7 @@ SELECT entity_id, article_id, title, {O.ts('fetched_at')} AS fetched_at, row_num
 FROM article_entities JOIN live USING (article_id) QUALIFY rank <= 10""")
 def graph_node_articles(spark, sf):
     arts = base.articles(spark, sf)
-    links = base.article_entities(spark, sf, base.mentions(spark, sf, arts))
+    links = base.article_entities(spark, sf, base.mentions(spark, sf))
     return gr.node_articles(arts, links).select("entity_id", "article_id", "title", ts("fetched_at"), "rank")
 
 
@@ -244,14 +244,16 @@ def slugify(spark, sf):
 
 
 def _related_inputs(spark, sf):
-    arts = base.articles(spark, sf)
-    return arts, base.article_topics(spark, sf, arts), base.article_entities(spark, sf, base.mentions(spark, sf, arts))
+    """The tables around the articles; the bodies are needed only to make them."""
+    arts = base.stored(base.articles(spark, sf).drop("content_text"))
+    tags = base.stored(base.article_topics(spark, sf))
+    return arts, tags, base.stored(base.article_entities(spark, sf, base.mentions(spark, sf)))
 
 
 @query("related_topic", f"SELECT article_id, related_id, score, {O.ts('published_at')} AS published_at, rank FROM rel_topic")
 def related_topic(spark, sf):
-    arts = base.articles(spark, sf)
-    return rel.related_topic(arts, base.article_topics(spark, sf, arts)).select("article_id", "related_id", "score", ts("published_at"), "rank")
+    arts, tags = base.articles(spark, sf), base.stored(base.article_topics(spark, sf))
+    return rel.related_topic(arts, tags).select("article_id", "related_id", "score", ts("published_at"), "rank")
 
 
 @query("related_entity", "SELECT article_id, related_id, shared, score, rank FROM rel_entity")
@@ -275,7 +277,7 @@ WITH r AS (SELECT r.article_id, string_agg(r.related_id || ':' || src || ':' ||
 SELECT page_id, ref_id, wiki.title, slug, content_md, coalesce(r.related, '') AS related FROM wiki LEFT JOIN r ON r.article_id = ref_id""")
 def wiki_article(spark, sf):
     arts, tags, links = _related_inputs(spark, sf)
-    pages = pg.article_pages(arts, base.summaries(spark, sf, arts), rel.related(arts, tags, links))
+    pages = pg.article_pages(arts, base.summaries(spark, sf), rel.related(arts, tags, links))
     item = F.transform("related", lambda e: F.concat_ws(":", e["id"], e["src"], F.round(e["score"] * 1000).cast("long")))
     return pages.select("page_id", "ref_id", "title", "slug", "content_md", F.coalesce(F.array_join(item, ","), F.lit("")).alias("related"))
 
@@ -292,7 +294,7 @@ SELECT entity_id * 4 + 1 AS page_id, entity_id AS ref_id, name AS title, 'entity
 FROM entities LEFT JOIN l USING (entity_id)""")
 def wiki_entity(spark, sf):
     arts = base.articles(spark, sf)
-    found = base.mentions(spark, sf, arts)
+    found = base.mentions(spark, sf)
     pages = pg.entity_pages(base.entities(spark, sf, found), arts, base.article_entities(spark, sf, found))
     return pages.select("page_id", "ref_id", "title", "slug", "content_md")
 
@@ -305,7 +307,7 @@ SELECT topic_id::BIGINT * 4 + 2 AS page_id, topic_id AS ref_id, name AS title, '
 FROM topics LEFT JOIN l USING (topic_id)""")
 def wiki_topic(spark, sf):
     arts = base.articles(spark, sf)
-    pages = pg.topic_pages(base.topics(spark), arts, base.article_topics(spark, sf, arts))
+    pages = pg.topic_pages(base.topics(spark), arts, base.article_topics(spark, sf))
     return pages.select("page_id", "ref_id", "title", "slug", "content_md")
 
 

@@ -136,7 +136,7 @@ WHERE status = 'done' AND article_id IN (SELECT article_id FROM article_topics t
 ORDER BY live.fetched_at DESC, article_id LIMIT 20 OFFSET 20""")
 def article_list(spark, sf):
     arts = base.articles(spark, sf)
-    return ls.list_articles(arts, base.feeds(spark, sf), base.article_topics(spark, sf, arts), base.topics(spark), topic=base.PAGE_TOPIC,
+    return ls.list_articles(arts, base.feeds(spark, sf), base.article_topics(spark, sf), base.topics(spark), topic=base.PAGE_TOPIC,
                             status="done", page=2).select("article_id", "title", "status", "lang", ts("published_at"), "feed_id")
 
 
@@ -159,9 +159,9 @@ FROM articles a LEFT JOIN summaries USING (article_id) LEFT JOIN tr USING (artic
 LEFT JOIN wiki ON ref_id = article_id""")
 def article_detail(spark, sf):
     arts = base.articles(spark, sf)
-    found = base.mentions(spark, sf, arts)
-    full = ls.details(arts, base.summaries(spark, sf, arts), base.translations(spark, sf), base.entities(spark, sf, found),
-                      base.article_entities(spark, sf, found), base.topics(spark), base.article_topics(spark, sf, arts), base.article_wiki(spark, sf))
+    found = base.mentions(spark, sf)
+    full = ls.details(arts, base.summaries(spark, sf), base.translations(spark, sf), base.entities(spark, sf, found),
+                      base.article_entities(spark, sf, found), base.topics(spark), base.article_topics(spark, sf), base.article_wiki(spark, sf))
     text = lambda c: F.coalesce(c, F.lit(""))
     return full.select(
         "article_id", "title", text(F.col("summary_text")).alias("summary_text"), text(F.col("translated_content")).alias("translation"),
@@ -244,7 +244,7 @@ SELECT '{kind}' AS report_type, strftime(period_start, '%Y-%m-%d') AS period_sta
 
 def _reports(spark, sf, period):
     arts = base.articles(spark, sf)
-    out = rp.reports(arts, base.feeds(spark, sf), base.attempts(spark, sf), base.summaries(spark, sf, arts), period)
+    out = rp.reports(arts, base.feeds(spark, sf), base.attempts(spark, sf), base.summaries(spark, sf), period)
     return out.withColumn("period_start", F.col("period_start").cast("string")).withColumn("period_end", F.col("period_end").cast("string"))
 
 
@@ -268,8 +268,8 @@ UNION ALL SELECT week, 'relations_new', '', n, coalesce((SELECT n FROM r p WHERE
 SELECT strftime(week, '%Y-%m-%d') AS week, measure, name, n, previous FROM u""")
 def report_growth(spark, sf):
     arts = base.articles(spark, sf)
-    found = base.mentions(spark, sf, arts)
-    out = rp.growth(arts, base.article_topics(spark, sf, arts), base.topics(spark), base.entities(spark, sf, found), base.relations(spark, sf, found))
+    found = base.mentions(spark, sf)
+    out = rp.growth(arts, base.article_topics(spark, sf), base.topics(spark), base.entities(spark, sf, found), base.relations(spark, sf, found))
     return out.withColumn("week", F.col("week").cast("string"))
 
 

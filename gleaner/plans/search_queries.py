@@ -16,8 +16,7 @@ WITH d AS (SELECT article_id AS doc_id, title || ' ' || content_text || coalesce
 t AS (SELECT doc_id, {O.tok('raw')} AS t FROM d)
 SELECT doc_id, len(t)::BIGINT AS dl, len(list_distinct(t))::BIGINT AS n_terms, md5(array_to_string(list_sort(t), ' ')) AS terms_md5 FROM t""")
 def index_build(spark, sf):
-    arts = base.articles(spark, sf)
-    built = ix.build_index(arts, base.summaries(spark, sf, arts))
+    built = ix.build_index(base.raw_articles(spark, sf), base.summaries(spark, sf))
     flat = F.flatten(F.transform(F.map_entries("terms"), lambda e: F.array_repeat(e["key"], e["value"])))
     return built.select("doc_id", F.col("dl").cast("long"), F.size("terms").cast("long").alias("n_terms"),
                         F.md5(F.array_join(F.sort_array(flat), " ")).alias("terms_md5"))
@@ -161,9 +160,9 @@ g AS (SELECT article_id, similar_id, round(1.0 / (2.0 - sim) + 0.3 * coalesce((S
   WHERE x.article_id = f.article_id AND y.article_id = f.similar_id), 0.0), 6) AS score FROM f)
 SELECT article_id, similar_id, score, row_number() OVER (PARTITION BY article_id ORDER BY score DESC, similar_id) AS rank FROM g QUALIFY rank <= 10""")
 def similar_articles(spark, sf):
-    arts = base.articles(spark, sf)
+    arts = base.stored(base.articles(spark, sf).select("article_id", "lang", "dedupe_of"))
     vec = base.table(spark, sf, "embeddings").select(F.col("vec_id").alias("article_id"), F.col("embedding").alias("vector"))
-    return vector_search.similar(vec, arts, base.article_topics(spark, sf, arts), 10)
+    return vector_search.similar(vec, arts, base.stored(base.article_topics(spark, sf)), 10)
 
 
 @query("search_filters", """
@@ -174,7 +173,7 @@ s AS (SELECT query_id, article_id AS doc_id, round(max(list_cosine_similarity(qv
 SELECT query_id, doc_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, doc_id) AS rank FROM s QUALIFY rank <= 10""")
 def search_filters(spark, sf):
     arts = base.articles(spark, sf)
-    kept = search.filter_corpus(arts, base.article_topics(spark, sf, arts), topic_id=5, lang="en",
+    kept = search.filter_corpus(arts, base.article_topics(spark, sf), topic_id=5, lang="en",
                                 since="2024-01-01 06:00:00", until="2024-01-20 00:00:00")
     return vector_search.vector_search(base.vectors(spark, sf), base.query_vectors(spark, sf), 10, "active", kept, kinds=2)
 
