@@ -60,8 +60,8 @@ def url_host(url: Column) -> Column:
 
 def clip_bytes(text: Column, max_bytes: int) -> Column:
     """Cut to ``max_bytes`` UTF-8 bytes; a character split by the cut is dropped."""
-    cut = F.decode(F.substring(F.encode(text, "UTF-8"), 1, max_bytes), "UTF-8")
-    # a partial last character decodes to replacement characters
+    # the bytes of a partial last character become replacement characters
+    cut = F.make_valid_utf8(F.substring(F.encode(text, "UTF-8"), 1, max_bytes).cast("string"))
     return F.when(F.octet_length(text) > max_bytes, F.regexp_replace(cut, "\uFFFD+$", "")).otherwise(text)
 
 

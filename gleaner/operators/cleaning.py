@@ -38,8 +38,9 @@ def main_html(html: Column) -> Column:
     for tag in NOISE_TAGS:
         out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
     out = F.regexp_replace(out, r"(?is)<div class=\"(ad|ads|advert|cookie|share|sidebar)\"[^>]*>.*?</div>", "")
-    parts = [F.regexp_extract(out, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1) for tag in ("article", "main", "body")]
-    return F.coalesce(*[F.when(p != "", p) for p in parts], F.regexp_replace(out, r"(?is)<head\b.*?</head>", ""))
+    article, main, body = (F.regexp_extract(out, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1) for tag in ("article", "main", "body"))
+    bare = F.regexp_replace(out, r"(?is)<(head|title)\b.*?</(head|title)>", "")
+    return F.when(article != "", article).when(main != "", main).when(out.rlike(r"(?i)<body\b"), body).otherwise(bare)
 
 
 def tidy(text: Column) -> Column:
