@@ -106,7 +106,7 @@ def parse_outputs(df: DataFrame, raw: str, expected_keys: Sequence[str] = ()) ->
     cut = F.when(text.rlike(r"(?s)```.*?```"), F.trim(fenced)).when(braces != "", braces).when(brackets != "", brackets).otherwise(text)
     body = F.col("_body")
     repairs = [body, F.replace(body, F.lit("'"), F.lit('"')), F.regexp_replace(body, r",\s*([}\]])", "$1"),
-               F.regexp_replace(body, r"(?<!\\)\n", r"\\\\n")]
+               F.regexp_replace(body, r"(?<!\\)\n", r"\\n")]
     parsed = F.coalesce(*[F.try_parse_json(r) for r in repairs])
     shaped = df.withColumn("_body", cut).withColumn("parsed", parsed).withColumn("_shape", F.schema_of_variant("parsed"))
     is_object = F.coalesce(F.col("_shape").startswith("OBJECT"), F.lit(False))

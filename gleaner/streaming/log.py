@@ -28,7 +28,7 @@ class KeyedLog:
 
     def rows(self, before: int | None = None) -> DataFrame:
         """All rows with their batch; ``before`` leaves out that batch and later ones."""
-        schema = StructType(self.schema.fields).add("batch", "long")
+        schema = StructType(list(self.schema.fields)).add("batch", "long")
         df = self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
         return df if before is None else df.where(F.col("batch") < before)
 
