@@ -20,7 +20,7 @@ def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", s
 
     The profile is a model of bounded size (languages x ``size``); it is learned from all texts.
     """
-    counts = docs.select(lang, F.explode(tokens(F.col(text))).alias("token")).groupBy(lang, "token").agg(F.count("*").alias("n"))
+    counts = docs.select(lang, F.explode_outer(tokens(F.col(text))).alias("token")).where("token is not null").groupBy(lang, "token").agg(F.count("*").alias("n"))
     totals = counts.groupBy(lang).agg(F.sum("n").alias("total"))
     best = top_per_group(counts, [lang], [F.col("n").desc(), F.col("token")], size)
     profile = best.join(totals, lang).select(F.col(lang).alias("lang"), "token", F.ln(F.col("n") / F.col("total")).alias("w"))
@@ -34,7 +34,7 @@ def detect_language(df: DataFrame, key: str, text: str, profiles: DataFrame, min
     token with the bounded profile; scores are partial aggregates per (document, language).
     """
     long_enough = F.length(squash(F.coalesce(F.col(text), F.lit("")))) >= min_chars
-    words = df.where(long_enough).select(key, F.explode(tokens(F.col(text))).alias("token"))
+    words = df.where(long_enough).select(key, F.explode_outer(tokens(F.col(text))).alias("token"))
     counts = words.join(small_side(profiles), "token").groupBy(key, "lang").agg(F.sum(F.col("w") - penalty).alias("gain"))
     best = counts.groupBy(key).agg(F.min_by("lang", F.struct(-F.round("gain", 6), F.col("lang"))).alias("lang"))
     return df.select(key).join(best, key, "left").select(key, F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
@@ -62,8 +62,9 @@ def summarize(df: DataFrame, key: str, text: str, max_points: int = 5, max_chars
     tokens. The best ``max_points`` become the key points in reading order, the leading ones the summary of at most
     ``max_chars`` characters; the confidence is the share of the score they carry.
     """
-    words = df.select(key, F.posexplode(sentences(F.col(text))).alias("pos", "sentence")).select(
-        key, "pos", F.explode(F.array_distinct(tokens(F.col("sentence")))).alias("token"))
+    # outer forms: for the plain ones the optimizer adds size filters that cut the texts again
+    words = df.select(key, F.posexplode_outer(sentences(F.col(text))).alias("pos", "sentence")).select(
+        key, "pos", F.explode_outer(F.array_distinct(tokens(F.col("sentence")))).alias("token")).where("token is not null")
     freq = words.groupBy("token").agg(F.count("*").alias("df"))
     n = df.agg(F.count("*")).scalar()
     weighed = words.join(freq, "token").withColumn("w", F.ln(1 + n / F.col("df")))

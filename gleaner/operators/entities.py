@@ -25,9 +25,10 @@ def extract_entities(articles: DataFrame, gazetteer: DataFrame, max_words: int =
     grams = F.array(*[F.concat(*[x for m in range(n) for x in ([F.lit(" ")] if m else []) + [F.col(names[m])]])
                       for n in range(1, max_words + 1)])
     return (
-        articles.select("article_id", F.posexplode(sentences(F.col("content_text"))).alias("sentence", "s"))
+        # outer forms: for the plain ones the optimizer adds size filters that cut the texts again
+        articles.select("article_id", F.posexplode_outer(sentences(F.col("content_text"))).alias("sentence", "s"))
         .select("article_id", "sentence", tokens(F.col("s")).alias("toks"))
-        .select("article_id", "sentence", F.posexplode(F.arrays_zip(*[c.alias(n) for c, n in zip(shifted, names)])).alias("pos", "z"))
+        .select("article_id", "sentence", F.posexplode_outer(F.arrays_zip(*[c.alias(n) for c, n in zip(shifted, names)])).alias("pos", "z"))
         .select("article_id", "sentence", "pos", "z.*")
         .select("article_id", "sentence", "pos", F.explode(grams).alias("alias")).where(F.col("alias").isNotNull())
         .join(small_side(gazetteer), "alias")

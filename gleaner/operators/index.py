@@ -24,7 +24,8 @@ def index_text(df: DataFrame, doc_id: str, text: Column) -> DataFrame:
     word = F.col("term") != ""
     return (
         spread.select("doc_id", tokens(F.col("text")).alias("toks"))
-        .select("doc_id", F.inline(rows))
+        # the outer form: for the plain one the optimizer adds a size filter that computes the tokens again
+        .select("doc_id", F.inline_outer(rows))
         .groupBy("doc_id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("text", True).alias("text"))
         .groupBy("doc_id").agg(
             F.coalesce(F.sum(F.when(word, F.col("tf"))), F.lit(0)).alias("dl"),

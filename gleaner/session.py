@@ -16,6 +16,10 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.showConsoleProgress": "false",
+    # joins whose build side turns out small per partition hash instead of sorting both sides
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64m",
+    # collecting per-document arrays: more groups per task before falling back to sorting
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "8192",
 }
 
 
