@@ -14,7 +14,7 @@ from functools import cache
 
 import numpy as np
 
-SLOTS, FULL = 1 << 21, 1_000_000  # places of the table, and pieces it takes before it stops to learn
+SLOTS, FULL = 1 << 20, 600_000  # places of the table, and pieces it takes before it stops to learn
 SPACE, BREAK, ALNUM, STOP, SEPARATOR, OTHER = 1, 2, 3, 4, 5, 0
 KIND = np.zeros(256, np.uint8)
 for kind, codes in ((SPACE, [32]), (BREAK, [9, 10, 11, 12, 13]), (STOP, [44, 46]), (SEPARATOR, [0])):
@@ -34,7 +34,7 @@ class PieceTable:
     @staticmethod
     def slot(low: np.ndarray, high: np.ndarray) -> np.ndarray:
         mixed = (low ^ (high * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
-        return (mixed >> np.uint64(43)).astype(np.int64)
+        return (mixed >> np.uint64(44)).astype(np.int64)
 
     def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Number of each piece, -1 where it is not known."""
@@ -152,7 +152,7 @@ def encoder(path: str, spaces: bool) -> PieceEncoder:
     return PieceEncoder(path, spaces)
 
 
-def chunks(texts: list, size: int = 1 << 22):
+def chunks(texts: list, size: int = 1 << 20):
     """Ranges of ``texts`` with about ``size`` characters each."""
     start = total = 0
     for i, text in enumerate(texts):

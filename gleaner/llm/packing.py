@@ -23,7 +23,7 @@ from .encoding import chunks, encoder
 
 CAPACITY = 2048
 GROUPS = 32  # rounded sizes
-SMALL = 8  # lengths up to capacity / SMALL are small
+SMALL = (2, 3)  # lengths over capacity / s are large, for the s of these that needs fewest sequences
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 
@@ -103,9 +103,14 @@ def configurations(sizes: list[int], demand: list[int], capacity: int, rounds: i
     return [(basis[:, k].astype(int), int(used[k] + 1e-6)) for k in range(n) if used[k] >= 1 - 1e-6]
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> np.ndarray:
+def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: tuple[int, ...] = SMALL) -> np.ndarray:
     """Rows (length, first rank, count, first sequence, offset): the ``count`` pieces of a length from a rank on enter
-    consecutive sequences at the same offset."""
+    consecutive sequences at the same offset. Their number depends on ``capacity`` alone."""
+    return min((plan_with(counts, capacity, groups, s) for s in small), key=lambda moves: int((moves[:, 3] + moves[:, 2]).max(initial=0)))
+
+
+def plan_with(counts: dict[int, int], capacity: int, groups: int, small: int) -> np.ndarray:
+    """The plan in which lengths over ``capacity / small`` are large."""
     counts = {n: c for n, c in counts.items() if c}
     moves: list[tuple[int, int, int, int, int]] = []
     taken, next_sequence = dict.fromkeys(counts, 0), 0
@@ -175,7 +180,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
     return out[np.lexsort((out[:, 1], out[:, 0]))]
 
 
-def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> DataFrame:
+def pack(cut: DataFrame, capacity: int = CAPACITY, groups: int = GROUPS, small: tuple[int, ...] = SMALL) -> DataFrame:
     """Pieces with sequence_id and offset (gapless from 0); ``cut`` is what ``pieces`` returned, stored."""
     counted = cut.groupBy("task", "length").agg(F.count("*").alias("n"))
     # at most ``capacity`` rows

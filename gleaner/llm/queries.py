@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_folder
-from . import exact_radix, packing, token_planes, url_filter
+from . import exact_radix, gray_index, packing, token_planes, url_filter
 from .common import table
 from .registry import query
 
@@ -53,6 +53,11 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.with_verdicts(table(spark, folder, "pages").select("page_id", "url"), rules).drop("url")
 
 
+@query("op8_gray_index")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return gray_index.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op9_linear_grouping")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))

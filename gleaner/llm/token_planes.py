@@ -9,7 +9,7 @@ order, and so do documents within a shard; each block can be read alone.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -113,32 +113,35 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("shard int, block int, first long, n_ids int, n_bytes long").parquet(f"{path}/chunks")
 
 
-PIECES = "shard int, doc_start long, doc_id long, n_tokens long, at long, ids binary"
-
-
-def read_ids(spark: SparkSession, path: str, blocks: DataFrame | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
-    """The ids read back, one row per document and block: ``at`` is where the part starts in its document.
-
-    ``blocks`` (shard, block) restricts reading to some blocks of the chunk index.
-    """
+def _parts(spark: SparkSession, path: str, block_ids: int, last: tuple[str, str, pa.DataType], of: Callable[[np.ndarray, int], object],
+           blocks: DataFrame | None = None) -> DataFrame:
+    """A row per document and block: shard, doc_start, doc_id, n_tokens, at, and ``of`` its ids and the ids behind them."""
     stored = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     if blocks is not None:
         stored = stored.join(blocks.select("shard", "block"), ["shard", "block"], "left_semi")
+    name, sql_type, arrow_type = last
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                ids = from_planes(row["planes"], row["n_ids"], row["kind"])
-                first = row["block"] * block_ids
-                out = []
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                ids, first, out = from_planes(row["planes"], row["n_ids"], row["kind"]), row["block"] * block_ids, []
                 for doc_id, start, n in zip(row["doc_ids"], row["doc_starts"], row["doc_tokens"]):
                     a, b = max(start, first), min(start + n, first + row["n_ids"])
-                    out.append((row["shard"], start, doc_id, n, a - start, ids[a - first:b - first].tobytes()))
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), KINDS)], names=NAMES)
+                    out.append((row["shard"], start, doc_id, n, a - start, of(ids[a - first:b - first], start + n - b)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out), kinds)], names=names)
 
-    NAMES = ["shard", "doc_start", "doc_id", "n_tokens", "at", "ids"]
-    KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-    return stored.mapInArrow(decode, PIECES)
+    names = ["shard", "doc_start", "doc_id", "n_tokens", "at", name]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), arrow_type]
+    return stored.mapInArrow(decode, f"shard int, doc_start long, doc_id long, n_tokens long, at long, {name} {sql_type}")
+
+
+def read_ids(spark: SparkSession, path: str, blocks: DataFrame | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
+    """The ids read back, one row per document and block: ``at`` is where the part starts in its document.
+
+    ``blocks`` (shard, block) restricts reading to some blocks of the chunk index.
+    """
+    return _parts(spark, path, block_ids, ("ids", "binary", pa.binary()), lambda ids, behind: ids.tobytes(), blocks)
 
 
 POLYNOMIAL = 0xEDB88320  # fixed: that of zlib's crc32, reflected
@@ -170,16 +173,7 @@ def document_sums(spark: SparkSession, path: str, block_ids: int = BLOCK_IDS) ->
 
     CRCs of a document's parts are joined by their algebra, so that a long document never meets in one task.
     """
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, at, ids = batch.column("n_tokens").to_pylist(), batch.column("at").to_pylist(), batch.column("ids").to_pylist()
-            crc = [crc_before(zlib.crc32(i), 4 * (total - a) - len(i)) for total, a, i in zip(n, at, ids)]
-            cols = [batch.column(c) for c in ("shard", "doc_start", "doc_id", "n_tokens")] + [pa.array(crc, pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, names=["shard", "doc_start", "doc_id", "n_tokens", "crc"])
-
-    parts = read_ids(spark, path, block_ids=block_ids).mapInArrow(
-        sums, "shard int, doc_start long, doc_id long, n_tokens long, crc long")
+    parts = _parts(spark, path, block_ids, ("crc", "long", pa.int64()), lambda ids, behind: crc_before(zlib.crc32(ids.tobytes()), 4 * behind))
     docs = parts.groupBy("shard", "doc_start", "doc_id", "n_tokens").agg(F.bit_xor("crc").alias("ids_crc32"))
     bases = read_chunks(spark, path).groupBy("shard").agg(F.min("first").alias("base"))
     return docs.join(bases, "shard").select("doc_id", (F.col("base") + F.col("doc_start")).alias("start"), "n_tokens", "ids_crc32")

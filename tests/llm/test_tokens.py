@@ -96,7 +96,7 @@ def test_packing_small_cases(spark):
     assert check_packing(spark, [None, "", "a", "a", "a b c d e f g h i j k"], 4)[0] == 5
     rng = random.Random(5)
     used, least = check_packing(spark, ["w " * min(60, int(rng.paretovariate(1) * 2)) for _ in range(500)] + ["q " * 9] * 50, 32)
-    assert used <= least * 1.03 + 1
+    assert used <= least * 1.06 + 1
     assert packing.packed(docs(spark, ["a"]).limit(0), vocabulary("word_bpe_49k.json")).count() == 0
 
 
@@ -114,11 +114,11 @@ def test_plan_places_every_piece_once(seed):
         assert first == seen[length]
         seen[length] += n
     assert seen == counts and all(f <= capacity for f in filled.values())
-    # no worse than first fit on the same pieces, a bound that holds for any sensible packing
+    # about as good as first fit decreasing on the same pieces
     rooms = []
     for length in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True)[:3000]:
         k = next((i for i, r in enumerate(rooms) if r >= length), None)
         rooms[k:k + 1] = [rooms[k] - length] if k is not None else []
         rooms += [capacity - length] if k is None else []
     if sum(counts.values()) <= 3000:
-        assert len(filled) <= len(rooms) * 1.1 + 2
+        assert len(filled) <= len(rooms) * 1.01 + 1
