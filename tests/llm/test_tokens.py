@@ -118,7 +118,9 @@ def test_plan_places_every_piece_once(seed):
     rooms = []
     for length in sorted((n for n, c in counts.items() for _ in range(c)), reverse=True)[:3000]:
         k = next((i for i, r in enumerate(rooms) if r >= length), None)
-        rooms[k:k + 1] = [rooms[k] - length] if k is not None else []
-        rooms += [capacity - length] if k is None else []
+        if k is None:
+            rooms.append(capacity - length)
+        else:
+            rooms[k] -= length
     if sum(counts.values()) <= 3000:
         assert len(filled) <= len(rooms) * 1.01 + 1
