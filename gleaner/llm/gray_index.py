@@ -157,7 +157,7 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, split_over: int = SP
     Groups are (mask, value) of the bits that must agree. Those over ``split_over`` are split by parts of the bits they
     do not fix yet, until none is left over or every bit is fixed but the last few.
     """
-    parts = distance + 1
+    parts, tasks = distance + 1, int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def by_group(rows: pd.DataFrame) -> pd.DataFrame:
         index = GrayIndex(rows.fingerprint.to_numpy().view(np.uint64))
@@ -176,7 +176,8 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, split_over: int = SP
         rows = stored(rows.join(counts, ["mask", "value"]), "gray")
         deeper = [(above | m) for above, m in masks if BITS - (above | m).bit_count() > 16]
         deep = F.col("mask").isin([signed(m) for m in deeper]) & (F.col("n") > split_over) if deeper else F.lit(False)
-        links = rows.where(~deep).groupBy("mask", "value").applyInPandas(by_group, "u long, v long")
+        # by number, so that small but slow groups are not put together in one task
+        links = rows.where(~deep).repartition(tasks, "mask", "value").groupBy("mask", "value").applyInPandas(by_group, "u long, v long")
         out = links if out is None else out.unionAll(links)
         level = rows.where(deep).select("mask", "fingerprint").distinct()
         if not deeper or level.isEmpty():

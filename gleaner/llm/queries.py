@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_folder
-from . import exact_radix, gray_index, packing, token_planes, url_filter
+from . import exact_radix, fuzzy_lines, gray_index, language, licences, packing, phrase_index, token_planes, url_filter
 from .common import table
 from .registry import query
 
@@ -23,6 +23,17 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return token_planes.document_sums(spark, path)
 
 
+@query("op2_language")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    docs = language.with_page_evidence(table(spark, folder, "documents"), table(spark, folder, "pages"))
+    return language.identified(docs).drop("dkey")
+
+
+@query("op3_fuzzy_lines")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return fuzzy_lines.line_report(table(spark, folder, "documents"))
+
+
 @query("op4_exact_radix", r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -32,6 +43,34 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return exact_radix.exact_groups(table(spark, folder, "documents"))
 
 
+@query("op5_licences")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.with_labels(table(spark, folder, "documents"))
+
+
+WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+
+
+@query("op6_phrase_index", f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
+b AS MATERIALIZED (SELECT CAST(item_id AS VARCHAR) AS item, w, least(len(w), 13) AS n FROM (SELECT item_id, {WORDS} AS w FROM benchmark) WHERE len(w) > 0 AND item_id IS NOT NULL),
+windows AS (SELECT DISTINCT item, n, array_to_string(list_slice(w, s + 1, s + n), ' ') AS g FROM (SELECT item, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM b)),
+grams AS (SELECT doc_id, s, n, array_to_string(list_slice(w, s + 1, s + n), ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, (SELECT DISTINCT n FROM windows) WHERE len(w) >= n)),
+found AS MATERIALIZED (SELECT DISTINCT doc_id, s, n, item FROM grams JOIN windows USING (n, g)),
+hits AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM found) GROUP BY 1),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY 1),
+spots AS MATERIALIZED (SELECT doc_id, unnest(w) AS t, unnest(range(0, len(w))) AS p FROM d),
+rare AS (SELECT item, t, row_number() OVER (PARTITION BY item ORDER BY cf, t) AS r FROM (SELECT DISTINCT item, unnest(w) AS t FROM b) JOIN (SELECT t, count(*) AS cf FROM spots GROUP BY 1) USING (t)),
+seen AS (SELECT item, doc_id, p, r, lag(p) OVER o AS lp, lag(r) OVER o AS lr FROM spots JOIN (SELECT * FROM rare WHERE r <= 2) USING (t) WINDOW o AS (PARTITION BY item, doc_id ORDER BY p)),
+near AS (SELECT doc_id, count(DISTINCT item) AS n_near FROM seen WHERE lr <> r AND p - lp <= 13 GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AND 20 * n_hit >= len(w) AS contaminated, coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN near USING (doc_id)""")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return phrase_index.decontamination(docs, items, scratch_folder(spark, "postings")).drop("key")
+
+
 # Host, path and verdict of the contract's rules.
 URL_RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
 
