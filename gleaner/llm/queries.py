@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_folder
-from . import exact_radix, fuzzy_lines, gray_index, language, licences, packing, phrase_index, token_planes, url_filter
+from . import exact_radix, fuzzy_lines, gray_index, language, licences, packing, phrase_index, repeated_spans, token_planes, url_filter
 from .common import table
 from .registry import query
 
@@ -100,3 +100,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_linear_grouping")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(table(spark, folder, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query("op10_bucket_pointers")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return repeated_spans.removed_spans(table(spark, folder, "documents"))
