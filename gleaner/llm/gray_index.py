@@ -187,25 +187,30 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, split_over: int = SP
 
 
 def fingerprints(docs: DataFrame, words: int = WORDS, seed: int = SEED) -> DataFrame:
-    """doc_id and fingerprint (as a signed long) of every row; null texts have no words."""
+    """doc_id, key (hash of the text) and fingerprint (as a signed long) of every row; null texts have no words."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = np.array([fingerprint(t, words, seed) for t in batch.column("text").to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints.view(np.int64))], names=["doc_id", "fingerprint"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(prints.view(np.int64))], names=["doc_id", "key", "fingerprint"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    return rows.mapInArrow(each, "doc_id long, fingerprint long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("key"), text_or_empty().alias("text"))
+    return rows.mapInArrow(each, "doc_id long, key long, fingerprint long")
 
 
-def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = WORDS, seed: int = SEED, split_over: int = SPLIT_OVER) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links of at most ``distance`` bits)."""
+def near_duplicates(docs: DataFrame, distance: int = DISTANCE, words: int = WORDS, seed: int = SEED, split_over: int = SPLIT_OVER,
+                    with_key: bool = False) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable by links of at most ``distance`` bits).
+
+    Texts without words have fingerprint zero and are linked like any other; null ids are passed over for component_id.
+    ``with_key`` adds key, the hash of the text, and root, a number that the rows of a component share.
+    """
     prints = stored(fingerprints(docs, words, seed), "prints")
     distinct = prints.groupBy("fingerprint").agg(F.min("doc_id").alias("first"))
     roots = component_roots(near_links(distinct.select("fingerprint"), distance, split_over), "gray").select(
         F.col("node").alias("fingerprint"), "root")
     named = stored(distinct.join(roots, "fingerprint", "left").select("fingerprint", "first", F.coalesce("root", "fingerprint").alias("root")), "gray")
     smallest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = named.join(smallest, "root").select("fingerprint", "component_id")
+    classes = named.join(smallest, "root").select("fingerprint", "root", "component_id")
     return prints.join(classes, "fingerprint").select(
-        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id", *(["key", "root"] if with_key else []))
