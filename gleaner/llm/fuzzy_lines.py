@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import stored, text_or_empty
 from .components import component_roots
 
-SHINGLE, ROWS, BANDS, SIMILARITY = 7, 5, 12, 0.8  # finds a pair of similarity 0.8 with 0.991, of 0.9 with 0.9999
+SHINGLE, ROWS, BANDS, SIMILARITY = 7, 5, 20, 0.8  # finds a pair of similarity 0.8 with probability 0.9996, of 0.85 with 0.99999
 NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 ODD = np.random.default_rng(20240501).integers(1 << 62, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)

@@ -16,10 +16,16 @@ def brute_dropped(rows, similarity=0.8):
             x = root[x]
         return x
 
-    for i, a in enumerate(bodies):
-        for b in bodies[:i]:
-            if fuzzy_lines.jaccard(a, b) >= similarity:
-                root[find(a)] = find(b)
+    sets = [fuzzy_lines.shingles(b) for b in bodies]
+    order = sorted(range(len(bodies)), key=lambda i: len(sets[i]))
+    for at, i in enumerate(order):
+        for j in order[at + 1:]:
+            x, y = sets[i], sets[j]
+            if len(x) < similarity * len(y):
+                break
+            both = len(x & y)
+            if both >= similarity * (len(x) + len(y) - both):
+                root[find(bodies[i])] = find(bodies[j])
     seen, out = set(), {}
     for doc_id, n, body in sorted(spots, key=lambda s: s[:2]):
         if find(body) in seen:

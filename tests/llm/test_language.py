@@ -27,7 +27,7 @@ def test_held_out_accuracy(labelled):
 
 def test_other_evidence_decides_what_text_leaves_open(spark, labelled):
     base = labelled.select("doc_id", "text", F.col("truth").alias("label"), F.col("truth").alias("declared"), F.concat(F.lit("http://h."), "truth", F.lit(".example."), "truth", F.lit("/1")).alias("address"))
-    odd = spark.createDataFrame([(9001, None, None, "fr", "http://h.fr.example.fr/2"), (9002, "", None, None, "x.es.example.es"), (9003, "7 7", None, "de", None),
+    odd = spark.createDataFrame([(9001, None, None, "fr", "http://h.fr.example.fr/2"), (9002, "", None, None, "x.es.example.es"), (9003, None, None, "de", None),
                                  (None, "12 34 %%% ### 56 78 " * 40, None, None, None), (9004, "the", "zz", None, None), (9004, "the", "zz", None, None)], COLUMNS)
     got = language.identified(base.unionByName(odd)).where("doc_id is null or doc_id > 9000").collect()
     by = {r.doc_id: r for r in got}
