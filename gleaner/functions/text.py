@@ -65,9 +65,11 @@ def clip_bytes(text: Column, max_bytes: int) -> Column:
     return F.when(F.octet_length(text) > max_bytes, F.regexp_replace(cut, "\uFFFD+$", "")).otherwise(text)
 
 
-def scrub_html(html: Column, max_bytes: int = 5_242_880) -> Column:
-    """Size cut, then script and style elements removed."""
-    out = clip_bytes(F.coalesce(html, F.lit("")), max_bytes)
+def scrub_html(html: Column, max_bytes: int | None = None) -> Column:
+    """Script and style elements removed, after a cut to ``max_bytes`` if one is asked for."""
+    out = F.coalesce(html, F.lit(""))
+    if max_bytes is not None:
+        out = clip_bytes(out, max_bytes)
     for tag in ("script", "style"):
         out = F.regexp_replace(out, rf"(?is)<{tag}[^>]*>.*?</{tag}>", "")
     return out

@@ -15,7 +15,7 @@ def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
 
     ``chunk`` must not decrease along ``order``. Rows are scanned per (key, chunk); the totals of the chunks,
     few per key, are scanned per key and added back. So one key may hold most of the log: its rows are still
-    spread over its chunks.
+    spread over its chunks. Chunks must not be null.
     """
     sums, maxima = sums or {}, maxima or {}
     rows = df.withColumn("_chunk", chunk)
@@ -43,8 +43,12 @@ def streaks(df: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: Col
     return based.withColumn(name, F.col("_sum") - F.coalesce("_base", F.lit(0))).drop("_hit", "_sum", "_base")
 
 
-def day(ts: str = "ts") -> Column:
-    return F.date_trunc("day", F.col(ts))
+CHUNK = 4_096  # values of the order column
+
+
+def chunk_of(order: str = "seq") -> Column:
+    """Ranges of the order column itself: they follow the order whatever the timestamps say. Null orders come first."""
+    return F.coalesce(F.floor(F.col(order) / CHUNK), F.lit(-(1 << 62)))
 
 
 def feed_state(fetch_log: DataFrame, after: int = 5) -> DataFrame:
@@ -53,7 +57,7 @@ def feed_state(fetch_log: DataFrame, after: int = 5) -> DataFrame:
     Current failures since the last success, the longest run, when a run first reached ``after``, and the
     state: disabled / degraded / healthy.
     """
-    runs = streaks(fetch_log, ["feed_id"], ["seq"], day(), ~F.col("ok"))
+    runs = streaks(fetch_log, ["feed_id"], ["seq"], chunk_of(), ~F.col("ok"))
     out = runs.groupBy("feed_id").agg(
         F.max_by("streak", "seq").alias("fetch_failures"), F.max("streak").alias("longest_run"),
         F.min(F.when(F.col("streak") >= after, F.col("seq"))).alias("disabled_at_seq"))
@@ -86,10 +90,10 @@ def outcomes(attempts: DataFrame, max_attempts: int = 3, max_timeouts: int = 3)
     """
     keys, order = ["article_id", "task"], ["seq"]
     kind = F.col("outcome")
-    jobs = running(attempts, keys, order, day(), sums={"job": F.when(kind == "queued", 1).otherwise(0)})
+    jobs = running(attempts, keys, order, chunk_of(), sums={"job": F.when(kind == "queued", 1).otherwise(0)})
     per_job = [*keys, "job"]
-    spent = running(jobs, per_job, order, day(), sums={"spent": F.when(kind == "permanent", 1).otherwise(0)})
-    timed = streaks(spent, per_job, order, day(), kind == "timeout", "timeouts")
+    spent = running(jobs, per_job, order, chunk_of(), sums={"spent": F.when(kind == "permanent", 1).otherwise(0)})
+    timed = streaks(spent, per_job, order, chunk_of(), kind == "timeout", "timeouts")
     dead = (F.col("spent") >= max_attempts) | (F.col("timeouts") >= max_timeouts)
     died = timed.groupBy(*per_job).agg(F.min(F.when(dead, F.col("seq"))).alias("died_at"))
     return timed.join(died, per_job).select(

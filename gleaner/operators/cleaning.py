@@ -28,7 +28,7 @@ def with_tokens(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("tokens", tokens(F.col(text)))
 
 
-def with_scrubbed(df: DataFrame, html: str, max_bytes: int = 5_242_880) -> DataFrame:
+def with_scrubbed(df: DataFrame, html: str, max_bytes: int | None = None) -> DataFrame:
     return df.withColumn(html, scrub_html(F.col(html), max_bytes))
 
 
@@ -70,7 +70,7 @@ def html_title(html: Column) -> Column:
     return squash(unescape(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)))
 
 
-def clean_pages(pages: DataFrame, html: str = "html", title: str | None = None, max_bytes: int = 5_242_880) -> DataFrame:
+def clean_pages(pages: DataFrame, html: str = "html", title: str | None = None, max_bytes: int | None = None) -> DataFrame:
     """Adds title, content_text, content_md, is_parseable and word_count; the title stands in for an empty text."""
     scrubbed = pages.withColumn("_html", scrub_html(F.col(html), max_bytes))
     named = scrubbed.withColumn("title", F.col(title) if title else html_title(F.col("_html"))).withColumn("_main", main_html(F.col("_html")))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
@@ -93,26 +94,64 @@ def text_vectors(df: DataFrame, key: str, text: str, dim: int = 1 << 12, model:
     return unit.select(key, F.lit(kind).alias("kind"), vector_to_array("unit", "float32").alias("vector"))
 
 
+def strict_json(raw: str) -> str:
+    """The JSON value in a model's answer, written strictly.
+
+    One walk over the characters that knows when it is inside a string. It starts at the first bracket behind any
+    thinking block and ends with the bracket that closes it. Strings in single quotes get double ones, raw control
+    characters inside strings are escaped, commas before a closing bracket are left out, all in the same walk. Without
+    a bracket the text is returned as it is.
+    """
+    text = raw.rpartition("</think>")[2].strip()
+    start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
+    if start < 0:
+        return text
+    out, depth, quote, i = [], 0, "", start
+    while i < len(text):
+        c = text[i]
+        if quote:
+            rest = text[i + 1:i + 40].lstrip()
+            if c == "\\" and i + 1 < len(text):
+                out.append("'" if text[i + 1] == "'" else text[i:i + 2])
+                i += 1
+            elif c == quote and (quote == '"' or not rest or rest[0] in ",:}]"):
+                out.append('"')
+                quote = ""
+            else:
+                out.append('\\"' if c == '"' else c if c >= " " else f"\\u{ord(c):04x}")
+        elif c in "\"'":
+            out.append('"')
+            quote = c
+        elif c in "{[":
+            out.append(c)
+            depth += 1
+        elif c in "}]":
+            while out and (out[-1].isspace() or out[-1] == ","):
+                out.pop()
+            out.append(c)
+            depth -= 1
+            if depth == 0:
+                break
+        else:
+            out.append(c)
+        i += 1
+    return "".join(out)
+
+
 def parse_outputs(df: DataFrame, raw: str, expected_keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """Raw model output to JSON objects: ``(good, bad)``.
 
-    Thinking blocks go, the fenced block or the outermost braces are taken, then parsed as they are or after
-    one repair: single quotes to double, trailing commas dropped, raw line breaks escaped. ``good`` has
-    parsed (variant) and missing_keys; what does not parse to an object lands in ``bad`` with a reason.
+    ``good`` has parsed (variant) and missing_keys; what does not hold an object lands in ``bad`` with a reason.
     """
-    text = F.trim(F.regexp_replace(F.col(raw), r"(?s)<think>.*?</think>", ""))
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*\n?(.*?)\n?\s*```", 1)
-    braces = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    brackets = F.regexp_extract(text, r"(?s)(\[.*\])", 1)
-    cut = F.when(text.rlike(r"(?s)```.*?```"), F.trim(fenced)).when(braces != "", braces).when(brackets != "", brackets).otherwise(text)
-    body = F.col("_body")
-    repairs = [body, F.replace(body, F.lit("'"), F.lit('"')), F.regexp_replace(body, r",\s*([}\]])", "$1"),
-               F.regexp_replace(body, r"(?<!\\)\n", r"\\n")]
-    parsed = F.coalesce(*[F.try_parse_json(r) for r in repairs])
-    shaped = df.withColumn("_body", cut).withColumn("parsed", parsed).withColumn("_shape", F.schema_of_variant("parsed"))
+
+    @F.pandas_udf("string")
+    def strict(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else strict_json(t))
+
+    shaped = df.withColumn("parsed", F.try_parse_json(strict(F.col(raw)))).withColumn("_shape", F.schema_of_variant("parsed"))
     is_object = F.coalesce(F.col("_shape").startswith("OBJECT"), F.lit(False))
     held = F.json_object_keys(F.to_json("parsed"))
     wanted = F.array(*[F.lit(k) for k in expected_keys]).cast("array<string>")
-    good = shaped.where(is_object).withColumn("missing_keys", F.array_except(wanted, held)).drop("_body", "_shape")
+    good = shaped.where(is_object).withColumn("missing_keys", F.array_except(wanted, held)).drop("_shape")
     bad = shaped.where(~is_object).withColumn("reason", F.when(F.col("parsed").isNull(), "unparseable").otherwise("not an object"))
-    return good, bad.drop("_body", "_shape", "parsed")
+    return good, bad.drop("_shape", "parsed")

@@ -9,16 +9,19 @@ from ..session import cut_lineage, small_side
 
 
 def entity_id(kind: Column, name: Column) -> Column:
-    """Stable id from the natural key (60 bits of its md5)."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", kind, name)), 1, 15), 16, 10).cast("long")
+    """Stable id from the natural key (60 bits of its md5); the kind's length keeps (a:b, c) apart from (a, b:c)."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.char_length(kind).cast("string"), kind, name)), 1, 15), 16, 10).cast("long")
 
 
-def extract_entities(articles: DataFrame, gazetteer: DataFrame, max_words: int = 3) -> DataFrame:
+def extract_entities(articles: DataFrame, gazetteer: DataFrame, max_words: int | None = None) -> DataFrame:
     """Mentions ``(article_id, sentence, pos, name, type, surface, confidence)`` by alias look-up.
 
     ``gazetteer`` has alias (blank-separated lower-case tokens), name, type. Sentences are cut into word
-    n-grams that meet the aliases in an equi-join. A surface equal to the name is more certain than an alias.
+    n-grams, as long as the longest alias (or ``max_words``), that meet the aliases in an equi-join. A surface equal to
+    the name is more certain than an alias.
     """
+    if max_words is None:
+        max_words = gazetteer.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
     shifted = [F.col("toks"), *[F.slice("toks", n, F.size("toks")) for n in range(2, max_words + 1)]]
     names = [f"t{n}" for n in range(1, max_words + 1)]
     # every prefix of the words that start at a position; null once it would run past the end

@@ -3,16 +3,30 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from .ranking import latest_per_key
 
 
+def without_keys(df: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of ``df`` whose key ``other`` does not hold; null keys are equal to each other."""
+    names = {k: f"_held_{k}" for k in keys}
+    held = other.select(*[F.col(k).alias(n) for k, n in names.items()])
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return df.join(held, reduce(lambda a, b: a & b, same), "left_anti")
+
+
 def upsert_latest(old: DataFrame, new: DataFrame, keys: Sequence[str], order: str | None = None) -> DataFrame:
-    """Insert or replace by key; ``order`` says which of several new rows is the last."""
-    fresh = new if order is None else latest_per_key(new, list(keys), [order])
-    return old.join(fresh.select(*keys), list(keys), "left_anti").unionByName(fresh.select(*old.columns))
+    """Insert or replace by key, null keys included.
+
+    ``order`` says which of several new rows of a key is the last; without it, or among equals, the row that is
+    largest by its values is taken, so that one row per key comes in.
+    """
+    rest = [c for c in old.columns if c not in keys]
+    fresh = latest_per_key(new, list(keys), [*([order] if order else []), *rest]) if rest else new.select(*keys).distinct()
+    return without_keys(old, fresh, keys).unionByName(fresh.select(*old.columns))
 
 
 def upsert_guarded(old: DataFrame, new: DataFrame, articles: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -27,7 +41,10 @@ def upsert_guarded(old: DataFrame, new: DataFrame, articles: DataFrame, keys: Se
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return old.unionByName(new.join(old.select(*keys), list(keys), "left_anti").select(*old.columns))
+    """Adds new keys, null keys included; of several new rows of a key the smallest by its values comes in."""
+    rest = [c for c in old.columns if c not in keys]
+    first = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*") if rest else new.select(*keys).distinct()
+    return old.unionByName(without_keys(first, old, keys).select(*old.columns))
 
 
 def cascade(children: DataFrame, parents: DataFrame, key: str, parent_key: str | None = None) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,12 @@ def _unit(m: np.ndarray) -> np.ndarray:
 
 
 def _keep_best(rows: tuple, k: int) -> tuple:
-    """Best ``k`` rows per query of (query index, doc, score): score down, then doc id."""
+    """Best ``k`` documents per query of (query index, doc, score): score down, then doc id; a document counts once."""
     q, d, s = rows
+    order = np.lexsort((-s, d, q))
+    q, d, s = q[order], d[order], s[order]
+    once = np.r_[True, (q[1:] != q[:-1]) | (d[1:] != d[:-1])] if len(q) else np.zeros(0, bool)
+    q, d, s = q[once], d[once], s[once]
     order = np.lexsort((d, -np.round(s, 9), q))
     q, d, s = q[order], d[order], s[order]
     starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1] if len(q) else np.zeros(0, int)
@@ -27,33 +32,29 @@ def _keep_best(rows: tuple, k: int) -> tuple:
     return q[keep], d[keep], s[keep]
 
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, rows_per_doc: int = 1, group: str | None = None,
-            exclude_self: bool = False, max_bytes: int = 256 << 20) -> DataFrame:
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = None, exclude_self: bool = False,
+            max_bytes: int = 256 << 20) -> DataFrame:
     """``(query_id, doc_id, similarity, rank)``: the ``k`` documents of highest cosine per query.
 
-    ``corpus`` has doc_id, vector (several rows per document allowed, at most ``rows_per_doc``), ``queries``
-    has query_id, vector; rows with another dimension than the queries are left out. With ``group`` both
-    sides carry that column and only equal groups match.
+    ``corpus`` has doc_id, vector (several rows per document allowed, the best one counts), ``queries`` has query_id,
+    vector. Vectors meet those of their own dimension. With ``group`` both sides carry that column and only equal
+    groups match.
 
     The query matrix is shipped to the tasks, in blocks of at most ``max_bytes`` each when it is larger.
     A task scores its share of the corpus against the matrix batch by batch and keeps only the running
     best rows per query, so what is shuffled is (tasks x queries x k) rows, never the pairs.
     """
-    probe = queries.where("vector is not null").select(F.size("vector").alias("n")).first()
-    dim = probe["n"] if probe else 0
-    usable = queries.where(F.size("vector") == dim)
-    total = usable.count() * dim * 8
-    blocks = max(1, -(-total // max_bytes))
+    sizes = {r.n: r["count"] for r in queries.where("size(vector) > 0").groupBy(F.size("vector").alias("n")).count().collect()}
     cols = ["doc_id", F.col("vector").cast("array<double>").alias("vector")] + ([group] if group else [])
-    scanned = corpus.where(F.size("vector") == dim).select(*cols)
     parts = []
-    for block in range(blocks):
-        mine = usable if blocks == 1 else usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-        rows = mine.select("query_id", "vector", *([group] if group else [])).toPandas()
-        parts.append(_scan(scanned, rows, dim, k * rows_per_doc, group, exclude_self))
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
+    for dim, count in sorted(sizes.items()) or [(0, 0)]:
+        usable, scanned = queries.where(F.size("vector") == dim), corpus.where(F.size("vector") == dim).select(*cols)
+        blocks = max(1, -(-count * dim * 8 // max_bytes))
+        for block in range(blocks):
+            mine = usable if blocks == 1 else usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
+            rows = mine.select("query_id", "vector", *([group] if group else [])).toPandas()
+            parts.append(_scan(scanned, rows, dim, k, group, exclude_self))
+    found = reduce(DataFrame.unionByName, parts)
     best = found.groupBy("query_id", "doc_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
     return top_per_group(best, ["query_id"], [F.col("similarity").desc(), F.col("doc_id")], k)
 
@@ -74,8 +75,12 @@ def _scan(corpus: DataFrame, rows, dim: int, k: int, group: str | None, exclude_
                 continue
             docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
             flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            side = _unit(flat.reshape(len(docs), dim))
-            tags = np.array(batch.column(group).to_pylist(), dtype=object) if group else None
+            # rows of one document side by side, so that its best one can be taken
+            order = np.argsort(docs, kind="stable")
+            docs, side = docs[order], _unit(flat.reshape(len(docs), dim))[order]
+            first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+            tags = np.array(batch.column(group).to_pylist(), dtype=object)[order] if group else None
+            ids_here = docs[first]
             for lo in range(0, len(ids), 256):
                 hi = min(lo + 256, len(ids))
                 scores = matrix[lo:hi] @ side.T
@@ -83,12 +88,13 @@ def _scan(corpus: DataFrame, rows, dim: int, k: int, group: str | None, exclude_
                     scores[groups[lo:hi, None] != tags[None, :]] = -np.inf
                 if exclude_self:
                     scores[ids[lo:hi, None] == docs[None, :]] = -np.inf
+                scores = np.maximum.reduceat(scores, first, axis=1)
                 limit = floor[lo:hi]
                 if scores.shape[1] > k:
                     limit = np.maximum(limit, np.partition(scores, -k, axis=1)[:, -k])
                 # ties at the limit are kept and settled by id
                 q, d = np.nonzero((scores >= limit[:, None] - 1e-9) & np.isfinite(scores))
-                fresh = (q + lo, docs[d], scores[q, d])
+                fresh = (q + lo, ids_here[d], scores[q, d])
                 held = tuple(np.concatenate(pair) for pair in zip(held, fresh))
             held = _keep_best(held, k)
             counts = np.bincount(held[0], minlength=len(ids))
@@ -104,23 +110,27 @@ def _scan(corpus: DataFrame, rows, dim: int, k: int, group: str | None, exclude_
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, model: str | None = None,
-                  live: DataFrame | None = None, kinds: int = 3) -> DataFrame:
+                  live: DataFrame | None = None) -> DataFrame:
     """Best vector of any kind per article; only the active model and live articles take part."""
     corpus = vectors if model is None else vectors.where(F.col("model") == model)
     if live is not None:
         corpus = corpus.join(live.select("article_id"), "article_id", "left_semi")
     corpus = corpus.select(F.col("article_id").alias("doc_id"), "vector")
-    return nearest(corpus, queries, k, rows_per_doc=kinds)
+    return nearest(corpus, queries, k)
 
 
 def similar(vectors: DataFrame, articles: DataFrame, article_topics: DataFrame, k: int = 10,
-            targets: DataFrame | None = None, fetch: int = 3) -> DataFrame:
+            targets: DataFrame | None = None, fetch: int = 3, kind: str | None = None, model: str | None = None) -> DataFrame:
     """``(article_id, similar_id, score, rank)``: ``1 / (1 + distance) + 0.3 * shared-topic score``.
 
-    The ``fetch * k`` nearest live articles of the same language are candidates. A shared topic counts with
+    Only vectors of ``kind`` and ``model`` take part, if given. The ``fetch * k`` nearest live articles of the same language are candidates. A shared topic counts with
     the candidate's best score; topics meet through the candidate pairs, never article by article.
     """
     lang = articles.select(F.col("article_id").alias("doc_id"), "lang", F.col("dedupe_of").isNull().alias("live"))
+    if kind is not None:
+        vectors = vectors.where(F.col("kind") == kind)
+    if model is not None:
+        vectors = vectors.where(F.col("model") == model)
     side = vectors.select(F.col("article_id").alias("doc_id"), "vector").join(lang, "doc_id")
     asked = side if targets is None else side.join(targets.select(F.col("article_id").alias("doc_id")), "doc_id", "left_semi")
     found = nearest(side.where("live").drop("live"), asked.select(F.col("doc_id").alias("query_id"), "vector", "lang"),

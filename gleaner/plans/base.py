@@ -67,7 +67,7 @@ def raw_articles(spark: SparkSession, sf: str) -> DataFrame:
         F.substring("source", 4, 10).cast("long").alias("feed_id"),
         F.col("source").alias("feed_name"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/a/"), F.col("doc_id")).alias("source_url"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("content_text"), "lang", F.lit(1).cast("long").alias("mention_count"),
     ).join(_article_meta(spark, sf), "article_id")
 

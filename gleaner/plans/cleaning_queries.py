@@ -164,11 +164,11 @@ def host_allow(spark, sf):
 
 @query("vec_prepare", """
 SELECT vec_id AS article_id, CASE WHEN label = 0 THEN 'bad' ELSE 'good' END AS verdict,
-       substr(text, 1, 8192) AS body, coalesce(substr(split_part(text, chr(10), 1), 1, 80), '') AS title
+       substr(text, 1, 8192) AS body, coalesce(split_part(text, chr(10), 1), '') AS title
 FROM embeddings LEFT JOIN documents ON doc_id = vec_id""")
 def vec_prepare(spark, sf):
     docs = base.table(spark, sf, "documents").select(
-        F.col("doc_id").alias("article_id"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"),
+        F.col("doc_id").alias("article_id"), F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("content_text"))
     texts = cleaning.vector_text(docs).groupBy("article_id").agg(
         F.max(F.when(F.col("kind") == "body", F.col("text"))).alias("body"), F.max(F.when(F.col("kind") == "title", F.col("text"))).alias("title"))

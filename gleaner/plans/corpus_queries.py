@@ -227,7 +227,7 @@ def graph_neighbours(spark, sf):
     return gr.neighbours(base.entities(spark, sf, found), base.relations(spark, sf, found))
 
 
-SLUG = O.slug("substr(split_part(text, chr(10), 1), 1, 80)")
+SLUG = O.slug("split_part(text, chr(10), 1)")
 
 
 @query("slugify", f"""
@@ -236,7 +236,7 @@ SELECT doc_id, (CASE WHEN {SLUG} <> '' THEN {SLUG} ELSE 'article' END) || '-' ||
 def slugify(spark, sf):
     from ..functions.text import slugify as slug
 
-    title = F.substring(F.substring_index("text", "\n", 1), 1, 80)
+    title = F.substring_index("text", "\n", 1)
     none = F.lit(None).cast("long")
     return base.table(spark, sf, "documents").select(
         "doc_id", slug(title, F.col("doc_id")).alias("article_slug"), slug(title, F.col("doc_id"), "topic").alias("topic_slug"),

@@ -54,7 +54,7 @@ def values(rows) -> str:
 
 
 def entity_id(kind: str, name: str) -> str:
-    return f"('0x' || substr(md5({kind} || ':' || {name}), 1, 15))::BIGINT"
+    return f"('0x' || substr(md5(length({kind}) || ':' || {kind} || ':' || {name}), 1, 15))::BIGINT"
 
 
 def slug(title: str) -> str:
@@ -71,7 +71,7 @@ CTES = {
     "raw_articles": f"""
         SELECT doc_id AS article_id, substr(source, 4)::BIGINT AS feed_id, source AS feed_name,
                'https://' || source || '.example.com/a/' || doc_id AS source_url,
-               substr(split_part(text, {NL}, 1), 1, 80) AS title, text AS content_text, lang, fetched_at, published_at, status,
+               split_part(text, {NL}, 1) AS title, text AS content_text, lang, fetched_at, published_at, status,
                sha256({norm('text')}) AS content_hash, length({norm('text')}) AS norm_len
         FROM documents JOIN meta ON article_id = doc_id""",
     "firsts": "SELECT content_hash, arg_min(article_id, (fetched_at, article_id)) AS first_id FROM raw_articles GROUP BY 1",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import text as X
 from ..operators import attempts as at, listings as ls, reports as rp, tables as tb
@@ -70,7 +70,7 @@ JOIN (SELECT doc_id AS id, n_chars AS body FROM documents) USING (id) WHERE pos
 def src_detail_join(spark, sf):
     """Ids per user in order; documents are the details, ids without one are skipped."""
     events = base.table(spark, sf, "events").select(F.col("user_id").alias("feed_id"), F.col("event_id").alias("id"))
-    ids = top_per_group(events, ["feed_id"], [F.col("id")], 60).withColumn("pos", F.col("rank") - 1)
+    ids = events.withColumn("pos", (F.row_number().over(Window.partitionBy("feed_id").orderBy("id")) - 1).cast("long"))
     details = base.table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("n_chars").alias("body"))
     return src.api_details(ids, details).select("feed_id", "pos", "id", "body")
 

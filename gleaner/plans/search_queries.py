@@ -76,7 +76,7 @@ def _live(spark, sf):
 
 
 def _semantic(spark, sf, k):
-    return vector_search.vector_search(base.vectors(spark, sf), base.query_vectors(spark, sf), k, "active", _live(spark, sf), kinds=2)
+    return vector_search.vector_search(base.vectors(spark, sf), base.query_vectors(spark, sf), k, "active", _live(spark, sf))
 
 
 @query("vec_search", "SELECT query_id, doc_id, similarity, rank FROM sem WHERE rank <= 10")
@@ -175,7 +175,7 @@ def search_filters(spark, sf):
     arts = base.articles(spark, sf)
     kept = search.filter_corpus(arts, base.article_topics(spark, sf), topic_id=5, lang="en",
                                 since="2024-01-01 06:00:00", until="2024-01-20 00:00:00")
-    return vector_search.vector_search(base.vectors(spark, sf), base.query_vectors(spark, sf), 10, "active", kept, kinds=2)
+    return vector_search.vector_search(base.vectors(spark, sf), base.query_vectors(spark, sf), 10, "active", kept)
 
 
 @query("search_entity_facets", """

@@ -30,7 +30,7 @@ def st_ingest(spark, sf):
     items = docs.join(meta, "doc_id").select(
         F.col("doc_id").alias("article_id"), F.substring("source", 4, 10).cast("long").alias("feed_id"),
         F.concat(F.lit("https://"), "source", F.lit(".example.com/a/"), F.col("doc_id")).alias("source_url"),
-        F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("text").alias("content_text"), "fetched_at")
+        F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content_text"), "fetched_at")
     articles = KeyedLog(spark, scratch_folder(spark, "articles"), ["article_id"], jobs.ARTICLE_SCHEMA)
     audit = KeyedLog(spark, scratch_folder(spark, "audit"), ["article_id"], "feed_id long, article_id long, winner_id long, gate string")
     _finish(jobs.start_ingest(items, articles, audit, scratch_folder(spark, "ckpt")))

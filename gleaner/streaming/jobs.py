@@ -78,9 +78,9 @@ def fold_failures(batch: DataFrame, state: DataFrame) -> DataFrame:
     The batch reduces to one row per feed: its leading, longest and trailing run of failures. The leading
     run continues the stored one.
     """
-    from ..operators.attempts import day, streaks
+    from ..operators.attempts import chunk_of, streaks
 
-    runs = streaks(batch, ["feed_id"], ["seq"], day(), ~F.col("ok"))
+    runs = streaks(batch, ["feed_id"], ["seq"], chunk_of(), ~F.col("ok"))
     first_ok = batch.groupBy("feed_id").agg(F.min(F.when(F.col("ok"), F.col("seq"))).alias("first_ok"))
     summary = runs.join(first_ok, "feed_id").groupBy("feed_id").agg(
         F.max("seq").alias("seq"), F.max_by("streak", "seq").alias("trailing"), F.max("streak").alias("longest"),

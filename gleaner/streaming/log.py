@@ -13,8 +13,7 @@ from ..operators.ranking import latest_per_key
 class KeyedLog:
     """Rows are written to one folder per batch; a replayed batch overwrites its own folder only.
 
-    Writing costs what the batch costs, whatever the size of the table. Readers take the last row per key;
-    :meth:`compact` folds old batches now and then.
+    Writing costs what the batch costs, whatever the size of the table. Readers take the last row per key.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], schema: StructType | str):
@@ -33,18 +32,5 @@ class KeyedLog:
         return df if before is None else df.where(F.col("batch") < before)
 
     def latest(self, order: Sequence[str] = (), before: int | None = None) -> DataFrame:
-        return latest_per_key(self.rows(before), self.keys, ["batch", *order]).drop("batch")
-
-    def compact(self, upto: int, order: Sequence[str] = ()) -> None:
-        """Fold the batches up to ``upto`` into that batch's folder, through a copy at the side."""
-        side = f"{self.path}_compact_{upto}"
-        self.latest(order, upto + 1).write.mode("overwrite").parquet(side)
-        self.write(self.spark.read.schema(self.schema).parquet(side), upto)
-        hadoop = self.spark._jvm.org.apache.hadoop.fs
-        root = hadoop.Path(self.path)
-        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        for status in fs.listStatus(root):
-            name = status.getPath().getName()
-            if name.startswith("batch=") and 0 <= int(name[6:]) < upto:
-                fs.delete(status.getPath(), True)
-        fs.delete(hadoop.Path(side), True)
+        """Last row per key by the caller's order; the batch only settles ties, as changes may come late."""
+        return latest_per_key(self.rows(before), self.keys, [*order, "batch"]).drop("batch")
