@@ -43,12 +43,31 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return exact_radix.exact_groups(table(spark, folder, "documents"))
 
 
-@query("op5_licences")
-def op5(spark: SparkSession, folder: str) -> DataFrame:
-    return licences.with_labels(table(spark, folder, "documents"))
+WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
 
 
-WORDS = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+def _templates() -> str:
+    rows = [(i, text, label, i < len(licences.PHRASES)) for i, (text, label) in enumerate([*licences.PHRASES, *licences.NOTICES])]
+    return ", ".join(f"({i}, '{text}', '{label}', {base})" for i, text, label, base in rows)
+
+
+@query("op5_licences", f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
+t AS MATERIALIZED (SELECT template, label, base, {WORDS} AS w FROM (VALUES {_templates()}) AS v(template, text, label, base)),
+grams AS (SELECT template, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT template, w, unnest(range(0, len(w) - 1)) AS p FROM t)),
+votes AS (SELECT doc_id, template, p, i FROM (SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM d)) JOIN grams USING (a, b)),
+steps AS (SELECT doc_id, template, diag, (diag - lag(diag) OVER (PARTITION BY doc_id, template ORDER BY diag) > {licences.GAP})::INT AS apart FROM (SELECT DISTINCT doc_id, template, i - p AS diag FROM votes)),
+spans AS (SELECT doc_id, template, diag, CASE WHEN base THEN diag ELSE sum(coalesce(apart, 0)) OVER (PARTITION BY doc_id, template ORDER BY diag) END AS span, label, base, len(w) AS m FROM steps JOIN t USING (template)),
+merged AS (SELECT doc_id, template, span, label, base, m, min(i) AS low, max(i) AS high FROM spans JOIN (SELECT doc_id, template, p, i, i - p AS diag FROM votes) USING (doc_id, template, diag) GROUP BY ALL),
+covered AS (SELECT doc_id, template, span, count(DISTINCT x) AS n FROM (SELECT doc_id, template, span, unnest([p, p + 1]) AS x FROM spans JOIN (SELECT doc_id, template, p, i, i - p AS diag FROM votes) USING (doc_id, template, diag)) GROUP BY ALL),
+shares AS (SELECT *, n / m AS share FROM merged JOIN covered USING (doc_id, template, span) WHERE high + 2 - low <= 2 * m),
+found AS (SELECT doc_id, count(*) FILTER (base AND share = 1) AS n_base, min(low) FILTER (base AND share = 1) AS first_word, max(low) FILTER (base AND share = 1) AS last_word,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (base AND share = 1)), ',') AS base_labels,
+  array_to_string(list_sort(list(DISTINCT label) FILTER (CASE WHEN base THEN share = 1 ELSE share >= {licences.COVERED} END)), ',') AS labels, max(share) AS score FROM shares GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score
+FROM d LEFT JOIN found USING (doc_id)""")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.with_labels(table(spark, folder, "documents"))
 
 
 @query("op6_phrase_index", f"""
