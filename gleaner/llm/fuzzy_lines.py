@@ -3,8 +3,8 @@
 Lines are compared without the white space at their ends; blank lines never count as copies. Equal lines share a
 64-bit hash; signatures are made once per distinct line and task. A task also joins its own lines with equal bands, so
 that a band shared by a great many lines meets as one entry per task, never as all its lines. Candidates are the pairs
-of a bucket's lines with the bucket's smallest; buckets whose lines end up in more than one component are looked at
-again, pair by pair across components, so that no pair of a bucket goes unseen.
+of a bucket's lines with one of them; in buckets whose lines end up in more than one component, those outside the
+largest are held against all others in blocks, so that no pair of a bucket goes unseen and no pairs are shuffled.
 """
 
 from __future__ import annotations
@@ -49,8 +49,8 @@ def jaccard(a: str, b: str, size: int = SHINGLE) -> float:
     return both / (len(x) + len(y) - both)
 
 
-def band_keys(rows: list[str], size: int = SHINGLE) -> np.ndarray:
-    """(lines, bands) keys of non-blank lines; equal in a band when the band's minima are."""
+def signatures(rows: list[str], size: int = SHINGLE) -> np.ndarray:
+    """(hash functions, lines) minima of non-blank lines."""
     padded = [r if len(r) >= size else r + "\0" * (size - len(r)) for r in rows]
     codes = np.frombuffer("".join(padded).encode("utf-32-le"), np.uint32).astype(np.uint64)
     length = np.array([len(r) for r in padded])
@@ -65,11 +65,15 @@ def band_keys(rows: list[str], size: int = SHINGLE) -> np.ndarray:
         inside[ends[:-1] - back] = False
     rolling, count = rolling[inside], length - size + 1
     cuts = np.cumsum(count) - count
-    keys = np.zeros((len(rows), BANDS), np.uint64)
+    return np.stack([np.minimum.reduceat(rolling * odd, cuts) for odd in ODD])
+
+
+def band_keys(rows: list[str], size: int = SHINGLE) -> np.ndarray:
+    """(lines, bands) keys of non-blank lines; equal in a band when the band's minima are."""
+    minima, keys = signatures(rows, size), np.zeros((len(rows), BANDS), np.uint64)
     for band in range(BANDS):
         key = np.full(len(rows), band + 1, np.uint64)
-        for odd in ODD[band * ROWS:(band + 1) * ROWS]:
-            least = np.minimum.reduceat(rolling * odd, cuts)
+        for least in minima[band * ROWS:(band + 1) * ROWS]:
             key = (key ^ (least >> np.uint64(7))) * MIX
             key ^= key >> np.uint64(31)
         keys[:, band] = key
@@ -180,24 +184,63 @@ def similar(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "u").join(right, "v").where(reaches("a", "b")).select("u", "v")
 
 
+ASKING, HELD = 256, 1024  # lines of a block on either side
+LIKELY = 0.68  # share of equal minima that a pair of similarity 0.8 falls short of with probability 0.001
+
+
+def across_components(members: DataFrame, roots: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
+    """Similar pairs (u, v) of bucket members that are in different components.
+
+    The lines outside a bucket's largest component ask, all of the bucket's lines answer. Both sides are dealt into
+    blocks, so a task sees ``ASKING`` x ``HELD`` lines whatever the bucket's size; signatures are compared first.
+    """
+    labelled = members.join(roots, "line", "left").select("bucket", "line", F.coalesce("root", "line").alias("root"))
+    sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("n > 2 and top.n < n").select(
+        "bucket", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / ASKING).alias("asking"), F.ceil(F.col("n") / HELD).alias("held"))
+    rows = stored(labelled.join(mixed, "bucket").join(bodies, "line"), "mixed")
+    place = lambda n: F.pmod(F.xxhash64("line", F.lit(7)), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    ask = rows.where("root <> top").withColumn("a", place("asking")).withColumn("h", every("held"))
+    answer = rows.withColumn("h", place("held")).withColumn("a", every("asking"))
+    cols = ["bucket", "a", "h", "line", "root", "body"]
+
+    def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({"u": [], "v": []}).astype("int64")
+        x, y = signatures(list(left.body)), signatures(list(right.body))
+        alike = np.zeros((len(left), len(right)), np.uint8)
+        for a, b in zip(x, y):
+            alike += a[:, None] == b[None, :]
+        likely = (alike >= LIKELY * len(x)) & (left.root.to_numpy()[:, None] != right.root.to_numpy()[None, :])
+        found, done = [], set()
+        mine, theirs = [shingles(b) for b in left.body], [shingles(b) for b in right.body]
+        for i, j in zip(*np.nonzero(likely)):
+            pair = (left.root.iloc[i], right.root.iloc[j])
+            if pair in done:
+                continue
+            both = len(mine[i] & theirs[j])
+            if both >= similarity * (len(mine[i]) + len(theirs[j]) - both):
+                done.add(pair)
+                found.append((left.line.iloc[i], right.line.iloc[j]))
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    return ask.select(*cols).groupBy("bucket", "a", "h").cogroup(answer.select(*cols).groupBy("bucket", "a", "h")).applyInPandas(compare, "u long, v long")
+
+
 def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """Occurrences (did, dkey, hashes), and roots (line, root) of the lines that have a different line in their component."""
     found = stored(occurrences(docs), "lines")
     members = stored(band_members(docs), "bands")
-    pivots = members.groupBy("bucket").agg(F.min("line").alias("u"))
-    pairs = stored(members.join(pivots, "bucket").where("line <> u").select("u", F.col("line").alias("v")).distinct(), "pairs")
+    # another one in every band, so that a line meets several of its likes
+    pivots = members.groupBy("bucket").agg(F.min_by("line", F.xxhash64("bucket", "line")).alias("u"))
+    pairs = members.join(pivots, "bucket").where("line <> u").select(F.least("u", "line").alias("u"), F.greatest("u", "line").alias("v")).distinct()
     places = found.select("did", "dkey", F.posexplode("hashes").alias("at", "line"))
     wanted = members.select("line").distinct().join(places, "line").groupBy("line").agg(F.min(F.struct("did", "dkey", "at")).alias("first"))
     bodies = stored(line_texts(docs, wanted.select("line", "first.*")), "bodies")
     edges = stored(similar(pairs, bodies, similarity), "edges")
     roots = component_roots(edges, "roots").select(F.col("node").alias("line"), "root")
-    labelled = members.join(roots, "line", "left").select("bucket", "line", F.coalesce("root", "line").alias("root"))
-    mixed = labelled.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low <> high and n > 2")
-    open_ = stored(labelled.join(mixed.select("bucket"), "bucket"), "mixed")
-    other = open_.select("bucket", F.col("line").alias("v"), F.col("root").alias("other"))
-    across = open_.withColumnRenamed("line", "u").join(other, "bucket").where("root < other")
-    across = across.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    more = stored(similar(across, bodies, similarity), "edges")
+    more = stored(across_components(members, roots, bodies, similarity), "edges")
     if not more.isEmpty():
         roots = component_roots(edges.unionAll(more), "roots").select(F.col("node").alias("line"), "root")
     return found, roots
