@@ -16,27 +16,23 @@ from .ranking import top_per_group
 UNKNOWN = "unknown"
 
 
-def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang", size: int = 500) -> DataFrame:
-    """``(lang, token, w)``: log frequency of the ``size`` most frequent tokens of every language.
-
-    The profile is a model of bounded size (languages x ``size``); it is learned from all texts.
-    """
+def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
+    """``(lang, token, w)``: log frequency of every token of every language, learned from all texts."""
     counts = docs.select(lang, F.explode_outer(tokens(F.col(text))).alias("token")).where("token is not null").groupBy(lang, "token").agg(F.count("*").alias("n"))
     totals = counts.groupBy(lang).agg(F.sum("n").alias("total"))
-    best = top_per_group(counts, [lang], [F.col("n").desc(), F.col("token")], size)
-    profile = best.join(totals, lang).select(F.col(lang).alias("lang"), "token", F.ln(F.col("n") / F.col("total")).alias("w"))
+    profile = counts.join(totals, lang).select(F.col(lang).alias("lang"), "token", F.ln(F.col("n") / F.col("total")).alias("w"))
     return cut_lineage(profile)  # learned once, looked up many times
 
 
 def detect_language(df: DataFrame, key: str, text: str, profiles: DataFrame, min_chars: int = 10, penalty: float = -12.0) -> DataFrame:
     """``(key, lang)``: highest sum of log weights over the tokens; ``penalty`` for a token outside a profile.
 
-    Texts under ``min_chars`` characters or without any known token are ``unknown``. The join is on the
-    token with the bounded profile; scores are partial aggregates per (document, language).
+    Texts under ``min_chars`` characters or without any known token are ``unknown``. The join is on the token, after
+    the tokens of a document have been counted; scores are partial aggregates per (document, language).
     """
     long_enough = F.length(squash(F.coalesce(F.col(text), F.lit("")))) >= min_chars
-    words = df.where(long_enough).select(key, F.explode_outer(tokens(F.col(text))).alias("token"))
-    counts = words.join(small_side(profiles), "token").groupBy(key, "lang").agg(F.sum(F.col("w") - penalty).alias("gain"))
+    words = df.where(long_enough).select(key, F.explode_outer(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
+    counts = words.join(small_side(profiles), "token").groupBy(key, "lang").agg(F.sum(F.greatest(F.col("w") - penalty, F.lit(0.0)) * F.col("n")).alias("gain"))
     best = counts.groupBy(key).agg(F.min_by("lang", F.struct(-F.round("gain", 6), F.col("lang"))).alias("lang"))
     return df.select(key).join(best, key, "left").select(key, F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
 

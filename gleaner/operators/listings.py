@@ -24,11 +24,11 @@ def list_articles(articles: DataFrame, feeds: DataFrame | None = None, article_t
         named = topics.where(F.col("name") == topic).select("topic_id")
         out = out.join(article_topics.join(named, "topic_id", "left_semi").select("article_id"), "article_id", "left_semi")
     if q and q.strip():
-        from .search import keyword_search
+        from .search import keyword_matches
 
         asked = articles.sparkSession.createDataFrame([(0, q)], "query_id long, query string")
-        # every match may be on some page, so nothing is cut here
-        hits = keyword_search(index, asked, 2**31 - 2).select(F.col("doc_id").alias("article_id"))
+        # every match may be on some page: they are neither ranked nor cut
+        hits = keyword_matches(index, asked).select(F.col("doc_id").alias("article_id"))
         out = out.join(hits, "article_id", "left_semi")
     cols = ["article_id", "title", "status", "lang", "published_at", "feed_id", "fetched_at"]
     return out.select(*cols).orderBy(F.col("fetched_at").desc(), "article_id").offset((page - 1) * size).limit(size)

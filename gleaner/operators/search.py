@@ -47,8 +47,8 @@ def _has_phrase(text: Column, phrase: Column) -> Column:
     return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
 
 
-def keyword_search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """``(query_id, doc_id, score, rank)`` by BM25, best ``k`` per query.
+def keyword_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(query_id, doc_id, score)``: every match with its BM25 score, in no order.
 
     Each alternative is looked up by its rarest term only, which keeps the candidates as few as the index
     allows; the other terms, phrases and exclusions are checked on the candidate's own row.
@@ -87,11 +87,15 @@ def keyword_search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         F.forall(real, lambda h: F.map_contains_key("terms", h["term"]))
         & F.forall("phrases", lambda p: _has_phrase(F.col("token_text"), p))
         & ~F.exists("neg", lambda p: _has_phrase(F.col("token_text"), p)))
-    scored = (
+    return (
         matched.select("query_id", "doc_id", F.aggregate(real, F.lit(0.0), lambda acc, h: acc + part(h)).alias("s"))
         .groupBy("query_id", "doc_id").agg(F.round(F.max("s"), 6).alias("score"))
     )
-    return top_per_group(scored, ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+
+
+def keyword_search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``(query_id, doc_id, score, rank)``: the best ``k`` matches per query."""
+    return top_per_group(keyword_matches(index, queries), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
 def keyword_search_wiki(index: DataFrame, pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:

@@ -113,9 +113,9 @@ def tokenize(spark, sf):
 @query("lang_id", f"""
 WITH w AS (SELECT doc_id, lang, unnest({O.tok('text')}) AS token FROM documents),
 c AS (SELECT lang, token, count(*) AS n FROM w GROUP BY 1, 2),
-p AS (SELECT lang, token, ln(n / sum(n) OVER (PARTITION BY lang)) AS w, row_number() OVER (PARTITION BY lang ORDER BY n DESC, token) AS r FROM c),
-g AS (SELECT w.doc_id, p.lang, round(sum(p.w + 12.0), 6) AS gain FROM w JOIN p USING (token) JOIN documents d ON d.doc_id = w.doc_id
-      WHERE r <= 500 AND length({O.norm('d.text')}) >= 10 GROUP BY 1, 2),
+p AS (SELECT lang, token, ln(n / sum(n) OVER (PARTITION BY lang)) AS w FROM c),
+g AS (SELECT w.doc_id, p.lang, round(sum(greatest(p.w + 12.0, 0)), 6) AS gain FROM w JOIN p USING (token) JOIN documents d ON d.doc_id = w.doc_id
+      WHERE length({O.norm('d.text')}) >= 10 GROUP BY 1, 2),
 b AS (SELECT doc_id, arg_min(lang, (-gain, lang)) AS lang FROM g GROUP BY 1)
 SELECT d.doc_id, coalesce(b.lang, 'unknown') AS lang FROM documents d LEFT JOIN b USING (doc_id)""")
 def lang_id(spark, sf):
