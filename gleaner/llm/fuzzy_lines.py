@@ -184,25 +184,29 @@ def similar(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame
     return pairs.join(left, "u").join(right, "v").where(reaches("a", "b")).select("u", "v")
 
 
-ASKING, HELD = 256, 1024  # lines of a block on either side
+FEW = 64  # lines of a bucket that is looked at as a whole
+ASKING, HELD = 256, 1024  # lines of a block on either side, of larger buckets
 LIKELY = 0.68  # share of equal minima that a pair of similarity 0.8 falls short of with probability 0.001
 
 
 def across_components(members: DataFrame, roots: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
     """Similar pairs (u, v) of bucket members that are in different components.
 
-    The lines outside a bucket's largest component ask, all of the bucket's lines answer. Both sides are dealt into
-    blocks, so a task sees ``ASKING`` x ``HELD`` lines whatever the bucket's size; signatures are compared first.
+    The lines outside a bucket's largest component ask, all of the bucket's lines answer. Small buckets are taken
+    together, as many groups as there are shuffle partitions. Of larger ones both sides are dealt into blocks, so a task
+    sees ``ASKING`` x ``HELD`` lines whatever the bucket's size; signatures are compared first.
     """
+    parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labelled = members.join(roots, "line", "left").select("bucket", "line", F.coalesce("root", "line").alias("root"))
     sizes = labelled.groupBy("bucket", "root").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("bucket").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("top")).where("n > 2 and top.n < n").select(
-        "bucket", F.col("top.root").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / ASKING).alias("asking"), F.ceil(F.col("n") / HELD).alias("held"))
+        "bucket", F.col("top.root").alias("top"), "n", F.ceil((F.col("n") - F.col("top.n")) / ASKING).alias("asking"), F.ceil(F.col("n") / HELD).alias("held"))
     rows = stored(labelled.join(mixed, "bucket").join(bodies, "line"), "mixed")
     place = lambda n: F.pmod(F.xxhash64("line", F.lit(7)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    ask = rows.where("root <> top").withColumn("a", place("asking")).withColumn("h", every("held"))
-    answer = rows.withColumn("h", place("held")).withColumn("a", every("asking"))
+    small, large = rows.where(F.col("n") <= FEW), rows.where(F.col("n") > FEW)
+    ask = large.where("root <> top").withColumn("a", place("asking")).withColumn("h", every("held"))
+    answer = large.withColumn("h", place("held")).withColumn("a", every("asking"))
     cols = ["bucket", "a", "h", "line", "root", "body"]
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -225,7 +229,33 @@ def across_components(members: DataFrame, roots: DataFrame, bodies: DataFrame, s
                 found.append((left.line.iloc[i], right.line.iloc[j]))
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
-    return ask.select(*cols).groupBy("bucket", "a", "h").cogroup(answer.select(*cols).groupBy("bucket", "a", "h")).applyInPandas(compare, "u long, v long")
+    def compare_small(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("bucket", kind="stable")
+        line, root, top, body = rows.line.tolist(), rows.root.tolist(), rows.top.tolist(), rows.body.tolist()
+        cuts = np.append(np.flatnonzero(np.diff(rows.bucket.to_numpy(), prepend=rows.bucket.iloc[0] - 1)), len(rows)).tolist()
+        sets, seen, found = {}, set(), []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            for i in range(a, b):
+                if root[i] == top[i]:
+                    continue
+                for j in range(a, b):
+                    pair = (line[i], line[j]) if line[i] < line[j] else (line[j], line[i])
+                    if root[i] == root[j] or pair in seen:
+                        continue
+                    seen.add(pair)
+                    for k in (i, j):
+                        if line[k] not in sets:
+                            sets[line[k]] = shingles(body[k])
+                    x, y = sets[line[i]], sets[line[j]]
+                    if min(len(x), len(y)) >= similarity * max(len(x), len(y)):
+                        both = len(x & y)
+                        if both >= similarity * (len(x) + len(y) - both):
+                            found.append(pair)
+        return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
+
+    blocks = ask.select(*cols).groupBy("bucket", "a", "h").cogroup(answer.select(*cols).groupBy("bucket", "a", "h")).applyInPandas(compare, "u long, v long")
+    dealt = small.select(F.pmod(F.xxhash64("bucket"), F.lit(parts)).alias("part"), "bucket", "line", "root", "top", "body").repartition(parts, "part")
+    return dealt.groupBy("part").applyInPandas(compare_small, "u long, v long").unionAll(blocks)
 
 
 def line_components(docs: DataFrame, similarity: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
