@@ -22,7 +22,7 @@ from .components import component_roots
 
 SHINGLE, ROWS, BANDS, SIMILARITY = 7, 5, 20, 0.8  # finds a pair of similarity 0.8 with probability 0.9996, of 0.85 with 0.99999
 NO_ID = -(1 << 63)  # stands for a null doc_id in joins
-ODD = np.random.default_rng(20240501).integers(1 << 62, 1 << 63, ROWS * BANDS, dtype=np.uint64) | np.uint64(1)
+ODD = np.random.default_rng(20240501).integers(1 << 30, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -63,9 +63,13 @@ def signatures(rows: list[str], size: int = SHINGLE) -> np.ndarray:
     inside = np.ones(len(rolling), bool)
     for back in range(1, size):
         inside[ends[:-1] - back] = False
-    rolling, count = rolling[inside], length - size + 1
+    # 32 bits are enough: similar lines are compared exactly
+    rolling, count = (rolling[inside] >> np.uint64(32)).astype(np.uint32), length - size + 1
     cuts = np.cumsum(count) - count
-    return np.stack([np.minimum.reduceat(rolling * odd, cuts) for odd in ODD])
+    minima, hashed = np.empty((len(ODD), len(rows)), np.uint32), np.empty_like(rolling)
+    for least, odd in zip(minima, ODD):
+        np.minimum.reduceat(np.multiply(rolling, odd, out=hashed), cuts, out=least)
+    return minima
 
 
 def band_keys(rows: list[str], size: int = SHINGLE) -> np.ndarray:
@@ -74,7 +78,7 @@ def band_keys(rows: list[str], size: int = SHINGLE) -> np.ndarray:
     for band in range(BANDS):
         key = np.full(len(rows), band + 1, np.uint64)
         for least in minima[band * ROWS:(band + 1) * ROWS]:
-            key = (key ^ (least >> np.uint64(7))) * MIX
+            key = (key ^ least) * MIX
             key ^= key >> np.uint64(31)
         keys[:, band] = key
     return keys
@@ -102,7 +106,7 @@ def band_members(docs: DataFrame) -> DataFrame:
                         some.append(line.strip())
                         ids.append(h)
                         held += len(line)
-                        if held > 1 << 19:
+                        if held > 1 << 16:  # arrays that stay in a core's cache
                             sign(some, ids)
                             some, ids, held = [], [], 0
         if some:
