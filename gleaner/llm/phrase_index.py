@@ -81,7 +81,9 @@ def alignments(index: DataFrame, pairs: DataFrame) -> DataFrame:
 def phrase_matches(index: DataFrame, docs: DataFrame, tests: DataFrame, terms: DataFrame, window: int = WINDOW) -> DataFrame:
     """row, item, start, end: maximal stretches of at least ``window`` words (all, of shorter items) that a document and
     an item have in common, in words of the document."""
-    found = alignments(index, window_pairs(tests, terms, window)).join(tests, "test")
+    # written first, so that its size is known when it meets the postings: a small one spares them a shuffle
+    pairs = stored(window_pairs(tests, terms, window), "pairs")
+    found = alignments(index, pairs).join(tests, "test")
     # the alignments of one document: no more than its words times the tests
     asked = found.groupBy("row").agg(F.collect_list(F.struct("test", "item", "words", "m", "diag")).alias("asked"))
     asked = asked.join(indexed_documents(index), "row").select("row", F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "key", "asked")
@@ -104,7 +106,7 @@ def proximity_matches(index: DataFrame, tests: DataFrame, terms: DataFrame, with
     """
     by_rarity = F.row_number().over(Window.partitionBy("test").orderBy("n", "term"))
     rare = terms.select("test", "term", "n").distinct().withColumn("r", by_rarity).where("r <= 2").join(tests.select("test", "item"), "test")
-    places = postings(index).join(rare.select("item", "test", "term", "r"), "term")
+    places = postings(index).join(stored(rare.select("item", "test", "term", "r"), "rare"), "term")
     order = Window.partitionBy("test", "row").orderBy("pos")
     near = places.withColumns({"back": F.lag("pos").over(order), "other": F.lag("r").over(order)})
     return near.where(F.col("other") != F.col("r")).where(F.col("pos") - F.col("back") <= within).select("row", "item").distinct()
