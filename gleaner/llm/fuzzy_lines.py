@@ -190,7 +190,6 @@ def similar(pairs: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame
 
 FEW = 64  # lines of a bucket that is looked at as a whole
 ASKING, HELD = 256, 1024  # lines of a block on either side, of larger buckets
-LIKELY = 0.68  # share of equal minima that a pair of similarity 0.8 falls short of with probability 0.001
 
 
 def across_components(members: DataFrame, roots: DataFrame, bodies: DataFrame, similarity: float) -> DataFrame:
@@ -198,7 +197,8 @@ def across_components(members: DataFrame, roots: DataFrame, bodies: DataFrame, s
 
     The lines outside a bucket's largest component ask, all of the bucket's lines answer. Small buckets are taken
     together, as many groups as there are shuffle partitions. Of larger ones both sides are dealt into blocks, so a task
-    sees ``ASKING`` x ``HELD`` lines whatever the bucket's size; signatures are compared first.
+    sees ``ASKING`` x ``HELD`` lines whatever the bucket's size. Every pair is verified exactly but those whose sizes rule
+    it out, and those that edges found before in the block have joined.
     """
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     labelled = members.join(roots, "line", "left").select("bucket", "line", F.coalesce("root", "line").alias("root"))
@@ -216,21 +216,29 @@ def across_components(members: DataFrame, roots: DataFrame, bodies: DataFrame, s
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"u": [], "v": []}).astype("int64")
-        x, y = signatures(list(left.body)), signatures(list(right.body))
-        alike = np.zeros((len(left), len(right)), np.uint8)
-        for a, b in zip(x, y):
-            alike += a[:, None] == b[None, :]
-        likely = (alike >= LIKELY * len(x)) & (left.root.to_numpy()[:, None] != right.root.to_numpy()[None, :])
-        found, done = [], set()
-        mine, theirs = [shingles(b) for b in left.body], [shingles(b) for b in right.body]
-        for i, j in zip(*np.nonzero(likely)):
-            pair = (left.root.iloc[i], right.root.iloc[j])
-            if pair in done:
+        number: dict[str, int] = {}
+        mine = [np.array([number.setdefault(s, len(number)) for s in shingles(b)], np.int64) for b in left.body]
+        none = len(number)  # of shingles that no asking line has
+        theirs = [np.fromiter((number.get(s, none) for s in shingles(b)), np.int64) for b in right.body]
+        order = np.argsort([len(t) for t in theirs], kind="stable")  # by size: the lines that can be similar stand together
+        theirs, line, root = [theirs[j] for j in order], right.line.to_numpy()[order], right.root.to_numpy()[order]
+        sizes = np.array([len(t) for t in theirs])
+        ends = np.concatenate(([0], np.cumsum(sizes)))
+        held_ids, has = np.concatenate(theirs), np.zeros(none + 1, bool)
+        own, found = left.root.to_numpy().copy(), []
+        for i, ids in enumerate(mine):
+            low, high = np.searchsorted(sizes, similarity * len(ids) - 1e-6, "left"), np.searchsorted(sizes * similarity, len(ids) + 1e-6, "right")
+            if low >= high or (root[low:high] == own[i]).all():
                 continue
-            both = len(mine[i] & theirs[j])
-            if both >= similarity * (len(mine[i]) + len(theirs[j]) - both):
-                done.add(pair)
-                found.append((left.line.iloc[i], right.line.iloc[j]))
+            has[ids] = True
+            both = np.add.reduceat(has[held_ids[ends[low]:ends[high]]], ends[low:high] - ends[low], dtype=np.int64)
+            has[ids] = False
+            for j in low + np.flatnonzero(both / (len(ids) + sizes[low:high] - both) >= similarity):
+                joined = root[j]
+                if joined != own[i]:  # those joined by now are one component
+                    found.append((left.line.iloc[i], line[j]))
+                    root[root == joined] = own[i]
+                    own[own == joined] = own[i]
         return pd.DataFrame(found, columns=["u", "v"]).astype("int64")
 
     def compare_small(rows: pd.DataFrame) -> pd.DataFrame:

@@ -83,3 +83,21 @@ def test_signatures_estimate_similarity():
         assert fuzzy_lines.jaccard(base, other) > 0.8
         found += bool((a == b).any())
     assert found >= 297
+
+
+def test_pairs_of_large_buckets_are_verified_whatever_their_signatures(spark):
+    rng = random.Random(1477)
+    line = "q" + "".join(rng.choices("abcdefgh ", k=130)) + "q"
+    at = rng.randrange(10, 100)
+    other = line[:at] + "".join(rng.choices("xyz", k=8)) + line[at + 8:]
+    minima, (a, b) = fuzzy_lines.signatures([line, other]), fuzzy_lines.band_keys([line, other])
+    # similar, and in a bucket together, with two in three minima equal
+    assert fuzzy_lines.jaccard(line, other) >= 0.8 and (a == b).any() and (minima[:, 0] == minima[:, 1]).mean() < 0.68
+    short = line[:40]
+    bodies = [line, other, *("".join(rng.choices("abcdefgh ", k=rng.randint(20, 300))) for _ in range(1500)), short, short + "x", short + "y"]
+    lines = spark.createDataFrame(list(enumerate(bodies)), "line long, body string")
+    members = lines.selectExpr("1L AS bucket", "line")
+    roots = spark.createDataFrame([], "line long, root long")
+    found = {tuple(sorted(r)) for r in fuzzy_lines.across_components(members, roots, lines, 0.8).collect()}
+    # edges between lines that others join may be left out
+    assert (0, 1) in found and len(found - {(0, 1)}) >= 2 and found - {(0, 1)} <= {(1502, 1503), (1502, 1504), (1503, 1504)}
