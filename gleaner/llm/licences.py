@@ -1,7 +1,8 @@
 """Licence notices by diagonal voting: word k-grams of documents and templates meet by rolling hash.
 
 A shared k-gram votes for the diagonal on which the template would begin. Votes are summed per diagonal, neighbouring
-diagonals (words put in or left out) are merged, and a merged span counts when it holds enough of the template.
+diagonals (words put in or left out) are merged, and a merged span counts when a stretch of at most twice the template's
+words holds enough of the template; every stretch of a longer span is looked at.
 """
 
 from __future__ import annotations
@@ -34,8 +35,8 @@ def with_labels(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notic
                 gap: int = GAP) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    ``phrases`` count at every place where all their words stand; ``notices`` add their label where a merged span holds
-    ``covered`` of their words. ``score`` is the largest share of a phrase or notice found: 1 for a whole one, 0 for
+    ``phrases`` count at every place where all their words stand; ``notices`` add their label where a stretch of a merged
+    span holds ``covered`` of their words. ``score`` is the largest share of a phrase or notice found: 1 for a whole one, 0 for
     none. Null texts have no words. Both lists are constants of the job, so their grams are broadcast.
     """
     spark = docs.sparkSession
@@ -54,12 +55,20 @@ def with_labels(docs: DataFrame, phrases: list[tuple[str, str]] = PHRASES, notic
         F.count("*").alias("votes"), F.min("i").alias("low"), F.max("i").alias("high"), F.collect_set("at").alias("places"))
     order = Window.partitionBy("id", "key", "template").orderBy("diag")
     apart = (F.col("diag") - F.lag("diag").over(order) > gap).cast("int")
-    merged = (diagonals.join(info, "template").withColumn("span", F.when(F.col("base"), F.col("diag")).otherwise(F.sum(F.coalesce(apart, F.lit(0))).over(order)))
-              .groupBy("id", "key", "template", "label", "base", "m", "span")
-              .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")))
-    words = F.size(F.array_distinct(F.flatten(F.transform("places", lambda p: F.sequence(p, p + K - 1)))))
-    # a span that is much longer than its template is chance
-    spans = merged.where(F.col("high") + K - F.col("low") <= 2 * F.col("m")).withColumn("share", words / F.col("m"))
+    chain = Window.partitionBy("id", "key", "template", "span")
+    reach = 2 * F.col("m") - K + 1  # first words of grams that fit a stretch of twice the template
+    block = lambda word: F.floor(word / reach)
+    # a chain that fits one stretch is a group; a longer one is dealt to blocks, each with the one after it, so that every stretch is in a block
+    chained = (diagonals.join(info, "template").withColumn("span", F.when(F.col("base"), F.col("diag")).otherwise(F.sum(F.coalesce(apart, F.lit(0))).over(order)))
+               .withColumn("long", F.max("high").over(chain) - F.min("low").over(chain) >= reach)
+               .withColumn("block", F.explode(F.when(F.col("long"), F.sequence(F.greatest(block(F.col("low")) - 1, F.lit(0)), block(F.col("high")))).otherwise(F.array(F.lit(0).cast("long"))))))
+    merged = chained.groupBy("id", "key", "template", "label", "base", "m", "span", "long", "block").agg(
+        F.min("low").alias("low"), F.collect_list(F.struct("diag", "places")).alias("parts"))
+    pairs = F.flatten(F.transform("parts", lambda d: F.transform(d["places"], lambda p: F.struct((d["diag"] + p).alias("i"), p.alias("at")))))
+    words = lambda these: F.size(F.array_distinct(F.flatten(F.transform(these, lambda v: F.array(*[v["at"] + k for k in range(K)])))))
+    starts = F.filter(F.array_distinct(F.transform("pairs", lambda v: v["i"])), lambda i: block(i) == F.col("block"))
+    best = F.array_max(F.transform(starts, lambda i: words(F.filter("pairs", lambda v: (v["i"] >= i) & (v["i"] < i + reach)))))
+    spans = merged.withColumn("pairs", pairs).withColumn("share", F.when(F.col("long"), best).otherwise(words(F.col("pairs"))) / F.col("m"))
     whole = F.col("base") & (F.col("share") == 1)
     taken = F.when(F.when(F.col("base"), F.col("share") == 1).otherwise(F.col("share") >= covered), F.col("label"))
     found = spans.groupBy("id", "key").agg(

@@ -46,6 +46,43 @@ def test_phrases_and_notices(spark):
     assert licences.with_labels(rows.limit(0)).count() == 0
 
 
+def brute_notices(text):
+    """Labels of notices and the largest share, from every stretch of twice the notice's words."""
+    have, labels, score = words(text), set(), 0
+    for body, label in licences.NOTICES:
+        want = words(body)
+        votes = [(i, p) for i in range(len(have) - 1) for p in range(len(want) - 1) if have[i:i + 2] == want[p:p + 2]]
+        chains, before = [], None
+        for diag in sorted({i - p for i, p in votes}):
+            if before is None or diag - before > licences.GAP:
+                chains.append(set())
+            chains[-1].add(diag)
+            before = diag
+        for chain in chains:
+            mine = [v for v in votes if v[0] - v[1] in chain]
+            for start, _ in mine:
+                share = len({w for i, p in mine if start <= i <= start + 2 * len(want) - 2 for w in (p, p + 1)}) / len(want)
+                score = max(score, share)
+                if share >= licences.COVERED:
+                    labels.add(label)
+    return labels, score
+
+
+def test_notices_chained_to_their_neighbours(spark):
+    rng = random.Random(6)
+    grams = [" ".join(w[a:a + rng.randint(2, 5)]) for w in (words(n) for n, _ in licences.NOTICES) for a in range(len(w) - 1)]
+    texts = ["CC BY, CC BY, CC BY, CC BY, CC BY: licensed under CC BY-NC 4.0", "CC BY " * 300 + "licensed under CC BY-NC 4.0 " + "under CC " * 300]
+    texts += [" ".join(rng.choices(grams + [n for n, _ in licences.NOTICES] * 3 + ["x", "y z"] * 20, k=rng.randint(1, 60))) for _ in range(60)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in licences.with_labels(frame).collect()}
+    assert all("cc-by-nc-4.0" in got[i].labels.split(",") and got[i].score == 1 for i in (0, 1))
+    for i, t in enumerate(texts):
+        labels, score = brute_notices(t)
+        base = set(filter(None, got[i].base_labels.split(",")))
+        assert set(filter(None, got[i].labels.split(","))) == labels | base, t
+        assert got[i].score >= score and (base or got[i].score in (score, 0.5, 1 / 3, 2 / 3) or abs(got[i].score - score) < 1e-9), t
+
+
 def test_contamination(spark):
     rng = random.Random(8)
     vocabulary = [f"w{i}" for i in range(25)] + ["é", "the"]
