@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_folder
-from . import exact_radix, fuzzy_lines, gray_index, language, licences, packing, phrase_index, repeated_spans, token_planes, url_filter
+from . import exact_radix, fuzzy_lines, gray_index, language, licences, packing, phrase_index, repeated_spans, spelling, token_planes, url_filter
 from .common import table
 from .registry import query
 
@@ -124,3 +124,8 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_bucket_pointers")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return repeated_spans.removed_spans(table(spark, folder, "documents"))
+
+
+@query("op11_spelling")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variant_groups(spelling.vocabulary(table(spark, folder, "documents"), damage_every=97))
