@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_folder
-from . import exact_radix, fuzzy_lines, gray_index, language, licences, packing, phrase_index, repeated_spans, spelling, token_planes, url_filter
+from . import exact_radix, fuzzy_lines, gray_index, language, lexical, licences, packing, phrase_index, repeated_spans, spelling, token_planes, url_filter
 from .common import table
 from .registry import query
 
@@ -129,3 +129,18 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_spelling")
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variant_groups(spelling.vocabulary(table(spark, folder, "documents"), damage_every=97))
+
+
+@query("op13_lexical", f"""
+WITH d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
+s AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
+q AS (SELECT item_id, t, count(*) AS times FROM (SELECT item_id, unnest({WORDS}) AS t FROM benchmark) GROUP BY ALL),
+p AS MATERIALIZED (SELECT doc_id, t, m, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS t, 75 + (25 * len(w) * n) // l AS m FROM d, s) SEMI JOIN q USING (t) GROUP BY ALL),
+v AS (SELECT t, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS weight FROM (SELECT t, count(*) AS df FROM p GROUP BY 1), s),
+scores AS (SELECT item_id, doc_id, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score FROM q JOIN p USING (t) JOIN v USING (t) GROUP BY ALL)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS place FROM scores WHERE score > 0) WHERE place <= 20""")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    path = scratch_folder(spark, "lexical")
+    lexical.write_index(table(spark, folder, "documents"), path)
+    return lexical.search(spark, path, table(spark, folder, "benchmark"))
