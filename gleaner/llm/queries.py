@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import scratch_folder
-from . import exact_radix, fuzzy_lines, gray_index, language, lexical, licences, packing, phrase_index, repeated_spans, spelling, token_planes, url_filter
+from . import exact_radix, fuzzy_lines, gray_index, language, lexical, licences, packing, phrase_index, repeated_spans, set_sketch, spelling, token_planes, url_filter
 from .common import table
 from .registry import query
 
@@ -131,6 +131,11 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variant_groups(spelling.vocabulary(table(spark, folder, "documents"), damage_every=97))
 
 
+@query("op12_set_sketch")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return set_sketch.near_duplicates(table(spark, folder, "documents"))
+
+
 @query("op13_lexical", f"""
 WITH d AS MATERIALIZED (SELECT doc_id, {WORDS} AS w FROM documents),
 s AS (SELECT count(*) FILTER (len(w) > 0) AS n, CAST(sum(len(w)) AS BIGINT) AS l FROM d),
