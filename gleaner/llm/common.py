@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..session import scratch_folder
 
+NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 ASCII_UPPER, ASCII_LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # A word of the licence and contamination contracts, written as what stands between words.
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -35,3 +36,12 @@ def ascii_lower(text: Column) -> Column:
 def words_of(text: Column) -> Column:
     """Lower-cased words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` in order."""
     return F.filter(F.split(ascii_lower(text), NO_WORD), lambda w: w != "")
+
+
+def matched(docs: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` as a struct ``row``, joined to ``found`` (did, dkey, ...) by id and hash of the text.
+
+    In a struct, columns of ``docs`` cannot clash with others; null and repeated ids are safe.
+    """
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("at_id"), F.xxhash64(text_or_empty()).alias("at_key"))
+    return rows.join(found, (F.col("at_id") == F.col("did")) & (F.col("at_key") == F.col("dkey")), how)

@@ -3,7 +3,7 @@
 Texts are cut beside single white-space characters, and before a stop or comma behind an ASCII letter or digit: places
 where the vocabularies used here always begin a token, so that the ids are those of the whole text. Pieces of up to 16
 bytes are looked up by their bytes in a table; the library encodes what is not in it. Texts with control characters or
-white space beyond ASCII, where such places are uncertain, are encoded whole.
+white space beyond ASCII, where such places are uncertain, or with the string of a special token are encoded whole.
 """
 
 from __future__ import annotations
@@ -70,8 +70,10 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.spaces, self.table = spaces, PieceTable()
+        # texts with the string of an added token are left to the library as they are
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.uncertain = re.compile("|".join([UNCERTAIN.pattern, *added]))
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -86,7 +88,7 @@ class PieceEncoder:
         return np.array(ids, np.uint32), np.array(length, np.int64)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [bool(t) and not UNCERTAIN.search(t) for t in texts]
+        plain = [bool(t) and not self.uncertain.search(t) for t in texts]
         out: list = [None if p else self.whole(t) if t else np.zeros(0, np.uint32) for p, t in zip(plain, texts)]
         if any(plain):
             which = [i for i, p in enumerate(plain) if p]

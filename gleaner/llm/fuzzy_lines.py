@@ -17,11 +17,10 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored, text_or_empty
+from .common import NO_ID, matched, stored, text_or_empty
 from .components import component_roots
 
 SHINGLE, ROWS, BANDS, SIMILARITY = 7, 5, 20, 0.8  # finds a pair of similarity 0.8 with probability 0.9996, of 0.85 with 0.99999
-NO_ID = -(1 << 63)  # stands for a null doc_id in joins
 ODD = np.random.default_rng(20240501).integers(1 << 30, 1 << 32, ROWS * BANDS, dtype=np.uint32) | np.uint32(1)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -322,9 +321,9 @@ def without(text: Column, dropped: Column) -> Column:
 
 def without_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with its columns and rows, copied lines removed from the texts; ``n_chars``, if there, follows."""
-    gone = dropped_lines(docs, similarity).withColumnsRenamed({"did": "_did", "dkey": "_dkey", "dropped": "_dropped"})
-    key = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_did")) & (F.xxhash64(text_or_empty()) == F.col("_dkey"))
-    out = docs.join(gone, key, "left").withColumn("text", without(F.col("text"), F.col("_dropped")))
+    out = matched(docs, dropped_lines(docs, similarity), "left")
+    row = F.col("row").withField("text", without(F.col("row.text"), F.col("dropped")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_dropped").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+        counted = F.char_length(without(F.col("row.text"), F.col("dropped"))).cast(docs.schema["n_chars"].dataType)
+        row = row.withField("n_chars", F.when(F.col("dropped").isNull(), F.col("row.n_chars")).otherwise(counted))
+    return out.select(row.alias("row")).select("row.*")

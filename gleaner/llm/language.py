@@ -14,14 +14,13 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ASCII_LOWER, ASCII_UPPER, stored, text_or_empty
 
 LANGUAGES = ("de", "en", "es", "fr")
 OTHER = "und"
-SAMPLE = 1_500  # labelled documents per language that the text models are fitted on
-SAMPLE_BYTES = 20_000  # of the text of each of these
+SAMPLE = 1_500  # labelled documents per language that the text models are fitted on, about
 BUCKETS = 1 << 14
 TEMPER = 60.0  # a text of n trigrams counts as TEMPER * n / (TEMPER + n) independent ones
 STRENGTH = 20.0  # documents that the level above a host or domain is worth
@@ -48,13 +47,16 @@ def trigrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def fitted(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, sample: int = SAMPLE) -> np.ndarray:
     """(buckets, classes) log likelihoods from a bounded sample of rows (text, label); the last class is flat.
 
-    The sample holds the rows of each label with the smallest hashes, so it does not depend on partitioning, and the
-    first ``SAMPLE_BYTES`` characters of each; the counts that reach the driver are one number per language and bucket.
+    The sample holds the texts of each label whose hash lies below a bound set by the label's row count, about ``sample``
+    of them, each once; it does not depend on partitioning, and only its own texts are shuffled. The counts that reach the
+    driver are one number per language and bucket.
     """
-    order = Window.partitionBy("label").orderBy("h", "text")
-    rows = (docs.where(F.col("label").isin(*languages)).select("label", text_or_empty().alias("text")).where("text <> ''")
-            .select("label", F.substring("text", 1, SAMPLE_BYTES).alias("text"), F.xxhash64("text").alias("h")).distinct()
-            .withColumn("place", F.row_number().over(order)).where(F.col("place") <= sample).select("label", "text"))
+    rows = docs.where(F.col("label").isin(*languages)).select("label", text_or_empty().alias("text"))
+    count_of = {r.label: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    bound = {label: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * sample // n) for label, n in count_of.items()}
+    below = F.create_map(*[F.lit(x) for pair in bound.items() for x in pair]) if bound else F.create_map().cast("map<string,bigint>")
+    rows = (rows.where("text <> ''").withColumn("h", F.xxhash64("text")).where(F.col("h") <= below[F.col("label")])
+            .groupBy("label", "h").agg(F.first("text").alias("text")).select("label", "text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,20 +105,30 @@ def address_parts(address: Column) -> dict[str, Column]:
     return {"host": host, "domain": F.substring_index(host, ".", -2), "suffix": F.substring_index(host, ".", -1)}
 
 
-def identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, accept: float = ACCEPT, sample: int = SAMPLE) -> DataFrame:
-    """Languages of ``docs`` (doc_id, text, declared, address, label; one row each, other columns stay out).
+def identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, accept: float = ACCEPT, sample: int = SAMPLE,
+               pages: DataFrame | None = None) -> DataFrame:
+    """Languages of ``docs`` (doc_id, text, label, declared, address; one row each, other columns stay out).
 
     Returns doc_id, dkey (hash of the text), language, probability, text_language, declared, host and accepted: false if
     no language reaches ``accept`` against the others and the class of none. Null or empty texts have no trigrams of
     their own and are judged by the rest; missing evidence counts for nothing; unknown labels are not fitted on. Without
     labelled rows the text says nothing. Rows are independent of each other but for the shared counts.
+
+    With ``pages``, rows of ``page_evidence``, declared and address are not read from ``docs``: they are the page's of the
+    same doc_id, and a document without one declares nothing and has its ``source`` for an address. Texts are scored where
+    they are read; only scores meet the pages.
     """
     classes, model = (*languages, OTHER), fitted(docs, languages, sample)
-    base = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("dkey"), text_or_empty().alias("text"),
-        F.lower("declared").alias("declared"), *[c.alias(n) for n, c in address_parts(F.col("address")).items()])
+    evidence = ["declared", "address"] if pages is None else ["source"]
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("dkey"), text_or_empty().alias("text"), *evidence)
+    scores = text_scores(base, model)
+    if pages is not None:
+        page = pages.select(F.col("doc_id").alias("page_doc"), "declared", "address")
+        met = F.col("doc_id") == F.col("page_doc")
+        scores = scores.join(page, met, "left").withColumn("address", F.coalesce("address", "source")).drop("page_doc", "source")
+    scores = scores.select("doc_id", "dkey", "score", F.lower("declared").alias("declared"), *[c.alias(n) for n, c in address_parts(F.col("address")).items()])
     best = F.element_at(F.array(*map(F.lit, classes)), F.array_position("score", F.array_max("score")).cast("int"))
-    scored = stored(text_scores(base, model).withColumn("text_language", best), "language")
+    scored = stored(scores.withColumn("text_language", best), "language")
     every = F.array(*map(F.lit, classes))
 
     def counts(key: str) -> DataFrame:
@@ -148,9 +160,10 @@ def identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, accept:
         return seen.select(key, F.zip_with(each, every, lambda x, c: F.when(c == OTHER, F.log(share)).otherwise(x)).alias(f"{key}_score"))
 
     out = scored
-    for key in ("declared", "suffix"):
-        out = out.join(likelihood(key), key, "left")
-    out = out.join(host_prior, "host", "left")
+    for key, known in (("declared", likelihood("declared")), ("suffix", likelihood("suffix")), ("host", host_prior)):
+        # rows without a value are dealt out by their text; no value begins with that character
+        own = F.coalesce(F.col(key), F.concat(F.lit("\0"), F.col("dkey").cast("string")))
+        out = out.join(known.withColumnRenamed(key, "known"), own == F.col("known"), "left").drop("known")
     parts = [F.col("score"), F.coalesce("declared_score", zeros), F.coalesce("suffix_score", zeros),
              F.transform(F.coalesce("prior", constant(overall)), lambda p: F.log(p))]
     joint = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), parts)
@@ -162,16 +175,18 @@ def identified(docs: DataFrame, languages: tuple[str, ...] = LANGUAGES, accept:
                     ((F.col("language") != OTHER) & (F.col("probability") >= accept)).alias("accepted")))
 
 
-def with_page_evidence(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """doc_id, text, label, declared and address of ``docs`` (doc_id, text, lang, source).
+def page_evidence(pages: DataFrame) -> DataFrame:
+    """doc_id, declared, address: what ``pages`` (url, html) say of the document whose number their path ends with.
 
-    A page belongs to the document whose number its path ends with; it declares the language of its ``html`` tag. Of
-    several pages the one with the smallest address counts. Documents without a page declare what ``lang`` says and
-    have their ``source`` for a host.
+    A page declares the language of its ``html`` tag, or none. Of several pages of a document the one with the smallest
+    address counts, then the smallest declaration. Null urls, and paths without a number, belong to no document.
     """
     number = F.regexp_extract(F.coalesce("url", F.lit("")), r"://[^/?#]*/(?:[^?#]*/)?(\d{1,18})(?:\.\w+)?/?(?:[?#]|$)", 1)
     declared = F.nullif(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-z]+)", 1), F.lit(""))
-    page = (pages.select(F.nullif(number, F.lit("")).cast("long").alias("doc_id"), F.struct("url", declared.alias("declared")).alias("page"))
-            .dropna(subset=["doc_id"]).groupBy("doc_id").agg(F.min("page").alias("page")))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", "source").join(page, "doc_id", "left").select(
-        "doc_id", "text", F.col("lang").alias("label"), F.coalesce("page.declared", "lang").alias("declared"), F.coalesce("page.url", "source").alias("address"))
+    page = pages.select(F.nullif(number, F.lit("")).cast("long").alias("doc_id"), F.struct("url", declared.alias("declared")).alias("page"))
+    return page.dropna(subset=["doc_id"]).groupBy("doc_id").agg(F.min("page").alias("page")).select("doc_id", "page.declared", F.col("page.url").alias("address"))
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """doc_id, text, label and source of ``docs`` (doc_id, text, lang, source): ``lang`` is what the text models are fitted on."""
+    return docs.select("doc_id", "text", F.col("lang").alias("label"), "source")

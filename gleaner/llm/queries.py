@@ -25,8 +25,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op2_language")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
-    docs = language.with_page_evidence(table(spark, folder, "documents"), table(spark, folder, "pages"))
-    return language.identified(docs).drop("dkey")
+    docs, pages = table(spark, folder, "documents"), language.page_evidence(table(spark, folder, "pages"))
+    return language.identified(language.labelled(docs), pages=pages).drop("dkey")
 
 
 @query("op3_fuzzy_lines")

@@ -16,9 +16,9 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from .common import stored, text_or_empty
+from .common import NO_ID, stored, text_or_empty
 from .components import component_roots
 
 WORDS, SIMILARITY = 3, 0.85
@@ -28,7 +28,6 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 2  # registers of 16 bits; sets of up
 DOUBT = 25.0  # twice the log-likelihood a pair may lack at the similarity: five standard deviations
 ODD = np.random.default_rng(20240607).integers(1 << 30, 1 << 32, REGISTERS, dtype=np.uint32) | np.uint32(1)
 MIX, SHIFT = np.uint64(0x9E3779B97F4A7C15), np.uint64(32)
-NO_ID = -(1 << 63)  # stands for a null doc_id
 BLOCK, PARTNERS = 512, 64
 
 

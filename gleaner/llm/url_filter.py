@@ -57,6 +57,7 @@ def with_verdicts(pages: DataFrame, rules: DataFrame, default: str = "allow", ur
     fits = asked.join(keyed, F.left("asked", F.lit(PREFIX_HEX)) == F.col("short")).where(F.col("asked") == F.col("full"))
     rank = F.struct(F.char_length(F.concat("rule_host", "rule_path")), F.char_length("rule_host"), "rule_host", "rule_path")
     best = fits.groupBy("host", "path").agg(
-        F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "found"), rank).alias("best"))
-    return (parted.join(best, ["host", "path"], "left")
-            .withColumns({"rule": F.col("best.rule"), "verdict": F.coalesce("best.found", F.lit(default))}).drop("best"))
+        F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "found"), rank).alias("best")).alias("best")
+    same = (F.col("page.host") == F.col("best.host")) & (F.col("page.path") == F.col("best.path"))
+    return parted.alias("page").join(best, same, "left").select(
+        "page.*", F.col("best.best.rule").alias("rule"), F.coalesce("best.best.found", F.lit(default)).alias("verdict"))

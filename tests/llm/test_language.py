@@ -1,7 +1,11 @@
 """Language identification: held-out accuracy, the weight of each kind of evidence, odd rows."""
 
+import math
 import os
+import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,7 +47,69 @@ def test_no_labels_and_empty_table(spark):
 
 
 def test_page_evidence(spark):
-    docs = spark.createDataFrame([(12, "a", "en", "s1", 1), (13, None, None, None, 1)], "doc_id long, text string, lang string, source string, page int")
-    pages = spark.createDataFrame([(1, "http://a.b/fr/12.html?x=9", "<html lang='fr'>"), (2, "http://z.b/12", "<html lang='de'>"), (3, None, None), (4, "http://x.y/", "")], "page_id long, url string, html string")
-    got = {r.doc_id: (r.declared, r.address) for r in language.with_page_evidence(docs, pages).collect()}
-    assert got == {12: ("fr", "http://a.b/fr/12.html?x=9"), 13: (None, None)}
+    pages = spark.createDataFrame([(1, "http://a.b/fr/12.html?x=9", "<html lang='fr'>"), (2, "http://z.b/12", "<html lang='de'>"), (3, None, None), (4, "http://x.y/", ""),
+                                   (5, "http://x.y/13", "<p>")], "page_id long, url string, html string")
+    got = {r.doc_id: (r.declared, r.address) for r in language.page_evidence(pages).collect()}
+    assert got == {12: ("fr", "http://a.b/fr/12.html?x=9"), 13: (None, "http://x.y/13")}
+    docs = spark.createDataFrame([(12, None, "en", "s1", 1), (14, None, "en", "H.s.es", 1), (None, None, None, None, 1)], "doc_id long, text string, lang string, source string, page int")
+    rows = {r.doc_id: (r.declared, r.host) for r in language.identified(language.labelled(docs), pages=language.page_evidence(pages)).collect()}
+    assert rows == {12: ("fr", "a.b"), 14: (None, "h.s.es"), None: (None, None)}
+
+
+def brute_posteriors(rows, model, languages):
+    """Posterior of every row (text, declared, address) by the formulas of the docstring, row by row."""
+    classes, strength = [*languages, language.OTHER], language.STRENGTH
+    scores, first = [], []
+    for text, _, _ in rows:
+        codes = language.trigrams([text or ""])[0]
+        total = model[codes].astype(np.float64).sum(axis=0)
+        scores.append(total / (1 + len(codes) / language.TEMPER))
+        first.append(int(np.argmax(scores[-1])))
+    whole = [first.count(c) + 1 for c in range(len(classes))]
+    overall = [n / sum(whole[:-1]) * (1 - language.OTHER_PRIOR) for n in whole[:-1]] + [language.OTHER_PRIOR]
+    hosts = [re.match(r"^(?:[^/?#]*://)?([^/?#]*)", a or "").group(1).lower() or None for _, _, a in rows]
+    domains = [h and ".".join(h.split(".")[-2:]) for h in hosts]
+    suffixes = [h and h.split(".")[-1] for h in hosts]
+
+    def seen(values, value):
+        return [sum(v == value and f == c for v, f in zip(values, first)) for c in range(len(classes))]
+
+    def likelihood(values, value):
+        counts = seen(values, value)
+        share = (sum(counts) + 1) / sum(whole)
+        return [math.log((n + strength * share) / (t + strength)) for n, t in zip(counts, whole)][:-1] + [math.log(share)]
+
+    out, declared = [], [d and d.lower() for _, d, _ in rows]
+    for i, score in enumerate(scores):
+        prior = overall
+        if hosts[i]:
+            above = seen(domains, domains[i])
+            above = [(n + strength * p) / (sum(above) + strength) for n, p in zip(above, overall)]
+            own = seen(hosts, hosts[i])
+            prior = [(n + strength * p) / (sum(own) + strength) for n, p in zip(own, above)]
+        joint = score + np.log(prior)
+        for values in (declared, suffixes):
+            if values[i]:
+                joint = joint + likelihood(values, values[i])
+        top = int(np.argmax(joint))
+        out.append((classes[top], round(float(1 / np.exp(joint - joint[top]).sum()), 6)))
+    return out
+
+
+def test_posteriors_equal_a_plain_version(spark, labelled):
+    rng, texts = random.Random(5), [(r.text, r.truth) for r in labelled.orderBy("doc_id").limit(80).collect()]
+    rows = [(i, t[:rng.choice([5, 40, 4000])], truth, rng.choice([None, truth, "EN", "xx"]), rng.choice([None, "", f"http://H{i % 3}.{truth}.example.{truth}/x", f"a.b.{truth}"])) for i, (t, truth) in enumerate(texts)]
+    rows += [(900, None, None, None, None), (901, "", "de", "de", "http://h1.de.example.de"), (902, texts[0][0], "zz", None, None), (902, texts[0][0], "zz", None, None)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    want = brute_posteriors([(t, d, a) for _, t, _, d, a in rows], language.fitted(docs), language.LANGUAGES)
+    got = sorted((r.doc_id, r.language, r.probability) for r in language.identified(docs).collect())
+    want = sorted((r[0], *w) for r, w in zip(rows, want))
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, want))
+
+
+def test_sample_is_bounded_and_counts_copies_once(spark):
+    rows = spark.createDataFrame([(i, f"text number {i} of many", "en", None, None) for i in range(4000)] + [(9, "a copied text", "de", None, None)] * 500, COLUMNS)
+    some, once = language.fitted(rows, ("en", "de"), 200), language.fitted(rows.dropDuplicates(["text"]), ("en", "de"), 1 << 40)
+    assert abs(some[:, 2] - once[:, 2]).max() == 0
+    everything = language.fitted(rows, ("en", "de"), 1 << 40)
+    assert np.allclose(everything, once)

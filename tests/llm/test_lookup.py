@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from gleaner.llm import exact_radix, url_filter
 from gleaner.llm.queries import URL_RULES
 
@@ -31,6 +33,9 @@ def test_urls_against_brute_force(spark):
     none = spark.createDataFrame([], "host string, path string, verdict string")
     assert {(r.rule, r.verdict) for r in url_filter.with_verdicts(pages, none, "block").collect()} == {(None, "block")}
     assert url_filter.with_verdicts(pages.limit(0), none).count() == 0
+    clashing = pages.select("page_id", "url", *[F.lit(c).alias(c) for c in ("best", "page", "full", "short", "found", "suffix", "prefix", "asked", "rule_host")])
+    again = url_filter.with_verdicts(clashing, spark.createDataFrame(rules, "host string, path string, verdict string")).collect()
+    assert sorted((r.page_id, r.rule, r.verdict, r.best) for r in again) == sorted((r.page_id, r.rule, r.verdict, "best") for r in got)
 
 
 def brute_groups(rows):

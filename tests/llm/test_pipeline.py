@@ -38,7 +38,9 @@ def brute_hits(text, items):
 def test_stages_in_turn(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     odd = spark.createDataFrame([(None, None, None, None, None), (100001, "", "en", "s", 0), (100002, None, "en", None, None), (100002, None, "en", None, None)], COLUMNS)
-    docs = stored(docs.unionByName(odd), "docs")
+    # columns with the names that the stages use themselves
+    clashing = {c: F.lit(c) for c in ("_id", "_key", "_did", "did", "dkey", "key", "row", "at_id", "language", "accepted", "dropped", "label", "best")}
+    docs = stored(docs.unionByName(odd).withColumns(clashing), "docs")
     items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     before = docs
     for name, stage in corpus_pipeline.STAGES[:-1]:
