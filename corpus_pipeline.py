@@ -9,54 +9,56 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from gleaner.llm import fuzzy_lines, gray_index, language, packing, phrase_index
-from gleaner.llm.common import stored, table, text_or_empty
+from gleaner.llm.common import NO_ID, matched, stored, table
 from gleaner.llm.queries import vocabulary
 from gleaner.session import scratch_folder
 
-NO_ID = fuzzy_lines.NO_ID
-
-
-def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` but for the rows whose doc_id and text hash are in ``gone`` (doc_id, key)."""
-    listed = gone.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("key").alias("_key")).distinct()
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_key"))
-    return docs.join(listed, same, "left_anti")
-
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents in none of the languages; the others keep their text and get the identified language as lang."""
-    found = language.identified(language.with_page_evidence(docs, table(spark, sf_dir, "pages")))
-    found = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("dkey").alias("_key")).agg(
-        F.max("accepted").alias("_accepted"), F.max_by("language", "probability").alias("_language"))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_key"))
-    return docs.join(found, same).where("_accepted").withColumn("lang", F.col("_language")).select(*docs.columns)
+    """Drops documents in none of the languages; the others keep their text and get the identified language as lang.
+
+    Rows with a null or empty text are judged by their page and source; rows equal in doc_id and text share a decision.
+    Other columns pass through, whatever their names.
+    """
+    found = language.identified(language.labelled(docs), pages=language.page_evidence(table(spark, sf_dir, "pages")))
+    found = found.groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), "dkey").agg(
+        F.max("accepted").alias("accepted"), F.max_by("language", "probability").alias("language"))
+    kept = matched(docs, found, "inner").where("accepted")
+    return kept.select(F.col("row").withField("lang", F.col("language")).alias("row")).select("row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one line of every group of similar lines; documents stay, with the lines that are left to them."""
+    """Keeps one line of every group of similar lines; documents stay, with the lines that are left to them.
+
+    Null and empty texts have no lines to drop; rows equal in doc_id and text keep the same lines.
+    """
     return fuzzy_lines.without_copies(docs)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents linked by fingerprints the one with the smallest doc_id stays."""
-    # one row per doc_id and text: a repeated row is a copy, too
+    """Of documents linked by fingerprints the one with the smallest doc_id stays; null ids come last.
+
+    Documents without words are linked with each other. Of rows equal in doc_id and text one stays, as they are copies.
+    """
     docs = docs.dropDuplicates(["doc_id", "text"])
     classes = gray_index.near_duplicates(docs.select(F.col("doc_id"), "text"), with_key=True)
     first = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")
-    leads = classes.groupBy("root").agg(F.min(first).alias("first")).select("first.doc_id", "first.key")
-    kept = leads.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_id"), F.col("key").alias("_key"))
-    same = (F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)) == F.col("_id")) & (F.xxhash64(text_or_empty()) == F.col("_key"))
-    return docs.join(kept, same, "left_semi")
+    leads = classes.groupBy("root").agg(F.min(first).alias("first")).select(F.coalesce("first.doc_id", F.lit(NO_ID)).alias("did"), F.col("first.key").alias("dkey"))
+    return matched(docs, leads, "left_semi").select("row.*")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents of whose words at least one in 20 stands in a window of a benchmark item."""
+    """Drops documents of whose words at least one in 20 stands in a window of a benchmark item; those without words stay."""
     judged = phrase_index.decontamination(docs, table(spark, sf_dir, "benchmark"), scratch_folder(spark, "postings"))
-    return without(docs, judged.where("contaminated"))
+    gone = judged.where("contaminated").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("did"), F.col("key").alias("dkey")).distinct()
+    return matched(docs, gone, "left_anti").select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs every document into sequences of at most 2048 tokens; one row per piece."""
+    """Packs every document into sequences of at most 2048 tokens; one row per piece, only columns of the packing.
+
+    A null or empty text is its end token alone; repeated rows are documents of their own.
+    """
     return packing.packed(docs, vocabulary("word_bpe_49k.json"))
 
 
