@@ -1,4 +1,11 @@
-"""Exact nearest neighbours of a batch of query vectors."""
+"""Nearest neighbours of a table of query vectors by an inverted file of cells.
+
+Centroids are fitted on a bounded sample; every vector belongs to the cell of its nearest centroid. Queries and vectors
+are DataFrames that meet by equi-join on the cell, both dealt in blocks of bounded size, so that neither a hot cell nor
+a popular one is one task's. A query first asks its nearest cells, then every other cell that the angle to its centroid,
+less the cell's radius, does not rule out against the k-th best found so far. That is exact; taking only a share of the
+radius asks fewer cells and finds most of the neighbours.
+"""
 
 from __future__ import annotations
 
@@ -6,121 +13,197 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .ranking import top_per_group
 
+SAMPLE = 10_000  # vectors that the centroids are fitted on, about
+CELLS = 1_024  # at most
+PROBES = 4  # cells that a query asks first
+BLOCK_ROWS = 2_048  # vectors and queries of a block
+MARGIN = 2e-6  # of a similarity: results are ranked on six digits
+NO_CELL = -1  # vectors without length; asked by all
+
 
 def _unit(m: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
 
-def _keep_best(rows: tuple, k: int) -> tuple:
-    """Best ``k`` documents per query of (query index, doc, score): score down, then doc id; a document counts once."""
-    q, d, s = rows
-    order = np.lexsort((-s, d, q))
-    q, d, s = q[order], d[order], s[order]
-    once = np.r_[True, (q[1:] != q[:-1]) | (d[1:] != d[:-1])] if len(q) else np.zeros(0, bool)
-    q, d, s = q[once], d[once], s[once]
-    order = np.lexsort((d, -np.round(s, 9), q))
-    q, d, s = q[order], d[order], s[order]
-    starts = np.r_[0, np.flatnonzero(np.diff(q)) + 1] if len(q) else np.zeros(0, int)
-    place = np.arange(len(q)) - np.repeat(starts, np.diff(np.r_[starts, len(q)]))
-    keep = place < k
-    return q[keep], d[keep], s[keep]
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), dim)
+
+
+def _packed(units: np.ndarray) -> pa.Array:
+    return pa.array([u.tobytes() for u in units], pa.binary())
+
+
+def fit_centroids(vectors: DataFrame, dim: int, count: int, sample: int = SAMPLE, cells: int = CELLS) -> np.ndarray:
+    """Unit centroids of about the square root of ``count`` cells, from vectors whose hash lies below a bound; what the driver sees."""
+    bound = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * sample // max(1, count))
+    rows = vectors.where(F.xxhash64("vector") <= F.lit(bound)).select("vector").distinct().collect()
+    units = _unit(np.array([r.vector for r in rows], np.float64).reshape(len(rows), dim))
+    units = units[np.lexsort(units.T)]
+    units = units[np.linalg.norm(units, axis=1) > 0]
+    wanted = min(cells, max(1, int(count ** 0.5)), len(units))
+    if not wanted:
+        return np.zeros((0, dim))
+    centres = units[np.random.default_rng(0).choice(len(units), wanted, replace=False)]
+    for _ in range(8):
+        near = (units @ centres.T).argmax(axis=1)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, units)
+        filled = np.linalg.norm(sums, axis=1) > 0
+        centres[filled] = _unit(sums[filled])
+    return centres
+
+
+def _celled(corpus: DataFrame, centres: np.ndarray, dim: int) -> DataFrame:
+    """doc_id, grp, cell, angle to its centroid, unit (bytes) of every vector."""
 
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            units = _unit(_matrix(batch.column("vector"), dim))
+            long = np.linalg.norm(units, axis=1) > 0
+            cell, angle = np.full(len(units), NO_CELL, np.int32), np.zeros(len(units))
+            if long.any():
+                near = units[long] @ centres.T
+                cell[long], angle[long] = near.argmax(axis=1), np.arccos(np.clip(near.max(axis=1), -1, 1))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("grp"), pa.array(cell), pa.array(angle), _packed(units)],
+                                             names=["doc_id", "grp", "cell", "angle", "unit"])
+
+    return corpus.mapInArrow(place, "doc_id long, grp string, cell int, angle double, unit binary")
+
+
+def _choose(queries: DataFrame, centres: np.ndarray, probes: int, reach: float | None = None) -> DataFrame:
+    """query_id, grp, unit, cell: the ``probes`` nearest of a query's cells; or, with ``reach``, all others its ``floor`` leaves open.
 
-def nearest(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = None, exclude_self: bool = False,
-            max_bytes: int = 256 << 20) -> DataFrame:
+    ``queries`` carries the cells of its group as ``cells`` (cell, radius)."""
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            floors = batch.column("floor").to_numpy(zero_copy_only=False) if reach is not None else None
+            for i, (data, cells) in enumerate(zip(batch.column("unit"), batch.column("cells"))):
+                unit, its = np.frombuffer(data.as_py(), np.float64), cells.values
+                cell, radius = (its.field(n).to_numpy(zero_copy_only=False) for n in ("cell", "radius"))
+                away = np.where(cell == NO_CELL, -1.0, np.arccos(np.clip(centres[cell] @ unit, -1, 1)) if len(centres) else 0.0)
+                order = np.argsort(away, kind="stable")
+                first = probes + int((cell == NO_CELL).any())
+                if reach is None:
+                    take = order[:first]
+                else:
+                    take = order[first:]
+                    if floors[i] > -2 and unit.any():
+                        take = take[np.cos(np.maximum(0, away[take] - reach * radius[take])) >= floors[i] - MARGIN]
+                out += [(i, c) for c in cell[take].tolist()]
+            rows = pa.array([i for i, _ in out], pa.int64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(rows) for n in ("query_id", "grp", "unit")), pa.array([c for _, c in out], pa.int32())],
+                                             names=["query_id", "grp", "unit", "cell"])
+
+    return queries.mapInArrow(choose, "query_id long, grp string, unit binary, cell int")
+
+
+def _meet(asked: DataFrame, docs: DataFrame, dim: int, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """query_id, doc_id, similarity: the best ``k`` documents of every block of a cell for the queries that ask it."""
+    cell = ["grp", "cell"]
+    asks = asked.groupBy(*cell).agg(F.ceil(F.count("*") / block_rows).alias("ask_blocks"))
+    holds = docs.groupBy(*cell).agg(F.ceil(F.count("*") / block_rows).alias("held_blocks"))
+    sizes = cut_lineage(asks.join(holds, cell))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = asked.join(sizes, cell).select(*cell, "query_id", "unit", F.pmod(F.xxhash64("query_id"), "ask_blocks").alias("ask"), every("held_blocks").alias("held"))
+    right = docs.join(sizes, cell).select(*cell, "doc_id", "unit", F.pmod(F.xxhash64("doc_id"), "held_blocks").alias("held"), every("ask_blocks").alias("ask"))
+
+    def best(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
+        if not len(queries) or not len(held):
+            return pd.DataFrame({"query_id": [], "doc_id": [], "similarity": []})
+        held = held.sort_values("doc_id", kind="stable")
+        a, b = (np.frombuffer(b"".join(x.unit), np.float64).reshape(len(x), dim) for x in (queries, held))
+        ids, asking = held.doc_id.to_numpy(), queries.query_id.to_numpy()
+        first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        scores = np.round(np.maximum.reduceat(a @ b.T, first, axis=1), 6)
+        ids = ids[first]
+        if exclude_self:
+            scores[asking[:, None] == ids[None, :]] = -np.inf
+        if len(ids) > k:  # ties at the limit are kept and settled by id
+            limit = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+            q, d = np.nonzero((scores >= limit[:, None]) & np.isfinite(scores))
+        else:
+            q, d = np.nonzero(np.isfinite(scores))
+        order = np.lexsort((ids[d], -scores[q, d], q))
+        q, d = q[order], d[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        q, d = q[place < k], d[place < k]
+        return pd.DataFrame({"query_id": asking[q], "doc_id": ids[d], "similarity": scores[q, d]})
+
+    keys = [*cell, "ask", "held"]
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, doc_id long, similarity double")
+
+
+def nearest(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = None, exclude_self: bool = False, reach: float = 1.0,
+            probes: int = PROBES, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """``(query_id, doc_id, similarity, rank)``: the ``k`` documents of highest cosine per query.
 
     ``corpus`` has doc_id, vector (several rows per document allowed, the best one counts), ``queries`` has query_id,
-    vector. Vectors meet those of their own dimension. With ``group`` both sides carry that column and only equal
-    groups match.
+    vector. Vectors meet those of their own dimension; null and empty ones meet nothing, those without length have
+    similarity 0 to all. With ``group`` both sides carry that column and only equal groups (nulls among them) match.
 
-    The query matrix is shipped to the tasks, in blocks of at most ``max_bytes`` each when it is larger.
-    A task scores its share of the corpus against the matrix batch by batch and keeps only the running
-    best rows per query, so what is shuffled is (tasks x queries x k) rows, never the pairs.
+    ``reach`` is the share of a cell's radius that is taken off its angle: 1 gives the true neighbours, less leaves out
+    cells that could only hold a few; with 0 no cell is asked whose centroid is farther than the k-th best.
     """
-    sizes = {r.n: r["count"] for r in queries.where("size(vector) > 0").groupBy(F.size("vector").alias("n")).count().collect()}
-    cols = ["doc_id", F.col("vector").cast("array<double>").alias("vector")] + ([group] if group else [])
+    grp = (F.coalesce(F.col(group).cast("string"), F.lit("\0")) if group else F.lit("")).alias("grp")
+    vector = F.col("vector").cast("array<double>").alias("vector")
     parts = []
-    for dim, count in sorted(sizes.items()) or [(0, 0)]:
-        usable, scanned = queries.where(F.size("vector") == dim), corpus.where(F.size("vector") == dim).select(*cols)
-        blocks = max(1, -(-count * dim * 8 // max_bytes))
-        for block in range(blocks):
-            mine = usable if blocks == 1 else usable.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block)
-            rows = mine.select("query_id", "vector", *([group] if group else [])).toPandas()
-            parts.append(_scan(scanned, rows, dim, k, group, exclude_self))
-    found = reduce(DataFrame.unionByName, parts)
-    best = found.groupBy("query_id", "doc_id").agg(F.round(F.max("similarity"), 6).alias("similarity"))
+    for r in queries.where("size(vector) > 0").select(F.size("vector").alias("dim")).distinct().collect():
+        dim = r.dim
+        held = corpus.where(F.size("vector") == dim).select(F.col("doc_id").cast("long").alias("doc_id"), grp, vector)
+        asked = queries.where(F.size("vector") == dim).select(F.col("query_id").cast("long").alias("query_id"), grp, vector)
+        centres = fit_centroids(held, dim, held.count(), sample)
+        docs = cut_lineage(_celled(held, centres, dim))
+        cells = docs.groupBy("grp", "cell").agg(F.max("angle").alias("radius"))
+        cells = cells.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cell", "radius"))).alias("cells"))  # at most CELLS + 1
+        units = asked.mapInArrow(lambda batches, dim=dim: (
+            pa.RecordBatch.from_arrays([b.column("query_id"), b.column("grp"), _packed(_unit(_matrix(b.column("vector"), dim)))], names=["query_id", "grp", "unit"]) for b in batches),
+            "query_id long, grp string, unit binary")
+        units = cut_lineage(units.join(cells, "grp"))
+        found = _meet(_choose(units, centres, probes), docs, dim, k, exclude_self, block_rows)
+        found = cut_lineage(found)
+        once = found.groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"))
+        top = top_per_group(once, ["query_id"], [F.col("similarity").desc(), F.col("doc_id")], k)
+        floor = top.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("floor"))
+        open_ = units.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-9.0)))
+        found = found.unionByName(_meet(cut_lineage(_choose(open_, centres, probes, reach)), docs, dim, k, exclude_self, block_rows))
+        parts.append(found)
+    if not parts:
+        parts = [queries.sparkSession.createDataFrame([], "query_id long, doc_id long, similarity double")]
+    best = reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"))
     return top_per_group(best, ["query_id"], [F.col("similarity").desc(), F.col("doc_id")], k)
 
 
-def _scan(corpus: DataFrame, rows, dim: int, k: int, group: str | None, exclude_self: bool) -> DataFrame:
-    sc = corpus.sparkSession.sparkContext
-    ids = rows["query_id"].to_numpy(dtype=np.int64)
-    matrix = _unit(np.array(rows["vector"].tolist(), dtype=np.float64).reshape(len(rows), dim))
-    groups = rows[group].to_numpy(dtype=object) if group else None
-    shared = sc.broadcast((ids, matrix, groups))
-
-    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, matrix, groups = shared.value
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        floor = np.full(len(ids), -np.inf)
-        for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            docs = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            flat = batch.column("vector").flatten().to_numpy(zero_copy_only=False)
-            # rows of one document side by side, so that its best one can be taken
-            order = np.argsort(docs, kind="stable")
-            docs, side = docs[order], _unit(flat.reshape(len(docs), dim))[order]
-            first = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
-            tags = np.array(batch.column(group).to_pylist(), dtype=object)[order] if group else None
-            ids_here = docs[first]
-            for lo in range(0, len(ids), 256):
-                hi = min(lo + 256, len(ids))
-                scores = matrix[lo:hi] @ side.T
-                if group:
-                    scores[groups[lo:hi, None] != tags[None, :]] = -np.inf
-                if exclude_self:
-                    scores[ids[lo:hi, None] == docs[None, :]] = -np.inf
-                scores = np.maximum.reduceat(scores, first, axis=1)
-                limit = floor[lo:hi]
-                if scores.shape[1] > k:
-                    limit = np.maximum(limit, np.partition(scores, -k, axis=1)[:, -k])
-                # ties at the limit are kept and settled by id
-                q, d = np.nonzero((scores >= limit[:, None] - 1e-9) & np.isfinite(scores))
-                fresh = (q + lo, ids_here[d], scores[q, d])
-                held = tuple(np.concatenate(pair) for pair in zip(held, fresh))
-            held = _keep_best(held, k)
-            counts = np.bincount(held[0], minlength=len(ids))
-            last = np.cumsum(counts) - 1
-            full = counts >= k
-            floor[full] = held[2][last[full]]
-        if len(held[0]):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[held[0]]), pa.array(held[1]), pa.array(held[2])],
-                names=["query_id", "doc_id", "similarity"])
-
-    return corpus.mapInArrow(best, "query_id long, doc_id long, similarity double")
+def recall(approximate: DataFrame, exact: DataFrame) -> DataFrame:
+    """One row n_exact, n_found, recall: how many of the exact neighbours, or others as near as the last of them, were found."""
+    last = exact.groupBy("query_id").agg(F.min("similarity").alias("last"), F.count("*").alias("n"))
+    hits = approximate.join(last.select("query_id", "last"), "query_id").where("similarity >= last").groupBy("query_id").agg(F.count("*").alias("hits"))
+    both = last.join(hits, "query_id", "left").select("n", F.least("n", F.coalesce("hits", F.lit(0))).alias("hits"))
+    return both.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_exact"), F.coalesce(F.sum("hits"), F.lit(0)).alias("n_found"), F.try_divide(F.sum("hits"), F.sum("n")).alias("recall"))
 
 
 def vector_search(vectors: DataFrame, queries: DataFrame, k: int, model: str | None = None,
-                  live: DataFrame | None = None) -> DataFrame:
+                  live: DataFrame | None = None, reach: float = 1.0) -> DataFrame:
     """Best vector of any kind per article; only the active model and live articles take part."""
     corpus = vectors if model is None else vectors.where(F.col("model") == model)
     if live is not None:
         corpus = corpus.join(live.select("article_id"), "article_id", "left_semi")
     corpus = corpus.select(F.col("article_id").alias("doc_id"), "vector")
-    return nearest(corpus, queries, k)
+    return nearest(corpus, queries, k, reach=reach)
 
 
 def similar(vectors: DataFrame, articles: DataFrame, article_topics: DataFrame, k: int = 10,
-            targets: DataFrame | None = None, fetch: int = 3, kind: str | None = None, model: str | None = None) -> DataFrame:
+            targets: DataFrame | None = None, fetch: int = 3, kind: str | None = None, model: str | None = None,
+            reach: float = 1.0) -> DataFrame:
     """``(article_id, similar_id, score, rank)``: ``1 / (1 + distance) + 0.3 * shared-topic score``.
 
     Only vectors of ``kind`` and ``model`` take part, if given. The ``fetch * k`` nearest live articles of the same language are candidates. A shared topic counts with
@@ -134,7 +217,7 @@ def similar(vectors: DataFrame, articles: DataFrame, article_topics: DataFrame,
     side = vectors.select(F.col("article_id").alias("doc_id"), "vector").join(lang, "doc_id")
     asked = side if targets is None else side.join(targets.select(F.col("article_id").alias("doc_id")), "doc_id", "left_semi")
     found = nearest(side.where("live").drop("live"), asked.select(F.col("doc_id").alias("query_id"), "vector", "lang"),
-                    k * fetch, group="lang", exclude_self=True)
+                    k * fetch, group="lang", exclude_self=True, reach=reach)
     mine = article_topics.select(F.col("article_id").alias("query_id"), "topic_id")
     theirs = article_topics.select(F.col("article_id").alias("doc_id"), "topic_id", "score")
     shared = (

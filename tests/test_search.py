@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from gleaner.operators import search
 from gleaner.operators.index import build_index
 from gleaner.operators.ranking import reciprocal_rank_fusion
-from gleaner.operators.vector_search import nearest, similar, vector_search
+from gleaner.operators.vector_search import nearest, recall, similar, vector_search
 
 from .conftest import rows
 
@@ -59,11 +59,34 @@ def test_nearest_against_numpy_with_ties_and_blocks(spark):
     unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
     sims = np.round(unit(qs) @ unit(docs).T, 6)
     want = [(q, int(d), r + 1) for q in range(7) for r, d in enumerate(sorted(range(120), key=lambda d: (-sims[q, d], d))[:5])]
-    for limit in (1 << 20, 200):
-        got = rows(nearest(corpus, queries, 5, max_bytes=limit), "query_id", "doc_id", "rank")
+    for probes, size in ((1, 2_048), (3, 7)):
+        got = rows(nearest(corpus, queries, 5, probes=probes, block_rows=size), "query_id", "doc_id", "rank")
         assert got == sorted(want, key=repr)
 
 
+def test_hot_cells_odd_vectors_and_the_faster_search(spark):
+    """A third of all vectors equal, some without length, null, empty or of another dimension; groups with nulls."""
+    rng = np.random.default_rng(1)
+    docs = [(i, [1.0, 0.0, 0.0] if i % 3 == 0 else [float(x) for x in rng.normal(size=3)], "a" if i % 2 else None) for i in range(300)]
+    docs += [(900, [0.0, 0.0, 0.0], "a"), (901, None, "a"), (902, [], None), (903, [1.0], "a"), (7, [0.0, 1.0, 0.0], "a")]
+    asks = [(i, v, g) for i, v, g in docs[:40]] + [(900, [0.0, 0.0, 0.0], "a"), (950, None, "a"), (951, [2.0, 2.0], "a"), (952, [1.0, 1.0, 0.0], "nobody")]
+    kind = "doc_id long, vector array<double>, g string"
+    corpus, queries = spark.createDataFrame(docs, kind), spark.createDataFrame(asks, kind.replace("doc_id", "query_id"))
+    want = []
+    for q, v, g in asks:
+        best = {}
+        for d, u, h in docs:
+            if v and u and len(u) == len(v) and h == g and d != q:
+                size = np.linalg.norm(u) * np.linalg.norm(v)
+                best[d] = max(best.get(d, -9), round(float(np.dot(u, v) / size), 6) if size else 0.0)
+        want += [(q, d, r + 1) for r, d in enumerate(sorted(best, key=lambda d: (-best[d], d))[:6])]
+    exact = nearest(corpus, queries, 6, group="g", exclude_self=True, probes=1, block_rows=16)
+    assert rows(exact, "query_id", "doc_id", "rank") == sorted(want, key=repr)
+    faster = recall(nearest(corpus, queries, 6, group="g", exclude_self=True, reach=0.3), exact).first()
+    assert faster.n_exact == len(want) and 0.9 <= faster.recall <= 1
+    assert nearest(corpus.limit(0), queries, 6).count() == 0 and nearest(corpus, queries.limit(0), 6).count() == 0
+
+
 def test_vector_search_keeps_the_best_kind_and_the_active_model(spark):
     vec = spark.createDataFrame(
         [(9, "title", "m", [1.0, 0.0]), (9, "body", "m", [0.6, 0.8]), (1, "body", "m", [0.0, 1.0]), (2, "body", "old", [1.0, 0.0]), (3, "body", "m", [1.0])],
