@@ -104,11 +104,18 @@ def log_likelihood(more: np.ndarray, less: np.ndarray, u: np.ndarray, similarity
     return more * np.log(up) + less * np.log(down) + (REGISTERS - more - less) * np.log(np.clip(1 - up - down, 1e-12, 1))
 
 
+def least_equal(similarity: float) -> float:
+    """Equal registers that a pair of the similarity falls short of by more than six standard deviations only."""
+    return REGISTERS * similarity - 6 * np.sqrt(REGISTERS * similarity * (1 - similarity))
+
+
 def plausible(more: np.ndarray, less: np.ndarray, size_a: np.ndarray, size_b: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
     """Whether sizes and registers leave room for ``similarity`` or more."""
-    small, large = np.minimum(size_a, size_b), np.maximum(size_a, size_b)
-    fits = small >= similarity * large - 1e-9
-    u = size_a / (size_a + size_b)
+    fits = (np.minimum(size_a, size_b) >= similarity * np.maximum(size_a, size_b) - 1e-9) & (REGISTERS - more - less >= least_equal(similarity))
+    at = np.flatnonzero(fits)  # the likelihood is worked out for what is left
+    if not len(at):
+        return fits
+    more, less, u = more[at], less[at], size_a[at] / (size_a[at] + size_b[at])
     upper = np.minimum(u, 1 - u) / np.maximum(u, 1 - u)  # no more than the ratio of the sizes
     best = np.full(len(u), -np.inf)
     for step in range(1, 41):
@@ -116,7 +123,8 @@ def plausible(more: np.ndarray, less: np.ndarray, size_a: np.ndarray, size_b: np
     there = np.full(len(u), -np.inf)
     for step in range(9):
         there = np.maximum(there, log_likelihood(more, less, u, np.minimum(similarity + (1 - similarity) * step / 8, upper)))
-    return fits & (2 * (best - there) <= DOUBT)
+    fits[at] = 2 * (best - there) <= DOUBT
+    return fits
 
 
 def sketches(docs: DataFrame) -> DataFrame:
@@ -188,12 +196,12 @@ def _cross_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similar
         if len(asking) and len(kept):
             node, root, size = (kept[c].to_numpy() for c in ("node", "root", "n_shingles"))
             table = np.frombuffer(b"".join(kept.sketch), np.uint16).reshape(len(kept), REGISTERS)
-            for one in asking.itertuples():
-                near = (root != one.root) & (np.minimum(size, one.n_shingles) >= similarity * np.maximum(size, one.n_shingles) - 1e-9)
-                at = np.flatnonzero(near)
+            enough = least_equal(similarity)
+            for one in asking[["node", "root", "n_shingles", "sketch"]].itertuples(index=False):
+                own = np.frombuffer(one.sketch, np.uint16)
+                at = np.flatnonzero(((table == own).sum(axis=1, dtype=np.int16) >= enough) & (root != one.root))
                 if not len(at):
                     continue
-                own = np.frombuffer(one.sketch, np.uint16)
                 more, less = (own > table[at]).sum(axis=1), (own < table[at]).sum(axis=1)
                 ok = plausible(more, less, np.full(len(at), float(one.n_shingles)), size[at].astype(np.float64), similarity)
                 out.append(pd.DataFrame({"node": one.node, "other": node[at][ok], "root": root[at][ok], "equal": REGISTERS - (more + less)[ok]}))
