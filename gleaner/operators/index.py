@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tokens
+from .postings import PostingIndex, write_index
 
 
 def index_text(df: DataFrame, doc_id: str, text: Column) -> DataFrame:
@@ -34,11 +35,7 @@ def index_text(df: DataFrame, doc_id: str, text: Column) -> DataFrame:
     )
 
 
-def build_index(articles: DataFrame, summaries: DataFrame | None = None, only_missing: DataFrame | None = None) -> DataFrame:
-    """Index of title, text and, where present, summary and key points.
-
-    ``only_missing`` is an existing index: documents it holds are left out.
-    """
+def _article_texts(articles: DataFrame, summaries: DataFrame | None, only_missing: DataFrame | None) -> tuple[DataFrame, Column]:
     src = articles
     if only_missing is not None:
         src = src.join(only_missing.select(F.col("doc_id").alias("article_id")), "article_id", "left_anti")
@@ -46,7 +43,28 @@ def build_index(articles: DataFrame, summaries: DataFrame | None = None, only_mi
     if summaries is not None:
         src = src.join(summaries.select("article_id", "summary_text", "key_points"), "article_id", "left")
         parts += [F.col("summary_text"), F.array_join("key_points", " ")]
-    return index_text(src, "article_id", F.concat_ws(" ", *parts))
+    return src, F.concat_ws(" ", *parts)
+
+
+def build_index(articles: DataFrame, summaries: DataFrame | None = None, only_missing: DataFrame | None = None) -> DataFrame:
+    """Index of title, text and, where present, summary and key points.
+
+    ``only_missing`` is an existing index: documents it holds are left out.
+    """
+    src, text = _article_texts(articles, summaries, only_missing)
+    return index_text(src, "article_id", text)
+
+
+def write_article_index(articles: DataFrame, path: str, summaries: DataFrame | None = None, only_missing: DataFrame | None = None) -> PostingIndex:
+    """The same texts as posting lists stored below ``path``, for keyword search."""
+    src, text = _article_texts(articles, summaries, only_missing)
+    write_index(src, "article_id", text, path)
+    return PostingIndex(articles.sparkSession, path)
+
+
+def write_wiki_index(pages: DataFrame, path: str) -> PostingIndex:
+    write_index(pages, "page_id", F.concat_ws(" ", "title", "content_md"), path)
+    return PostingIndex(pages.sparkSession, path)
 
 
 def build_wiki_index(pages: DataFrame) -> DataFrame:
@@ -56,9 +74,3 @@ def build_wiki_index(pages: DataFrame) -> DataFrame:
 def postings(index: DataFrame) -> DataFrame:
     """``(doc_id, dl, term, tf)``."""
     return index.select("doc_id", "dl", F.explode("terms").alias("term", "tf"))
-
-
-def write_postings(index: DataFrame, table: str, buckets: int) -> None:
-    """Postings bucketed and sorted by term, so term look-ups and joins need no shuffle."""
-    (postings(index).write.mode("overwrite").bucketBy(buckets, "term").sortBy("term", "doc_id")
-     .format("parquet").saveAsTable(table))

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from .postings import PostingIndex
 from .ranking import latest_per_key, top_per_group
 
 
 def list_articles(articles: DataFrame, feeds: DataFrame | None = None, article_topics: DataFrame | None = None,
-                  topics: DataFrame | None = None, index: DataFrame | None = None, feed: str | int | None = None,
+                  topics: DataFrame | None = None, index: PostingIndex | None = None, feed: str | int | None = None,
                   topic: str | None = None, status: str | None = None, q: str | None = None, page: int = 1,
                   size: int = 20) -> DataFrame:
     """One page of live articles, newest first."""

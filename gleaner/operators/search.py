@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import tokens
-from ..session import at_most
+from ..session import at_most, cut_lineage
+from .postings import PostingIndex
 from .ranking import reciprocal_rank_fusion, top_per_group
 
 # The usual BM25 parameters.
 K1, B = 1.2, 0.75
-# Query tables up to this many rows are sent to every task; larger ones are joined by shuffle.
-BROADCAST_QUERIES = 100_000
+FIRST_SEGMENTS = 8  # segments of a query that are looked at before the bounds of the others
 
 
 def query_alternatives(queries: DataFrame) -> DataFrame:
@@ -38,67 +38,99 @@ def query_alternatives(queries: DataFrame) -> DataFrame:
             F.sort_array(F.array_distinct(F.flatten(F.collect_list(F.when(yes, F.col("toks")))))).alias("pos"),
             F.collect_list(F.when(yes & F.col("quoted") & (F.size("toks") > 1), joined)).alias("phrases"),
             F.collect_list(F.when(~yes, joined)).alias("neg"))
-        # the empty term stands in every document: it carries alternatives without a positive term
-        .withColumn("pos", F.when(F.size("pos") == 0, F.array(F.lit(""))).otherwise(F.col("pos")))
     )
 
 
-def _has_phrase(text: Column, phrase: Column) -> Column:
-    return F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), phrase, F.lit(" ")))
+def _units(alts: DataFrame) -> DataFrame:
+    """query_id, alt, unit, phrases, terms: the positive part of an alternative is unit -1, its exclusions are 0, 1, ...
 
+    A document matches a unit if it holds all terms, and the words of every phrase one after the other."""
+    none = F.array().cast("array<array<string>>")
+    split = lambda p: F.split(p, " ")
+    yes = alts.where(F.size("pos") > 0).select("query_id", "alt", F.lit(-1).alias("unit"), F.transform("phrases", split).alias("phrases"), F.col("pos").alias("terms"))
+    no = alts.select("query_id", "alt", F.posexplode("neg").alias("unit", "item")).withColumn("words", split(F.col("item")))
+    return yes.unionByName(no.select("query_id", "alt", "unit", F.when(F.size("words") > 1, F.array("words")).otherwise(none).alias("phrases"), F.array_distinct("words").alias("terms")))
 
-def keyword_matches(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """``(query_id, doc_id, score)``: every match with its BM25 score, in no order.
 
-    Each alternative is looked up by its rarest term only, which keeps the candidates as few as the index
-    allows; the other terms, phrases and exclusions are checked on the candidate's own row.
-    """
-    alts = query_alternatives(queries)
-    n, avgdl = index.agg(F.count("*")).scalar(), index.agg(F.avg("dl")).scalar()
-    every = F.array_append(F.map_keys("terms"), F.lit(""))
-    asked = alts.select("query_id", "alt", F.explode("pos").alias("term"))
-    df = (
-        index.select(F.explode(every).alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
-        .groupBy("term").agg(F.count("*").alias("df"))
-    )
-    ready = (
-        asked.join(df, "term").withColumn("n", n).withColumn("avgdl", avgdl)
-        .groupBy("query_id", "alt").agg(
-            F.sort_array(F.collect_list(F.struct(
-                "df", "term", F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))).alias("hits"),
-            F.first("avgdl").alias("avgdl"))
-        .join(alts, ["query_id", "alt"])
-        .where(F.size("hits") == F.size("pos"))  # a term unknown to the corpus ends its alternative
-        .select("query_id", "alt", "hits", "phrases", "neg", "avgdl", F.element_at("hits", 1)["term"].alias("term"))
-    )
-    if at_most(queries, BROADCAST_QUERIES):
-        cand = index.select("doc_id", "dl", "terms", "token_text", F.explode(every).alias("term")).join(
-            F.broadcast(ready), "term")
-    else:
-        cand = index.select("doc_id", F.explode(every).alias("term")).join(ready, "term").join(index, "doc_id")
-
-    def part(h: Column) -> Column:
-        tf = F.coalesce(F.try_element_at("terms", h["term"]), F.lit(0)).cast("double")
-        norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-        return h["idf"] * tf * (K1 + 1) / (tf + norm)
-
-    real = F.filter("hits", lambda h: h["term"] != "")
-    matched = cand.where(
-        F.forall(real, lambda h: F.map_contains_key("terms", h["term"]))
-        & F.forall("phrases", lambda p: _has_phrase(F.col("token_text"), p))
-        & ~F.exists("neg", lambda p: _has_phrase(F.col("token_text"), p)))
-    return (
-        matched.select("query_id", "doc_id", F.aggregate(real, F.lit(0.0), lambda acc, h: acc + part(h)).alias("s"))
-        .groupBy("query_id", "doc_id").agg(F.round(F.max("s"), 6).alias("score"))
-    )
+def _tf_part(tf: Column, dl: Column, avgdl: float) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.lit(avgdl)))
+
+
+def _evaluated(cells: DataFrame, asked: DataFrame, lists: DataFrame, avgdl: float) -> DataFrame:
+    """query_id, alt, unit, segment, doc_id, s: documents of the ``cells`` (query_id, alt, unit, segment) that match their unit."""
+    key = ["query_id", "alt", "unit"]
+    rows = cells.select(*key, "segment").join(asked, key).join(lists, ["term", "segment"])
+    spoken = F.size("phrases") > 0
+    zipped = F.arrays_zip("docs", "tfs", "dls", F.when(spoken, F.col("places")).otherwise(F.array()).alias("places"))
+    spots = rows.select(*key, "segment", "need", "phrases", "term", "idf", F.explode(zipped).alias("p"))
+    held = spots.groupBy(*key, "segment", F.col("p.docs").alias("doc_id")).agg(
+        F.count("*").alias("n"), F.first("need").alias("need"), F.first("phrases").alias("phrases"),
+        F.sum(F.col("idf") * _tf_part(F.col("p.tfs"), F.col("p.dls"), avgdl)).alias("s"),
+        F.collect_list(F.when(spoken, F.struct("term", "p.places"))).alias("spots"))
+    at = F.map_from_entries("spots")
 
+    def stands(words: Column) -> Column:
+        follows = lambda p: F.forall(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.array_contains(at[F.get(words, i)], (p + i).cast("int")))
+        return F.exists(at[F.get(words, F.lit(0))], follows)
 
-def keyword_search(index: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    return held.where("n = need").where(F.forall("phrases", stands)).select(*key, "segment", "doc_id", "s")
+
+
+def _unbarred(positive: DataFrame, negative: DataFrame) -> DataFrame:
+    return positive.join(negative, ["query_id", "alt", "doc_id"], "left_anti")
+
+
+def keyword_matches(index: PostingIndex, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """``(query_id, doc_id, score)``: matches with their BM25 score, in no order; with ``k``, at least the best k of each query.
+
+    Only the buckets of asked terms are read. A segment is looked at if it has lists of all terms of an alternative; with
+    ``k``, only if the bound of its scores is not below the k-th best of the segments with the highest bounds. An
+    alternative of exclusions alone matches all other documents with score 0; with ``k``, the first k of every segment.
+    """
+    alts = cut_lineage(query_alternatives(queries))
+    units = _units(alts)
+    key = ["query_id", "alt", "unit"]
+    terms = units.select(*key, "phrases", F.size("terms").alias("need"), F.explode("terms").alias("term"))
+    docs = index.docs()
+    n_segments, n, total = docs.agg(F.count("*"), F.coalesce(F.sum(F.size("docs")), F.lit(0)), F.coalesce(F.sum(F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()
+    avgdl = total / n if n else 1.0
+    lists = cut_lineage(index.lists(terms.select("term").distinct()))
+    df = lists.groupBy("term").agg(F.sum("n").alias("df"))
+    idf = F.ln(1 + (F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = cut_lineage(terms.join(df, "term").withColumn("idf", idf).drop("df"))
+    heads = lists.select("term", "segment", (_tf_part(F.col("max_tf"), F.col("min_dl"), avgdl)).alias("most"))
+    cells = asked.join(heads, "term").groupBy(*key, "segment").agg(F.count("*").alias("n"), F.first("need").alias("need"), F.sum(F.col("idf") * F.col("most")).alias("bound"))
+    cells = cut_lineage(cells.where("n = need").select(*key, "segment", "bound"))
+    yes, no = cells.where("unit = -1"), cells.where("unit >= 0")
+    barred = cut_lineage(_evaluated(no, asked, lists, avgdl).select("query_id", "alt", "segment", "doc_id").distinct())
+    bars = barred.drop("segment")
+    if k is None or n_segments <= FIRST_SEGMENTS:
+        found = _unbarred(_evaluated(yes, asked, lists, avgdl), bars)
+    else:
+        ranked = cut_lineage(top_per_group(yes.groupBy("query_id", "segment").agg(F.max("bound").alias("bound")), ["query_id"], [F.col("bound").desc(), F.col("segment")], FIRST_SEGMENTS))
+        first = cut_lineage(_unbarred(_evaluated(yes.join(ranked.select("query_id", "segment"), ["query_id", "segment"], "left_semi"), asked, lists, avgdl), bars))
+        best = first.groupBy("query_id", "doc_id").agg(F.round(F.max("s"), 6).alias("s"))
+        floor = top_per_group(best, ["query_id"], [F.col("s").desc(), F.col("doc_id")], k).groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("s")).alias("floor"))
+        later = yes.join(ranked.select("query_id", "segment"), ["query_id", "segment"], "left_anti").join(floor, "query_id", "left")
+        later = later.where("floor IS NULL OR bound >= floor - 1e-6")
+        found = first.unionByName(_unbarred(_evaluated(later, asked, lists, avgdl), bars))
+    found = found.select("query_id", "doc_id", "s")
+    only = alts.where("size(pos) = 0").select("query_id", "alt")
+    gone = barred.join(only, ["query_id", "alt"], "left_semi").groupBy("query_id", "alt", "segment").agg(F.collect_list("doc_id").alias("gone"))
+    # the queries without a positive term are asked of every segment
+    each = only.withColumn("every", F.lit(1)).join(docs.select("segment", "docs", F.lit(1).alias("every")), "every").join(gone, ["query_id", "alt", "segment"], "left")
+    out = F.coalesce("gone", F.array().cast("array<long>"))
+    first_docs = F.col("docs") if k is None else F.slice("docs", F.lit(1), F.lit(k) + F.size(out))
+    rest = each.select("query_id", F.explode(F.array_except(first_docs, out)).alias("doc_id"), F.lit(0.0).alias("s"))
+    return found.unionByName(rest).groupBy("query_id", "doc_id").agg(F.round(F.max("s"), 6).alias("score"))
+
+
+def keyword_search(index: PostingIndex, queries: DataFrame, k: int) -> DataFrame:
     """``(query_id, doc_id, score, rank)``: the best ``k`` matches per query."""
-    return top_per_group(keyword_matches(index, queries), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
+    return top_per_group(keyword_matches(index, queries, k), ["query_id"], [F.col("score").desc(), F.col("doc_id")], k)
 
 
-def keyword_search_wiki(index: DataFrame, pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def keyword_search_wiki(index: PostingIndex, pages: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Keyword search over wiki pages with the page fields attached, in rank order."""
     return keyword_search(index, queries, k).withColumnRenamed("doc_id", "page_id").join(pages, "page_id")
 
@@ -141,7 +173,7 @@ def contains_any(hay: DataFrame, hay_id: str, text: str, needles: DataFrame, nee
         hay_id, *keep, needle_id, needle)
 
 
-def search(index: DataFrame, queries: DataFrame, vectors: DataFrame | None = None,
+def search(index: PostingIndex, queries: DataFrame, vectors: DataFrame | None = None,
            query_vectors: DataFrame | None = None, mode: str = "hybrid", k: int = 20, model: str | None = None,
            live: DataFrame | None = None) -> DataFrame:
     """``(query_id, doc_id, score, rank, mode)`` for mode hybrid, keyword or semantic.

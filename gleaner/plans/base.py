@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.text import content_hash
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_folder
 
 # The small registries the example queries run with.
 TOPICS = [
@@ -216,11 +216,18 @@ def states(spark: SparkSession, sf: str) -> DataFrame:
     return current_state(attempts(spark, sf))
 
 
-def index(spark: SparkSession, sf: str) -> DataFrame:
-    """Index of the live articles."""
-    from ..operators.index import build_index
+def index(spark: SparkSession, sf: str):
+    """Posting lists of the live articles, as a deployment keeps them."""
+    from ..operators.index import write_article_index
 
-    return stored(build_index(articles(spark, sf).where("dedupe_of is null")))
+    live = articles(spark, sf).where("dedupe_of is null").select("article_id", "title", "content_text")
+    return write_article_index(live, scratch_folder(spark, "index"))
+
+
+def wiki_index(spark: SparkSession, pages: DataFrame):
+    from ..operators.index import write_wiki_index
+
+    return write_wiki_index(pages, scratch_folder(spark, "wiki-index"))
 
 
 def article_wiki(spark: SparkSession, sf: str) -> DataFrame:

@@ -58,7 +58,7 @@ wkw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 @query("kw_search_wiki", WIKI_KW + "SELECT query_id, page_id, score, rank, kind, ref_id, title, slug FROM wkw JOIN wiki USING (page_id) WHERE rank <= 20")
 def kw_search_wiki(spark, sf):
     pages = base.article_wiki(spark, sf)
-    hits = search.keyword_search_wiki(ix.build_wiki_index(pages), pages, base.queries(spark, sf), 20)
+    hits = search.keyword_search_wiki(base.wiki_index(spark, pages), pages, base.queries(spark, sf), 20)
     return hits.select("query_id", "page_id", "score", "rank", "kind", "ref_id", "title", "slug")
 
 
@@ -125,7 +125,7 @@ mix AS (SELECT query_id, doc_id AS id, score, 'article' AS source, 0 AS part, ra
 SELECT query_id, id, score, source, row_number() OVER (PARTITION BY query_id ORDER BY part, cr, id) AS rank FROM mix QUALIFY rank <= 30""")
 def search_with_wiki(spark, sf):
     pages = base.article_wiki(spark, sf)
-    hits = search.keyword_search_wiki(ix.build_wiki_index(pages), pages, base.queries(spark, sf), 30)
+    hits = search.keyword_search_wiki(base.wiki_index(spark, pages), pages, base.queries(spark, sf), 30)
     return search.append_wiki(_hybrid(spark, sf, 20), hits, 30)
 
 
@@ -139,7 +139,7 @@ SELECT query_id, kind, ref_id, score, row_number() OVER (PARTITION BY query_id O
 def search_wiki_rrf(spark, sf):
     pages, asked = base.article_wiki(spark, sf), base.queries(spark, sf)
     words = search.keyword_search(base.index(spark, sf), asked, 60)
-    wiki_words = search.keyword_search_wiki(ix.build_wiki_index(pages), pages, asked, 60)
+    wiki_words = search.keyword_search_wiki(base.wiki_index(spark, pages), pages, asked, 60)
     return search.search_all(words, _semantic(spark, sf, 60), wiki_words, pages, 20)
 
 

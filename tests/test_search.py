@@ -1,18 +1,24 @@
+import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
 
 from gleaner.operators import search
-from gleaner.operators.index import build_index
+from gleaner.operators.postings import PostingIndex, write_index
 from gleaner.operators.ranking import reciprocal_rank_fusion
 from gleaner.operators.vector_search import nearest, recall, similar, vector_search
+from gleaner.session import scratch_folder
 
 from .conftest import rows
 
 
-def index_of(spark, texts):
-    return build_index(spark.createDataFrame([(i, "", t) for i, t in texts.items()], "article_id long, title string, content_text string"))
+def index_of(spark, texts, **sizes):
+    path = scratch_folder(spark, "index")
+    write_index(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), "doc_id", F.col("text"), path, **sizes)
+    return PostingIndex(spark, path, **{k: v for k, v in sizes.items() if k == "buckets"})
 
 
 def asked(spark, *qs):
@@ -33,10 +39,49 @@ def test_query_syntax(spark):
     assert got[3] == [3] and got[4] == [] and got[5] == [] and got[6] == [3, 4, 5] and len(got[7]) == 3
 
 
-def test_large_query_tables_take_the_shuffle_path(spark, monkeypatch):
-    want = hits(spark, "red fox", "dog or blue", "fox -red")
-    monkeypatch.setattr(search, "BROADCAST_QUERIES", 0)
-    assert hits(spark, "red fox", "dog or blue", "fox -red") == want
+def plain_scores(texts, query):
+    """Scores by the BM25 formula for queries of words, "phrases" and -exclusions joined by or."""
+    docs = {d: re.findall(r"\w+", t.lower()) for d, t in texts.items()}
+    n, avgdl = len(docs), sum(map(len, docs.values())) / len(docs)
+    df = Counter(t for words in docs.values() for t in set(words))
+    out = {}
+    for alt in re.split(r"\bor\b", query.lower()):
+        items = re.findall(r'-?"[^"]*"|\S+', alt)
+        for d, words in docs.items():
+            has = lambda item: any(words[i:i + len(item)] == item for i in range(len(words)))
+            parts = [(i.startswith("-"), re.findall(r"\w+", i), '"' in i) for i in items]
+            if not parts or any(no and has(w) for no, w, _ in parts) or not all(has(w) if quoted else set(w) <= set(words) for no, w, quoted in parts if not no):
+                continue
+            s = sum(math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * words.count(t) * 2.2 / (words.count(t) + 1.2 * (0.25 + 0.75 * len(words) / avgdl)) for t in {t for no, w, _ in parts if not no for t in w})
+            out[d] = max(out.get(d, 0), round(s, 6))
+    return out
+
+
+def test_keyword_search_against_plain_scoring_in_many_segments(spark, monkeypatch):
+    rnd = random.Random(7)
+    words = [f"w{i}" for i in range(12)] + ["the"] * 8
+    texts = {i: " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 30))) for i in range(400)}
+    qs = ["the", "w1 w2", '"w1 w2"', '"the the w3"', "w1 -w2", '-"the the"', "-the -w1", "w1 or w2 -w3", "w1 -unknown", "unknown", "-unknown", 'w4 "w5 the" or "w6 w7"', "w1 w1 w1"]
+    monkeypatch.setattr(search, "FIRST_SEGMENTS", 2)
+    index = index_of(spark, texts, buckets=7, segment_tokens=150)
+    assert index.docs().count() >= 4
+    got = rows(search.keyword_search(index, asked(spark, *qs), 5), "query_id", "doc_id", "score", "rank")
+    want = []
+    for q, text in enumerate(qs):
+        best = sorted(plain_scores(texts, text).items(), key=lambda x: (-x[1], x[0]))
+        want += [(q, d, s, r + 1) for r, (d, s) in enumerate(best[:5])]
+    assert [g[:2] + g[3:] for g in got] == [w[:2] + w[3:] for w in sorted(want, key=repr)]
+    every = rows(search.keyword_matches(index, asked(spark, *qs)), "query_id", "doc_id")
+    assert every == sorted(((q, d) for q, text in enumerate(qs) for d in plain_scores(texts, text)), key=repr)
+
+
+def test_only_asked_buckets_are_read(spark):
+    index = index_of(spark, {i: f"word{i} common" for i in range(200)}, buckets=64)
+    terms = spark.createDataFrame([("word7",), ("word9",)], "term string")
+    plan = index.lists(terms)._jdf.queryExecution().executedPlan().toString()
+    parts = re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN \(([^)]*)\)", plan) or re.search(r"PartitionFilters: \[.*?bucket#\d+ = (\d+)", plan)
+    assert parts and len(parts[1].split(",")) <= 2
+    assert rows(index.lists(terms), "term", "docs") == [("word7", [7]), ("word9", [9])]
 
 
 def test_fusion_prefers_items_in_both_channels(spark):

@@ -71,12 +71,13 @@ def test_job_tables(spark):
 
 
 def test_listing_by_feed_name_query_and_page(spark):
-    from gleaner.operators.index import build_index
+    from gleaner.operators.index import write_article_index
+    from gleaner.session import scratch_folder
 
     a = spark.createDataFrame([(i, "t", "red fox" if i % 2 else "dog", "done", "en", T0, T0 + dt.timedelta(days=i), i % 3, None) for i in range(12)],
                               "article_id long, title string, content_text string, status string, lang string, published_at timestamp, fetched_at timestamp, feed_id long, dedupe_of long")
     feeds = spark.createDataFrame([(0, "zero"), (1, "one")], "feed_id long, name string")
-    ix = build_index(a)
+    ix = write_article_index(a, scratch_folder(spark, "index"))
     assert [r.article_id for r in listings.list_articles(a, feeds, feed="one", size=3).collect()] == [10, 7, 4]
     assert [r.article_id for r in listings.list_articles(a, feeds, feed=0, index=ix, q="fox", size=1, page=2).collect()] == [3]
 
