@@ -11,6 +11,7 @@ and is linked if the full sets, compared word by word, agree.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -190,24 +191,39 @@ def _cross_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similar
     held = rows.select(*base, F.lit(False).alias("asks"), spread("held_blocks").alias("held"), every("ask_blocks").alias("ask"))
     asks = rows.where("root <> main").select(*base, F.lit(True).alias("asks"), spread("ask_blocks").alias("ask"), every("held_blocks").alias("held"))
 
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[pd.DataFrame] = []
-        asking, kept = rows[rows.asks], rows[~rows.asks]
-        if len(asking) and len(kept):
-            node, root, size = (kept[c].to_numpy() for c in ("node", "root", "n_shingles"))
-            table = np.frombuffer(b"".join(kept.sketch), np.uint16).reshape(len(kept), REGISTERS)
-            enough = least_equal(similarity)
-            for one in asking[["node", "root", "n_shingles", "sketch"]].itertuples(index=False):
-                own = np.frombuffer(one.sketch, np.uint16)
-                at = np.flatnonzero(((table == own).sum(axis=1, dtype=np.int16) >= enough) & (root != one.root))
-                if not len(at):
-                    continue
-                more, less = (own > table[at]).sum(axis=1), (own < table[at]).sum(axis=1)
-                ok = plausible(more, less, np.full(len(at), float(one.n_shingles)), size[at].astype(np.float64), similarity)
-                out.append(pd.DataFrame({"node": one.node, "other": node[at][ok], "root": root[at][ok], "equal": REGISTERS - (more + less)[ok]}))
-        return pd.concat(out) if out else pd.DataFrame({"node": [], "other": [], "root": [], "equal": []})
-
-    found = asks.unionByName(held).groupBy("bucket", "ask", "held").applyInPandas(compare, "node long, other long, root long, equal int")
+    enough = least_equal(similarity)
+
+    def compared(rows: pd.DataFrame, table: np.ndarray) -> list[pd.DataFrame]:
+        """Plausible pairs of one group: rows that ask, against rows that are held."""
+        asks, node, root, size = (rows[c].to_numpy() for c in ("asks", "node", "root", "n_shingles"))
+        held, out = np.flatnonzero(~asks), []
+        for i in np.flatnonzero(asks):
+            equal = (table[held] == table[i]).sum(axis=1, dtype=np.int16)
+            at = held[(equal >= enough) & (root[held] != root[i])]
+            if len(at):
+                more, less = (table[i] > table[at]).sum(axis=1), (table[i] < table[at]).sum(axis=1)
+                ok = plausible(more, less, np.full(len(at), float(size[i])), size[at].astype(np.float64), similarity)
+                out.append(pd.DataFrame({"node": node[i], "other": node[at][ok], "root": root[at][ok], "equal": REGISTERS - (more + less)[ok]}))
+        return out
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups lie side by side; the last one of a batch, of two blocks at most, waits for the next batch."""
+        none, held = pd.DataFrame({"node": [], "other": [], "root": [], "equal": []}), None
+        for batch in chain(batches, [None]):
+            rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
+            if rows is None or not len(rows):
+                continue
+            keys = rows[["bucket", "ask", "held"]].to_numpy()
+            begin = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            ends = [*begin[1:].tolist(), len(rows)]
+            whole = len(begin) if batch is None else len(begin) - 1
+            table = np.frombuffer(b"".join(rows.sketch), np.uint16).reshape(len(rows), REGISTERS)
+            out = [x for a, b in zip(begin[:whole].tolist(), ends) if b - a > 1 for x in compared(rows.iloc[a:b], table[a:b])]
+            held = None if batch is None else rows.iloc[begin[-1]:].reset_index(drop=True)
+            yield pd.concat(out) if out else none
+
+    rows = asks.unionByName(held).repartition("bucket", "ask", "held").sortWithinPartitions("bucket", "ask", "held")
+    found = rows.mapInPandas(compare, "node long, other long, root long, equal int")
     if nearest:
         found = found.groupBy("node", "root").agg(F.max_by("other", F.struct("equal", "other")).alias("other"))
     return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
