@@ -2,14 +2,57 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import (
     canonical_url, content_hash, scrub_html, squash, strip_tags, tokens, unescape, url_hash, url_host, word_count)
 from ..session import small_side
 
-# Elements that never hold article text.
+# Elements that never hold article text, and class names of those that are not part of it.
 NOISE_TAGS = ["nav", "header", "footer", "aside", "form", "noscript", "template", "svg"]
+NOISE_CLASSES = {"ad", "ads", "advert", "cookie", "share", "sidebar"}
+TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-z][\w-]*)([^>]*)>", re.I | re.S)
+CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+
+def without_noise(html: str) -> str:
+    """``html`` without comments and noise elements, each up to the end tag that closes it; one pass over the tags.
+
+    An element is noise by its name, or if it is a div with a noise class among its classes. One that is never closed
+    hides nothing but its own tag.
+    """
+    out, at, skip = [], 0, None  # skip: name, depth and place of the noise element we are in
+    tags = list(TAG.finditer(html))
+    i = 0
+    while i < len(tags):
+        tag = tags[i]
+        name = (tag[2] or "").lower()
+        if skip is not None:
+            if name == skip[0] and not tag[3].endswith("/"):
+                skip[1] += -1 if tag[1] else 1
+                if skip[1] == 0:
+                    at, skip = tag.end(), None
+        elif not name:
+            out.append(html[at:tag.start()])
+            at = tag.end()
+        elif not tag[1] and (name in NOISE_TAGS or name == "div" and NOISE_CLASSES & set(next((g for g in (CLASS.search(tag[3]) or [""])[1:] if g), "").lower().split())):
+            out.append(html[at:tag.start()])
+            at = tag.end()
+            if not tag[3].endswith("/"):
+                skip = [name, 1, i]
+        i += 1
+        if i == len(tags) and skip is not None:  # never closed: go on behind its tag
+            i, skip = skip[2] + 1, None
+    out.append(html[at:])
+    return "".join(out)
+
+
+@F.pandas_udf("string")
+def article_markup(html: pd.Series) -> pd.Series:
+    return html.map(lambda h: None if h is None else without_noise(h))
 
 
 def with_url_hash(df: DataFrame, url: str) -> DataFrame:
@@ -34,10 +77,7 @@ def with_scrubbed(df: DataFrame, html: str, max_bytes: int | None = None) -> Dat
 
 def main_html(html: Column) -> Column:
     """The article (else main, else body) element without comments, navigation and advertising blocks."""
-    out = F.regexp_replace(html, r"(?s)<!--.*?-->", "")
-    for tag in NOISE_TAGS:
-        out = F.regexp_replace(out, rf"(?is)<{tag}\b[^>]*>.*?</{tag}>", "")
-    out = F.regexp_replace(out, r"(?is)<div class=\"(ad|ads|advert|cookie|share|sidebar)\"[^>]*>.*?</div>", "")
+    out = article_markup(html)
     article, main, body = (F.regexp_extract(out, rf"(?is)<{tag}\b[^>]*>(.*)</{tag}>", 1) for tag in ("article", "main", "body"))
     bare = F.regexp_replace(out, r"(?is)<(head|title)\b.*?</(head|title)>", "")
     return F.when(article != "", article).when(main != "", main).when(out.rlike(r"(?i)<body\b"), body).otherwise(bare)
@@ -102,6 +142,7 @@ def drop_boilerplate(pages: DataFrame, key: str, url: str, text: str, min_pages:
     return pages.join(kept, key, "left").withColumn(text, F.coalesce("_kept", F.lit(""))).drop("_kept")
 
 
+QUAD = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(?:\.(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}"
 # Loopback, private, link-local and otherwise special IPv4 ranges as (first address, prefix length).
 PRIVATE_V4 = [
     ("0.0.0.0", 8), ("10.0.0.0", 8), ("127.0.0.0", 8), ("169.254.0.0", 16), ("172.16.0.0", 12), ("192.0.0.0", 29),
@@ -110,18 +151,48 @@ PRIVATE_V4 = [
 ]
 
 
-def is_private_host(host: Column) -> Column:
-    """localhost, or an address of a private, loopback or link-local range."""
-    quad = host.rlike(r"^(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)(\.(25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)){3}$")
-    octet = lambda i: F.element_at(F.split(host, r"\."), i).cast("long")
-    number = F.when(quad, ((octet(1) * 256 + octet(2)) * 256 + octet(3)) * 256 + octet(4))
+# The same for IPv6, and addresses that only wrap others, as leading hex digits.
+PRIVATE_V6 = ["fc", "fd", "fe8", "fe9", "fea", "feb", "20010db8", "0064ff9b0001", "0100000000000000", "2002", "3fff0"]
+MAPPED_V4 = "0" * 20 + "ffff"
+
+
+def _private_number(number: Column) -> Column:
     inside = F.lit(False)
     for base, bits in PRIVATE_V4:
         a, b, c, d = (int(x) for x in base.split("."))
         low = ((a * 256 + b) * 256 + c) * 256 + d
         inside = inside | number.between(low, low + 2 ** (32 - bits) - 1)
-    v6 = host.contains(":") & host.rlike(r"^(::1|::|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*)$")
-    return (host == "") | (host == "localhost") | host.endswith(".localhost") | F.coalesce(inside, F.lit(False)) | v6
+    return F.coalesce(inside, F.lit(False))
+
+
+def _quad_number(quad: Column) -> Column:
+    octet = lambda i: F.element_at(F.split(quad, r"\."), i).cast("long")
+    return ((octet(1) * 256 + octet(2)) * 256 + octet(3)) * 256 + octet(4)
+
+
+def ipv6_digits(host: Column) -> Column:
+    """The 32 hex digits of an IPv6 address in any of its spellings, brackets and zone left out; null for anything else."""
+    bare = F.lower(F.regexp_replace(host, r"^\[|\]$|%.*$", ""))
+    quad = F.regexp_extract(bare, rf":({QUAD})$", 1)
+    number = _quad_number(quad)
+    tail = F.concat_ws(":", F.lower(F.hex(F.shiftright(number, 16))), F.lower(F.hex(number % 65536)))
+    plain = F.when(quad != "", F.concat(F.left(bare, F.length(bare) - F.length(quad)), tail)).otherwise(bare)
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    left, right = groups(F.substring_index(plain, "::", 1)), groups(F.substring_index(plain, "::", -1))
+    short = plain.contains("::")
+    missing = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
+    whole = F.when(short, F.concat(left, F.array_repeat(F.lit("0"), missing), right)).otherwise(F.split(plain, ":"))
+    legal = plain.contains(":") & plain.rlike(r"^[0-9a-f:]+$") & (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    return F.when(legal, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
+
+
+def is_private_host(host: Column) -> Column:
+    """localhost, or an address of a private, loopback, link-local or otherwise special range, IPv4 in IPv6 among them."""
+    quad = F.when(host.rlike(f"^{QUAD}$"), _quad_number(host))
+    digits = ipv6_digits(host)
+    mapped = F.when(digits.startswith(MAPPED_V4), F.conv(F.right(digits, F.lit(8)), 16, 10).cast("long"))
+    v6 = digits.isin("0" * 31 + "1", "0" * 32) | digits.rlike("^(" + "|".join(PRIVATE_V6) + ")")
+    return ((host == "") | (host == "localhost") | host.endswith(".localhost") | _private_number(quad) | _private_number(mapped) | F.coalesce(v6, F.lit(False)))
 
 
 def classify_hosts(df: DataFrame, url: str, allowed: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Callable, Sequence
 
 import pandas as pd
@@ -90,18 +92,17 @@ def text_vectors(df: DataFrame, key: str, text: str, dim: int = 1 << 12, model:
     return unit.select(key, F.lit(kind).alias("kind"), vector_to_array("unit", "float32").alias("vector"))
 
 
-def strict_json(raw: str) -> str:
-    """The JSON value in a model's answer, written strictly.
+# Literals as Python writes them.
+LITERALS = {"True": "true", "False": "false", "None": "null"}
+NAME, BRACKET = re.compile(r"[A-Za-z_]\w*"), re.compile(r"[{\[]")
+
+
+def _value_from(text: str, start: int) -> tuple[str, int]:
+    """The value whose bracket stands at ``start``, written strictly, and where it ends (-1: never closed).
 
-    One walk over the characters that knows when it is inside a string. It starts at the first bracket behind any
-    thinking block and ends with the bracket that closes it. Strings in single quotes get double ones, raw control
-    characters inside strings are escaped, commas before a closing bracket are left out, all in the same walk. Without
-    a bracket the text is returned as it is.
+    One walk that knows when it is inside a string. Strings in single quotes get double ones, raw control characters
+    inside strings are escaped, commas before a closing bracket are left out, Python's literals become JSON's.
     """
-    text = raw.rpartition("</think>")[2].strip()
-    start = min((i for i in (text.find("{"), text.find("[")) if i >= 0), default=-1)
-    if start < 0:
-        return text
     out, depth, quote, i = [], 0, "", start
     while i < len(text):
         c = text[i]
@@ -127,11 +128,35 @@ def strict_json(raw: str) -> str:
             out.append(c)
             depth -= 1
             if depth == 0:
-                break
+                return "".join(out), i + 1
+        elif (name := NAME.match(text, i)) is not None:
+            out.append(LITERALS.get(name[0], name[0]))
+            i = name.end() - 1
         else:
             out.append(c)
         i += 1
-    return "".join(out)
+    return "".join(out), -1
+
+
+def strict_json(raw: str) -> str:
+    """The JSON object in a model's answer, written strictly; any thinking block before it is passed over.
+
+    Brackets are tried in turn until one begins an object; what lies inside a value that parses to something else is not
+    tried again. Without an object the first value that parses stands for the answer, else the first bracket's text.
+    """
+    text = raw.rpartition("</think>")[2].strip()
+    start, first, other = 0, None, None
+    while (match := BRACKET.search(text, start)) is not None:
+        value, end = _value_from(text, match.start())
+        first = value if first is None else first
+        try:
+            if isinstance(json.loads(value), dict):
+                return value
+            other = value if other is None else other
+            start = end
+        except ValueError:
+            start = match.end()
+    return other or first or text
 
 
 def parse_outputs(df: DataFrame, raw: str, expected_keys: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -144,10 +169,15 @@ def parse_outputs(df: DataFrame, raw: str, expected_keys: Sequence[str] = ()) ->
     def strict(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else strict_json(t))
 
-    shaped = df.withColumn("parsed", F.try_parse_json(strict(F.col(raw)))).withColumn("_shape", F.schema_of_variant("parsed"))
-    is_object = F.coalesce(F.col("_shape").startswith("OBJECT"), F.lit(False))
+    def shape(value: Column) -> Column:
+        return F.coalesce(F.schema_of_variant(value).startswith("OBJECT"), F.lit(False))
+
+    plain = F.try_parse_json(raw)  # strict answers are not walked through again
+    read = df.withColumn("_plain", plain).withColumn("_repaired", strict(F.when(~shape(F.col("_plain")), F.col(raw))))
+    shaped = read.withColumn("parsed", F.when(shape(F.col("_plain")), F.col("_plain")).otherwise(F.try_parse_json("_repaired"))).drop("_plain", "_repaired")
+    is_object = shape(F.col("parsed"))
     held = F.json_object_keys(F.to_json("parsed"))
     wanted = F.array(*[F.lit(k) for k in expected_keys]).cast("array<string>")
-    good = shaped.where(is_object).withColumn("missing_keys", F.array_except(wanted, held)).drop("_shape")
+    good = shaped.where(is_object).withColumn("missing_keys", F.array_except(wanted, held))
     bad = shaped.where(~is_object).withColumn("reason", F.when(F.col("parsed").isNull(), "unparseable").otherwise("not an object"))
-    return good, bad.drop("_shape", "parsed")
+    return good, bad.drop("parsed")

@@ -97,13 +97,18 @@ def link_entities(mentions: DataFrame, order: tuple[str, ...] = ("sentence", "po
     )
 
 
-def fold_entities(mentions: DataFrame, entities: DataFrame | None = None) -> DataFrame:
+def fold_entities(mentions: DataFrame, entities: DataFrame | None = None, links: DataFrame | None = None) -> DataFrame:
     """One row per (type, name) from mentions ``(article_id, name, type, aliases, description, confidence, seen)``.
 
     Aliases are a distinct union, the description is that of the first most confident mention, mention_count
     is the number of articles. Aliases and articles are made distinct before they meet per entity, so an
     entity named in a third of all articles costs one row per distinct alias and article, spread by both.
+
+    Stored ``entities`` come with their ``links`` (article_id, entity_id): articles are counted over both, so folding the
+    same mentions again changes nothing.
     """
+    if (entities is None) != (links is None):
+        raise ValueError("stored entities and their links go together")
     keyed = mentions.withColumn("entity_id", entity_id(F.col("type"), F.col("name")))
     main = keyed.groupBy("entity_id", "type", "name").agg(
         F.max("confidence").alias("confidence"),
@@ -119,12 +124,13 @@ def fold_entities(mentions: DataFrame, entities: DataFrame | None = None) -> Dat
     if entities is None:
         return out
     merged = entities.select(*out.columns).unionByName(out)
+    linked = links.select("entity_id", "article_id").unionByName(keyed.select("entity_id", "article_id")).distinct()
+    linked = linked.groupBy("entity_id").agg(F.count("*").alias("mention_count"))
     return merged.groupBy("entity_id", "type", "name").agg(
         F.max("confidence").alias("confidence"),
         F.max_by("description", F.struct("confidence", -F.unix_micros("last_seen"))).alias("description"),
         F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
-        F.sort_array(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"),
-        F.sum("mention_count").alias("mention_count"))
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases")).join(linked, "entity_id")
 
 
 def resolve_relations(relations: DataFrame, mentions: DataFrame) -> DataFrame:

@@ -55,10 +55,11 @@ def build_index(articles: DataFrame, summaries: DataFrame | None = None, only_mi
     return index_text(src, "article_id", text)
 
 
-def write_article_index(articles: DataFrame, path: str, summaries: DataFrame | None = None, only_missing: DataFrame | None = None) -> PostingIndex:
+def write_article_index(articles: DataFrame, path: str, summaries: DataFrame | None = None, only_missing: DataFrame | None = None,
+                        segments_from: int = 0) -> PostingIndex:
     """The same texts as posting lists stored below ``path``, for keyword search."""
     src, text = _article_texts(articles, summaries, only_missing)
-    write_index(src, "article_id", text, path)
+    write_index(src, "article_id", text, path, segments_from=segments_from)
     return PostingIndex(articles.sparkSession, path)
 
 

@@ -12,7 +12,7 @@ def list_articles(articles: DataFrame, feeds: DataFrame | None = None, article_t
                   topics: DataFrame | None = None, index: PostingIndex | None = None, feed: str | int | None = None,
                   topic: str | None = None, status: str | None = None, q: str | None = None, page: int = 1,
                   size: int = 20) -> DataFrame:
-    """One page of live articles, newest first."""
+    """One page of live articles, newest first; ``q`` is looked up in the index, without one as part of title or text."""
     out = articles.where(F.col("dedupe_of").isNull())
     if feed is not None:
         if str(feed).isdigit():
@@ -29,8 +29,10 @@ def list_articles(articles: DataFrame, feeds: DataFrame | None = None, article_t
 
         asked = articles.sparkSession.createDataFrame([(0, q)], "query_id long, query string")
         # every match may be on some page: they are neither ranked nor cut
-        hits = keyword_matches(index, asked).select(F.col("doc_id").alias("article_id"))
-        out = out.join(hits, "article_id", "left_semi")
+        if index is None:
+            out = substring_filter(out, q)
+        else:
+            out = out.join(keyword_matches(index, asked).select(F.col("doc_id").alias("article_id")), "article_id", "left_semi")
     cols = ["article_id", "title", "status", "lang", "published_at", "feed_id", "fetched_at"]
     return out.select(*cols).orderBy(F.col("fetched_at").desc(), "article_id").offset((page - 1) * size).limit(size)
 

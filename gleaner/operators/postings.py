@@ -61,8 +61,11 @@ def _lists(segment: int, ids: list[np.ndarray], words: list[pa.Array], lengths:
         yield batch.slice(low, 4_096)
 
 
-def write_index(df: DataFrame, doc_id: str, text: Column, path: str, buckets: int = BUCKETS, segment_tokens: int = SEGMENT_TOKENS) -> None:
-    """Writes lists and documents of ``df`` (one row per ``doc_id``) below ``path``; null texts have no terms."""
+def write_index(df: DataFrame, doc_id: str, text: Column, path: str, buckets: int = BUCKETS, segment_tokens: int = SEGMENT_TOKENS, segments_from: int = 0) -> None:
+    """Writes lists and documents of ``df`` (one row per ``doc_id``) below ``path``; null texts have no terms.
+
+    Several writes may share an index, each in a ``batch=`` folder with numbers of its own from ``segments_from``.
+    """
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, number, held = TaskContext.get().partitionId(), 0, 0
@@ -76,15 +79,15 @@ def write_index(df: DataFrame, doc_id: str, text: Column, path: str, buckets: in
                 words.append(pc.list_flatten(lists).dictionary_encode())
                 held += int(lengths[-1].sum())
                 if held >= segment_tokens:
-                    yield from _lists(task << 32 | number, ids, words, lengths)
+                    yield from _lists(segments_from + (task << 32 | number), ids, words, lengths)
                     number, held, ids, words, lengths = number + 1, 0, [], [], []
         if ids:
-            yield from _lists(task << 32 | number, ids, words, lengths)
+            yield from _lists(segments_from + (task << 32 | number), ids, words, lengths)
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), tokens(text).alias("toks"))
     rows = rows.mapInArrow(build, LIST).withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(bucket_of(F.col("term"), buckets)))
     # a frequent term has one list per segment; eight shares of each bucket keep its file from being one task's
-    rows.repartition("bucket", F.pmod("segment", F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(path)
+    rows.repartition("bucket", F.pmod("segment", F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 @dataclass(frozen=True)
@@ -96,7 +99,8 @@ class PostingIndex:
     buckets: int = BUCKETS
 
     def _read(self) -> DataFrame:
-        return self.spark.read.schema(LIST + ", bucket int").parquet(self.path)
+        names = [f.split()[0] for f in LIST.split(", ")]
+        return self.spark.read.schema(LIST + ", bucket int").parquet(self.path).select(*names, "bucket")
 
     def docs(self) -> DataFrame:
         """segment, docs, dls: the documents of every segment in order."""

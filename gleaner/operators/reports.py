@@ -52,21 +52,29 @@ def reports(articles: DataFrame, feeds: DataFrame, attempts: DataFrame, summarie
 
 def growth(articles: DataFrame, article_topics: DataFrame, topics: DataFrame, entities: DataFrame, relations: DataFrame,
            top: int = 20) -> DataFrame:
-    """Weekly growth as ``(week, measure, name, n, previous)``: top topics with the week before, new entities
-    and relations."""
+    """Weekly growth as ``(week, measure, name, n, previous)``: top topics with the week before, new entities and relations.
+
+    What was there the week before and is gone has a row with n = 0, up to the latest week with an article.
+    """
     week = lambda ts: F.date_trunc("week", ts).cast("date")
     live = articles.where(F.col("dedupe_of").isNull()).select("article_id", week("fetched_at").alias("week"))
     counted = article_topics.join(live, "article_id").groupBy("week", "topic_id").agg(F.count("*").alias("n"))
     prev = counted.select(F.date_add("week", 7).alias("week"), "topic_id", F.col("n").alias("previous"))
-    moved = counted.join(prev, ["week", "topic_id"], "left").join(topics.select("topic_id", "name"), "topic_id")
+    last = live.agg(F.max("week").alias("last_week"))  # one row
+
+    def both(now: DataFrame, before: DataFrame, keys: list[str]) -> DataFrame:
+        met = now.join(before, keys, "full_outer").join(F.broadcast(last), F.col("week") <= F.col("last_week")).drop("last_week")
+        zero = F.lit(0).cast("long")
+        return met.withColumns({"n": F.coalesce("n", zero), "previous": F.coalesce("previous", zero)})
+
+    moved = both(counted, prev, ["week", "topic_id"]).join(topics.select("topic_id", "name"), "topic_id")
     best = top_per_group(moved, ["week"], [F.col("n").desc(), F.col("topic_id")], top).select(
-        "week", F.lit("topic").alias("measure"), "name", "n", F.coalesce("previous", F.lit(0)).alias("previous"))
+        "week", F.lit("topic").alias("measure"), "name", "n", "previous")
 
     def fresh(df: DataFrame, label: str) -> DataFrame:
         n = df.groupBy(week("first_seen").alias("week")).agg(F.count("*").alias("n"))
         before = n.select(F.date_add("week", 7).alias("week"), F.col("n").alias("previous"))
-        return n.join(before, "week", "left").select(
-            "week", F.lit(label).alias("measure"), F.lit("").alias("name"), "n", F.coalesce("previous", F.lit(0)).alias("previous"))
+        return both(n, before, ["week"]).select("week", F.lit(label).alias("measure"), F.lit("").alias("name"), "n", "previous")
 
     return best.unionByName(fresh(entities, "entities_new")).unionByName(fresh(relations, "relations_new"))
 

@@ -35,9 +35,8 @@ def upsert_guarded(old: DataFrame, new: DataFrame, articles: DataFrame, keys: Se
     Absent keys are inserted whatever their hash, like an insert that meets no conflict.
     """
     current = articles.select("article_id", F.col("content_hash").alias("current_hash"))
-    judged = new.join(current, "article_id", "left").join(old.select(*keys, F.lit(True).alias("held")), list(keys), "left")
-    accepted = judged.where(F.col("held").isNull() | (F.col("content_hash") == F.col("current_hash"))).select(*new.columns)
-    return upsert_latest(old, accepted, keys)
+    current_ones = new.join(current, "article_id").where(F.col("content_hash") == F.col("current_hash")).select(*new.columns)
+    return upsert_latest(old, current_ones.unionByName(without_keys(new, old, keys)).distinct(), keys)
 
 
 def insert_ignore(old: DataFrame, new: DataFrame, keys: Sequence[str]) -> DataFrame:

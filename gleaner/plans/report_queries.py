@@ -259,13 +259,13 @@ def report_weekly(spark, sf):
 
 
 @query("report_growth", """
-WITH c AS (SELECT date_trunc('week', fetched_at)::DATE AS week, topic_id, count(*) AS n FROM article_topics JOIN live USING (article_id) GROUP BY 1, 2),
-e AS (SELECT date_trunc('week', first_seen)::DATE AS week, count(*) AS n FROM entities GROUP BY 1),
-r AS (SELECT date_trunc('week', first_seen)::DATE AS week, count(*) AS n FROM relations GROUP BY 1),
-u AS (SELECT week, 'topic' AS measure, name, n, coalesce((SELECT n FROM c p WHERE p.topic_id = c.topic_id AND p.week = c.week - 7), 0) AS previous FROM c JOIN topics USING (topic_id)
-UNION ALL SELECT week, 'entities_new', '', n, coalesce((SELECT n FROM e p WHERE p.week = e.week - 7), 0) FROM e
-UNION ALL SELECT week, 'relations_new', '', n, coalesce((SELECT n FROM r p WHERE p.week = r.week - 7), 0) FROM r)
-SELECT strftime(week, '%Y-%m-%d') AS week, measure, name, n, previous FROM u""")
+WITH c AS (SELECT 'topic' AS measure, name, date_trunc('week', fetched_at)::DATE AS week, count(*) AS n FROM article_topics JOIN live USING (article_id) JOIN topics USING (topic_id) GROUP BY 1, 2, 3
+  UNION ALL SELECT 'entities_new', '', date_trunc('week', first_seen)::DATE, count(*) FROM entities GROUP BY 1, 2, 3
+  UNION ALL SELECT 'relations_new', '', date_trunc('week', first_seen)::DATE, count(*) FROM relations GROUP BY 1, 2, 3),
+k AS (SELECT measure, name, week FROM c UNION SELECT measure, name, week + 7 FROM c)
+SELECT strftime(k.week, '%Y-%m-%d') AS week, measure, name, coalesce(c.n, 0) AS n, coalesce(p.n, 0) AS previous
+FROM k LEFT JOIN c USING (measure, name, week) LEFT JOIN c p ON p.measure = k.measure AND p.name = k.name AND p.week = k.week - 7
+WHERE k.week <= (SELECT max(date_trunc('week', fetched_at)) FROM live)""")
 def report_growth(spark, sf):
     arts = base.articles(spark, sf)
     found = base.mentions(spark, sf)

@@ -20,15 +20,17 @@ class KeyedLog:
         self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
         self.schema = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
         # an empty folder makes the table readable before its first batch
-        spark.createDataFrame([], self.schema).write.mode("overwrite").parquet(f"{self.path}/batch=-1")
+        spark.createDataFrame([], self.schema).write.mode("ignore").parquet(f"{self.path}/batch=-1")
 
     def write(self, df: DataFrame, batch: int) -> None:
         df.select(*self.schema.names).write.mode("overwrite").parquet(f"{self.path}/batch={batch}")
 
-    def rows(self, before: int | None = None) -> DataFrame:
-        """All rows with their batch; ``before`` leaves out that batch and later ones."""
+    def rows(self, before: int | None = None, number: int | None = None) -> DataFrame:
+        """All rows with their batch; ``before`` leaves out that batch and later ones, ``number`` gives one batch alone."""
         schema = StructType(list(self.schema.fields)).add("batch", "long")
         df = self.spark.read.schema(schema).option("basePath", self.path).parquet(self.path)
+        if number is not None:
+            return df.where(F.col("batch") == number)
         return df if before is None else df.where(F.col("batch") < before)
 
     def latest(self, order: Sequence[str] = (), before: int | None = None) -> DataFrame:

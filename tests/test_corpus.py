@@ -2,6 +2,8 @@ import datetime as dt
 import random
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from gleaner.operators import entities as ent, graph, related, topics
 from gleaner.operators.pages import article_pages
 
@@ -55,8 +57,10 @@ def test_entity_folding_and_links(spark):
     got = {(r.type, r.name): r for r in ent.fold_entities(m).collect()}
     a = got[("org", "A")]
     assert (a.aliases, a.description, a.confidence, a.mention_count) == (["a1", "a2"], "best", 0.9, 2) and len(got) == 2
-    again = ent.fold_entities(m, ent.fold_entities(m).select(*ent.fold_entities(m).columns))
-    assert again.count() == 2
+    again = ent.fold_entities(m, ent.fold_entities(m), ent.link_entities(m))
+    assert rows(again, "entity_id", "mention_count", "aliases") == rows(ent.fold_entities(m), "entity_id", "mention_count", "aliases")
+    more = ent.fold_entities(m.limit(1).withColumn("article_id", F.lit(9).cast("long")), ent.fold_entities(m), ent.link_entities(m))
+    assert sorted(r.mention_count for r in more.collect()) == [1, 3]
     links = rows(ent.link_entities(m), "article_id", "confidence", "surface")
     assert links == [(1, 0.5, "s2"), (2, 0.3, "s4"), (2, 0.9, "s3")]
 

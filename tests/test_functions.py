@@ -76,7 +76,18 @@ def test_host_classes(spark):
         "https://a.Example.com:8080/x": "allowed", "https://example.com": "allowed", "https://badexample.com": "blocked",
         "http://10.1.2.3/": "private", "http://172.32.0.1/": "blocked", "http://172.16.0.1/": "private", "http://localhost:1/": "private",
         "http://[::1]/": "private", "http://x.localhost/": "private", "http://8.8.8.8/": "blocked", "http://user@example.com/": "allowed",
+        "http://[::ffff:10.0.0.1]/": "private", "http://[0:0:0:0:0:0:0:1]:80/": "private", "http://[::ffff:808:808]/": "blocked", "http://[::ffff:0a00:1]/": "private",
+        "http://[fe80::1%25eth0]/": "private", "http://[2606:4700::1111]/": "blocked", "http://[2001:DB8::1]/": "private", "http://[fd00::]/": "private", "http://[1::2::3]/": "blocked",
     }
     allowed = spark.createDataFrame([("example.com",)], "host string")
     df = spark.createDataFrame([(u,) for u in urls], "url string")
     assert {r.url: r.host_class for r in classify_hosts(df, "url", allowed).collect()} == urls
+
+
+def test_noise_blocks_end_where_they_are_closed():
+    from gleaner.operators.cleaning import without_noise
+
+    assert without_noise('<p>a</p><div class="ad banner"><div>x</div>TAIL</div><p>b</p>') == "<p>a</p><p>b</p>"
+    assert without_noise("<div class='big Sidebar'>x</div><div class=share>y</div><div class=\"advertise\">z</div>") == '<div class="advertise">z</div>'
+    assert without_noise("<nav>a<nav>b</nav>c</nav>d<!-- <nav> -->e<aside>open f") == "deopen f"
+    assert without_noise("") == "" and without_noise("a < b > c") == "a < b > c"
