@@ -6,6 +6,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions.text import (
     canonical_url, content_hash, scrub_html, squash, strip_tags, tokens, unescape, url_hash, url_host, word_count)
@@ -18,6 +19,14 @@ TAG = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-z][\w-]*)([^>]*)>", re.I | re.S)
 CLASS = re.compile(r"\bclass\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
+def _is_noise(name: str, attributes: str) -> bool:
+    """Whether a start tag begins a noise element."""
+    if name in NOISE_TAGS:
+        return True
+    found = CLASS.search(attributes) if name == "div" else None
+    return found is not None and not NOISE_CLASSES.isdisjoint("".join(g or "" for g in found.groups()).lower().split())
+
+
 def without_noise(html: str) -> str:
     """``html`` without comments and noise elements, each up to the end tag that closes it; one pass over the tags.
 
@@ -38,7 +47,7 @@ def without_noise(html: str) -> str:
         elif not name:
             out.append(html[at:tag.start()])
             at = tag.end()
-        elif not tag[1] and (name in NOISE_TAGS or name == "div" and NOISE_CLASSES & set(next((g for g in (CLASS.search(tag[3]) or [""])[1:] if g), "").lower().split())):
+        elif not tag[1] and _is_noise(name, tag[3]):
             out.append(html[at:tag.start()])
             at = tag.end()
             if not tag[3].endswith("/"):
@@ -50,7 +59,7 @@ def without_noise(html: str) -> str:
     return "".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def article_markup(html: pd.Series) -> pd.Series:
     return html.map(lambda h: None if h is None else without_noise(h))
 
