@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import ipaddress
 import re
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import BooleanType, StringType
 
 from ..functions.text import (
     canonical_url, content_hash, scrub_html, squash, strip_tags, tokens, unescape, url_hash, url_host, word_count)
@@ -160,9 +161,19 @@ PRIVATE_V4 = [
 ]
 
 
-# The same for IPv6, and addresses that only wrap others, as leading hex digits.
-PRIVATE_V6 = ["fc", "fd", "fe8", "fe9", "fea", "feb", "20010db8", "0064ff9b0001", "0100000000000000", "2002", "3fff0"]
-MAPPED_V4 = "0" * 20 + "ffff"
+@F.pandas_udf(BooleanType())
+def private_v6(hosts: pd.Series) -> pd.Series:
+    """Whether an IPv6 address, in any spelling, is of a private, loopback or link-local range; IPv4 inside it counts. Else null."""
+
+    def judged(host: str | None) -> bool | None:
+        try:
+            address = ipaddress.IPv6Address(host.strip("[]").partition("%")[0])
+        except (AttributeError, ValueError):
+            return None
+        inner = address.ipv4_mapped or address
+        return inner.is_private or inner.is_loopback or inner.is_link_local
+
+    return hosts.map(judged).astype("boolean")
 
 
 def _private_number(number: Column) -> Column:
@@ -179,29 +190,11 @@ def _quad_number(quad: Column) -> Column:
     return ((octet(1) * 256 + octet(2)) * 256 + octet(3)) * 256 + octet(4)
 
 
-def ipv6_digits(host: Column) -> Column:
-    """The 32 hex digits of an IPv6 address in any of its spellings, brackets and zone left out; null for anything else."""
-    bare = F.lower(F.regexp_replace(host, r"^\[|\]$|%.*$", ""))
-    quad = F.regexp_extract(bare, rf":({QUAD})$", 1)
-    number = _quad_number(quad)
-    tail = F.concat_ws(":", F.lower(F.hex(F.shiftright(number, 16))), F.lower(F.hex(number % 65536)))
-    plain = F.when(quad != "", F.concat(F.left(bare, F.length(bare) - F.length(quad)), tail)).otherwise(bare)
-    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
-    left, right = groups(F.substring_index(plain, "::", 1)), groups(F.substring_index(plain, "::", -1))
-    short = plain.contains("::")
-    missing = F.greatest(F.lit(8) - F.size(left) - F.size(right), F.lit(0))
-    whole = F.when(short, F.concat(left, F.array_repeat(F.lit("0"), missing), right)).otherwise(F.split(plain, ":"))
-    legal = plain.contains(":") & plain.rlike(r"^[0-9a-f:]+$") & (F.size(whole) == 8) & F.forall(whole, lambda g: g.rlike("^[0-9a-f]{1,4}$"))
-    return F.when(legal, F.array_join(F.transform(whole, lambda g: F.lpad(g, 4, "0")), ""))
-
-
 def is_private_host(host: Column) -> Column:
     """localhost, or an address of a private, loopback, link-local or otherwise special range, IPv4 in IPv6 among them."""
     quad = F.when(host.rlike(f"^{QUAD}$"), _quad_number(host))
-    digits = ipv6_digits(host)
-    mapped = F.when(digits.startswith(MAPPED_V4), F.conv(F.right(digits, F.lit(8)), 16, 10).cast("long"))
-    v6 = digits.isin("0" * 31 + "1", "0" * 32) | digits.rlike("^(" + "|".join(PRIVATE_V6) + ")")
-    return ((host == "") | (host == "localhost") | host.endswith(".localhost") | _private_number(quad) | _private_number(mapped) | F.coalesce(v6, F.lit(False)))
+    v6 = private_v6(F.when(host.contains(":"), host))
+    return (host == "") | (host == "localhost") | host.endswith(".localhost") | _private_number(quad) | F.coalesce(v6, F.lit(False))
 
 
 def classify_hosts(df: DataFrame, url: str, allowed: DataFrame) -> DataFrame:
@@ -213,12 +206,14 @@ def classify_hosts(df: DataFrame, url: str, allowed: DataFrame) -> DataFrame:
     hosts = df.withColumn("host", url_host(F.col(url)))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    names = hosts.select("host").distinct()
     ok = (
-        hosts.select("host").distinct().select("host", F.explode(suffixes).alias("suffix"))
+        names.select("host", F.explode(suffixes).alias("suffix"))
         .join(small_side(allowed.select(F.lower("host").alias("suffix"))), "suffix", "left_semi").select("host", F.lit(True).alias("ok")).distinct()
     )
-    return hosts.join(ok, "host", "left").withColumn("host_class", F.when(is_private_host(F.col("host")), "private").when(
-        F.col("ok"), "allowed").otherwise("blocked")).drop("ok")
+    classes = names.join(ok, "host", "left").select("host", F.when(is_private_host(F.col("host")), "private").when(
+        F.col("ok"), "allowed").otherwise("blocked").alias("host_class"))
+    return hosts.join(classes, "host", "left").withColumn("host_class", F.coalesce("host_class", F.lit("blocked")))
 
 
 def vector_text(articles: DataFrame, max_chars: int = 8192) -> DataFrame:
