@@ -58,9 +58,12 @@ grams AS (SELECT template, p, w[p + 1] AS a, w[p + 2] AS b FROM (SELECT template
 votes AS (SELECT doc_id, template, p, i FROM (SELECT doc_id, i, w[i + 1] AS a, w[i + 2] AS b FROM (SELECT doc_id, w, unnest(range(0, len(w) - 1)) AS i FROM d)) JOIN grams USING (a, b)),
 steps AS (SELECT doc_id, template, diag, (diag - lag(diag) OVER (PARTITION BY doc_id, template ORDER BY diag) > {licences.GAP})::INT AS apart FROM (SELECT DISTINCT doc_id, template, i - p AS diag FROM votes)),
 spans AS (SELECT doc_id, template, diag, CASE WHEN base THEN diag ELSE sum(coalesce(apart, 0)) OVER (PARTITION BY doc_id, template ORDER BY diag) END AS span, label, base, len(w) AS m FROM steps JOIN t USING (template)),
-merged AS (SELECT doc_id, template, span, label, base, m, min(i) AS low, max(i) AS high FROM spans JOIN (SELECT doc_id, template, p, i, i - p AS diag FROM votes) USING (doc_id, template, diag) GROUP BY ALL),
-covered AS (SELECT doc_id, template, span, count(DISTINCT x) AS n FROM (SELECT doc_id, template, span, unnest([p, p + 1]) AS x FROM spans JOIN (SELECT doc_id, template, p, i, i - p AS diag FROM votes) USING (doc_id, template, diag)) GROUP BY ALL),
-shares AS (SELECT *, n / m AS share FROM merged JOIN covered USING (doc_id, template, span) WHERE high + 2 - low <= 2 * m),
+placed AS MATERIALIZED (SELECT doc_id, template, span, label, base, m, p, i, 2 * m - 1 AS reach FROM spans JOIN (SELECT doc_id, template, p, i, i - p AS diag FROM votes) USING (doc_id, template, diag)),
+merged AS (SELECT doc_id, template, span, label, base, m, reach, min(i) AS low, max(i) AS high FROM placed GROUP BY ALL),
+starts AS (SELECT DISTINCT doc_id, template, span, i AS a, i + reach AS b FROM placed JOIN merged USING (doc_id, template, span, reach) WHERE high - low >= reach
+  UNION ALL SELECT doc_id, template, span, low, high + 1 FROM merged WHERE high - low < reach),
+covered AS (SELECT doc_id, template, span, a, count(DISTINCT x) AS n FROM (SELECT doc_id, template, span, a, unnest([p, p + 1]) AS x FROM starts JOIN placed USING (doc_id, template, span) WHERE i >= a AND i < b) GROUP BY ALL),
+shares AS (SELECT doc_id, template, span, label, base, low, max(n) / m AS share FROM merged JOIN covered USING (doc_id, template, span) GROUP BY doc_id, template, span, label, base, low, m),
 found AS (SELECT doc_id, count(*) FILTER (base AND share = 1) AS n_base, min(low) FILTER (base AND share = 1) AS first_word, max(low) FILTER (base AND share = 1) AS last_word,
   array_to_string(list_sort(list(DISTINCT label) FILTER (base AND share = 1)), ',') AS base_labels,
   array_to_string(list_sort(list(DISTINCT label) FILTER (CASE WHEN base THEN share = 1 ELSE share >= {licences.COVERED} END)), ',') AS labels, max(share) AS score FROM shares GROUP BY 1)

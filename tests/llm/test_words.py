@@ -122,3 +122,18 @@ def test_proximity(spark):
     tests = stored(phrase_index.items_with_words(spark.createDataFrame([("i", "x bb x aa"), ("j", "x")], "item_id string, text string")), "t")
     near = phrase_index.proximity_matches(index, tests, phrase_index.rarest_terms(index, tests)).join(phrase_index.indexed_documents(index), "row")
     assert sorted((r.doc_id, r.item) for r in near.collect()) == [(1, "i"), (2, "i")]
+
+
+def test_long_chains_of_diagonals_agree_with_the_sql(spark, tmp_path):
+    import duckdb
+
+    from gleaner.llm.catalog import ORACLES, QUERIES
+
+    texts = ["CC BY, CC BY, CC BY, CC BY, CC BY: licensed under CC BY-NC 4.0", "licensed under " * 30 + "the GNU General Public License, version 3", "CC BY " * 40, None, "",
+             "the terms of the " * 20 + "Mozilla Public License. This Source Code Form is subject to the terms of the Mozilla Public License"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    duck = duckdb.connect()
+    duck.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = duck.sql(ORACLES["op5_licences"])
+    got = QUERIES["op5_licences"](spark, str(tmp_path)).select(*want.columns).collect()
+    assert sorted(map(tuple, got)) == sorted(want.fetchall()) and "cc-by-nc-4.0" in sorted(map(tuple, got))[0][6]
