@@ -193,34 +193,33 @@ def _cross_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similar
 
     enough = least_equal(similarity)
 
-    def compared(rows: pd.DataFrame, table: np.ndarray) -> list[pd.DataFrame]:
-        """Plausible pairs of one group: rows that ask, against rows that are held."""
-        asks, node, root, size = (rows[c].to_numpy() for c in ("asks", "node", "root", "n_shingles"))
-        held, out = np.flatnonzero(~asks), []
-        for i in np.flatnonzero(asks):
-            equal = (table[held] == table[i]).sum(axis=1, dtype=np.int16)
-            at = held[(equal >= enough) & (root[held] != root[i])]
-            if len(at):
-                more, less = (table[i] > table[at]).sum(axis=1), (table[i] < table[at]).sum(axis=1)
-                ok = plausible(more, less, np.full(len(at), float(size[i])), size[at].astype(np.float64), similarity)
-                out.append(pd.DataFrame({"node": node[i], "other": node[at][ok], "root": root[at][ok], "equal": REGISTERS - (more + less)[ok]}))
-        return out
-
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Groups lie side by side; the last one of a batch, of two blocks at most, waits for the next batch."""
-        none, held = pd.DataFrame({"node": [], "other": [], "root": [], "equal": []}), None
+        held = None
         for batch in chain(batches, [None]):
             rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
             if rows is None or not len(rows):
                 continue
+            asks, node, root, size = (rows[c].to_numpy() for c in ("asks", "node", "root", "n_shingles"))
             keys = rows[["bucket", "ask", "held"]].to_numpy()
             begin = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
             ends = [*begin[1:].tolist(), len(rows)]
             whole = len(begin) if batch is None else len(begin) - 1
             table = np.frombuffer(b"".join(rows.sketch), np.uint16).reshape(len(rows), REGISTERS)
-            out = [x for a, b in zip(begin[:whole].tolist(), ends) if b - a > 1 for x in compared(rows.iloc[a:b], table[a:b])]
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for low, high in zip(begin[:whole].tolist(), ends):
+                kept = low + np.flatnonzero(~asks[low:high])
+                for i in (low + np.flatnonzero(asks[low:high])).tolist() if len(kept) else ():
+                    at = kept[((table[kept] == table[i]).sum(axis=1, dtype=np.int16) >= enough) & (root[kept] != root[i])]
+                    left.append(np.full(len(at), i))
+                    right.append(at)
+            every, other = np.concatenate(left), np.concatenate(right)
             held = None if batch is None else rows.iloc[begin[-1]:].reset_index(drop=True)
-            yield pd.concat(out) if out else none
+            for low in range(0, len(every), 1 << 15):  # so many pairs of sketches at a time
+                i, at = every[low:low + (1 << 15)], other[low:low + (1 << 15)]
+                more, less = (table[i] > table[at]).sum(axis=1), (table[i] < table[at]).sum(axis=1)
+                ok = plausible(more, less, size[i].astype(np.float64), size[at].astype(np.float64), similarity)
+                yield pd.DataFrame({"node": node[i][ok], "other": node[at][ok], "root": root[at][ok], "equal": (REGISTERS - more - less)[ok]})
 
     rows = asks.unionByName(held).repartition("bucket", "ask", "held").sortWithinPartitions("bucket", "ask", "held")
     found = rows.mapInPandas(compare, "node long, other long, root long, equal int")
