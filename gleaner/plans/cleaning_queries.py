@@ -181,12 +181,21 @@ def vec_prepare(spark, sf):
     return checked.join(texts, "article_id", "left").select("article_id", "verdict", "body", F.coalesce("title", F.lit("")).alias("title"))
 
 
-@query("text_vectors")
+@query("text_vectors", f"""
+WITH t AS (SELECT doc_id, len({O.tok("coalesce(text, '')")}) > 0 AS worded FROM documents)
+SELECT doc_id, 'body' AS kind, 256::BIGINT AS dim, CASE WHEN worded THEN 1.0 ELSE 0.0 END::DOUBLE AS length, CASE WHEN worded THEN 1.0 END::DOUBLE AS twin FROM t""")
 def text_vectors(spark, sf):
-    vec = enrich.text_vectors(base.table(spark, sf, "documents"), "doc_id", "text", dim=256)
-    from ..functions.vectors import norm
+    """Unit length for every text with a token, and cosine 1 with the first document of the same text."""
+    from ..functions.vectors import cosine, norm
 
-    return vec.select("doc_id", "kind", F.size("vector").alias("dim"), F.round(norm(F.col("vector")), 4).alias("length"))
+    docs = base.table(spark, sf, "documents")
+    vec = base.stored(enrich.text_vectors(docs, "doc_id", "text", dim=256))
+    same = docs.select("doc_id", F.xxhash64("text").alias("h"))
+    first = same.join(same.groupBy("h").agg(F.min("doc_id").alias("first")), "h").select("doc_id", "first")
+    other = vec.select(F.col("doc_id").alias("first"), F.col("vector").alias("twin"))
+    return vec.join(first, "doc_id").join(other, "first").select(
+        "doc_id", "kind", F.size("vector").cast("long").alias("dim"), F.round(norm(F.col("vector")), 4).alias("length"),
+        F.round(cosine(F.col("vector"), F.col("twin")), 4).alias("twin"))
 
 
 @query("enrich_select", """

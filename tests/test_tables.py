@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gleaner.operators import attempts, enrich, listings, tables
+from gleaner.operators import attempts, enrich, listings, reports, tables
 from gleaner.sources import payloads, sinks
 
 from .conftest import rows
@@ -146,3 +146,26 @@ def test_audit_log_retention(spark, tmp_path):
     assert rows(spark.read.parquet(path), "id") == [(1,), (2,), (3,)]
     assert sinks.drop_expired(spark, path, "2024-04-15") == ["event_date=2024-01-01"]
     assert rows(spark.read.parquet(path), "id") == [(2,)]
+
+
+def test_growth_keeps_what_has_gone(spark):
+    week = lambda n: T0 + dt.timedelta(days=7 * n)
+    arts = spark.createDataFrame([(1, week(0), None), (2, week(0), None), (3, week(2), None)], "article_id long, fetched_at timestamp, dedupe_of long")
+    tags = spark.createDataFrame([(1, 1), (2, 2), (3, 2)], "article_id long, topic_id long")
+    names = spark.createDataFrame([(1, "A"), (2, "B")], "topic_id long, name string")
+    seen = spark.createDataFrame([(week(0),), (week(2),)], "first_seen timestamp")
+    got = rows(reports.growth(arts, tags, names, seen, seen.limit(0)).select(F.col("week").cast("string"), "measure", "name", "n", "previous"))
+    first, second, third = (str(week(n).date()) for n in range(3))
+    assert got == sorted([(first, "topic", "A", 1, 0), (first, "topic", "B", 1, 0), (second, "topic", "A", 0, 1), (second, "topic", "B", 0, 1), (third, "topic", "B", 1, 0),
+                          (first, "entities_new", "", 1, 0), (second, "entities_new", "", 0, 1), (third, "entities_new", "", 1, 0)], key=repr)
+
+
+def test_guarded_upsert_with_null_keys_and_lists_without_an_index(spark):
+    arts = spark.createDataFrame([(1, "now"), (2, "now")], "article_id long, content_hash string")
+    kind = "article_id long, lang string, content_hash string, v string"
+    old = spark.createDataFrame([(1, None, "x", "old"), (2, "en", "x", "old")], kind)
+    new = spark.createDataFrame([(1, None, "now", "new"), (2, "en", "stale", "new"), (None, "de", "any", "new")], kind)
+    assert rows(tables.upsert_guarded(old, new, arts, ["article_id", "lang"]), "article_id", "v") == sorted([(1, "new"), (2, "old"), (None, "new")], key=repr)
+    listed = spark.createDataFrame([(1, "Red fox", "x", None), (2, "t", "a FOX", None), (3, "t", "dog", None)], "article_id long, title string, content_text string, dedupe_of long")
+    listed = listed.withColumns({"status": F.lit("done"), "lang": F.lit("en"), "published_at": F.lit(T0), "feed_id": F.lit(1), "fetched_at": F.lit(T0)})
+    assert [r.article_id for r in listings.list_articles(listed, q="fox").collect()] == [1, 2]
