@@ -2,10 +2,11 @@
 
 A document is the set of its word shingles. Register i holds the truncated, exponentially spaced level of the smallest
 of the set's i-th hash values, so sketches of parts merge by the larger register, and equal registers tell similarity.
-Documents with equal bands of registers share a bucket. Each bucket holds its documents against one of them; in buckets
-whose documents are still in more than one component, those outside the largest are held against all others in blocks.
-A pair goes on if its sizes allow the similarity and if the joint likelihood of its registers does not rule it out,
-and is linked if the full sets, compared word by word, agree.
+Documents with equal bands of registers share a bucket. Each document is held against the first one of its buckets; in
+buckets whose documents are still in more than one component, those outside the largest are held against all others in
+blocks. A pair goes on if its sizes allow the similarity and if the joint likelihood of its registers does not rule it
+out. Across components the sets of 64-bit hashes decide in the same task, so that pairs are not written. Links hold only
+if the full sets, compared word by word, agree.
 """
 
 from __future__ import annotations
@@ -161,9 +162,10 @@ def _compared(a: pd.Series, b: pd.Series) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _star_pairs(members: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
-    """Plausible pairs (a, b), a < b, of every bucket's smallest node with the others."""
+    """Plausible pairs (a, b), a < b, of every node with one of its buckets' smallest nodes, that of most of its buckets."""
     first = members.groupBy("bucket").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").drop("n")
-    pairs = members.join(first, "bucket").where("node > a").select("a", F.col("node").alias("b")).distinct()
+    met = members.join(first, "bucket").where("node > a").groupBy(F.col("node").alias("b"), "a").agg(F.count("*").alias("n"))
+    pairs = met.groupBy("b").agg(F.min_by("a", F.struct(-F.col("n"), "a")).alias("a"))
     side = lambda x: nodes.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"s_{x}"))
     fits = (F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b") - 1e-9)
     met = pairs.join(side("b"), "b").join(side("a"), "a").where(fits)
@@ -176,22 +178,67 @@ def _star_pairs(members: DataFrame, nodes: DataFrame, similarity: float) -> Data
     return met.where(likely("n_a", "n_b", "s_a", "s_b")).select("a", "b")
 
 
-def _cross_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similarity: float, nearest: bool) -> DataFrame:
-    """Plausible pairs (a, b) across components in the same bucket; ``nearest``: of a node and a component the likeliest one."""
-    placed = members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+def _hash_sets(texts: DataFrame) -> DataFrame:
+    """node, hashes (the sorted 64-bit hashes of its shingles) of texts (node, text)."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, _ = hashed_sets(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "hashes"])
+
+    return texts.select("node", "text").mapInArrow(hashed, "node long, hashes binary")
+
+
+def _links_of(i: int, at: np.ndarray, equal: np.ndarray, sets: list[np.ndarray], root: np.ndarray, joined: dict[int, int], percent: int) -> list[int]:
+    """Those of ``at`` that i must be linked with to be in one component with all it is similar to; ``joined`` takes them."""
+
+    def top(x: int) -> int:
+        while joined.get(x, x) != x:
+            x = joined[x]
+        return x
+
+    links, at = [], at[np.argsort(-equal, kind="stable")]
+    for low in range(0, len(at), PARTNERS):
+        mine = top(root[i])
+        part = [j for j in at[low:low + PARTNERS].tolist() if top(root[j]) != mine]
+        if not part:
+            continue
+        sizes = np.array([len(sets[j]) for j in part])
+        theirs = np.concatenate([sets[j] for j in part])
+        place = np.minimum(np.searchsorted(sets[i], theirs), len(sets[i]) - 1)
+        both = np.add.reduceat((sets[i][place] == theirs).astype(np.int64), np.cumsum(sizes) - sizes)
+        for j in np.flatnonzero(100 * both >= percent * (len(sets[i]) + sizes - both)).tolist():
+            mine, other = top(root[i]), top(root[part[j]])
+            if mine != other:
+                joined[max(mine, other)] = min(mine, other)
+                links.append(part[j])
+    return links
+
+
+def _cross_links(members: DataFrame, nodes: DataFrame, texts: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) across components in the same bucket, by sketches and then by sets of hashes in the same task.
+
+    A pair is looked at once, in the first bucket its nodes share: they are of two components there, too, so one of them
+    asks. Of the links of two blocks those are told that join something new, so no more than there are rows; blocks are of
+    bounded size in documents and shingles.
+    """
+    placed = members.join(roots, "node", "left").select("bucket", "node", "n_shingles", F.coalesce("root", "node").alias("root"))
     many = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     placed = stored(placed.join(many, "bucket", "left_semi"), "placed")
-    sizes = placed.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    sets = _hash_sets(texts.join(placed.select("node").distinct(), "node", "left_semi"))
+    known = stored(sets.join(nodes.select("node", "sketch"), "node"), "sets")
+    sizes = placed.groupBy("bucket", "root").agg(F.sum(1 + F.col("n_shingles") / 1024).alias("n"))
     main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
-    main = main.select("bucket", F.col("top.root").alias("main"), F.ceil(F.col("all") / BLOCK).alias("held_blocks"), F.ceil((F.col("all") - F.col("top.n")) / BLOCK).alias("ask_blocks"))
-    rows = placed.join(main, "bucket").join(nodes.select("node", "n_shingles", "sketch"), "node")
+    blocks = lambda n: F.greatest(F.ceil(n / BLOCK), F.lit(1))
+    main = main.select("bucket", F.col("top.root").alias("main"), blocks(F.col("all")).alias("held_blocks"), blocks(F.col("all") - F.col("top.n")).alias("ask_blocks"))
+    rows = placed.join(main, "bucket").join(known, "node")
     spread = lambda n: F.pmod(F.xxhash64("node", F.lit(7)), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    base = ["bucket", "node", "root", "n_shingles", "sketch"]
+    base = ["bucket", "node", "root", "main", "n_shingles", "sketch", "hashes"]
     held = rows.select(*base, F.lit(False).alias("asks"), spread("held_blocks").alias("held"), every("ask_blocks").alias("ask"))
     asks = rows.where("root <> main").select(*base, F.lit(True).alias("asks"), spread("ask_blocks").alias("ask"), every("held_blocks").alias("held"))
 
-    enough = least_equal(similarity)
+    enough, percent = least_equal(similarity), round(similarity * 100)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Groups lie side by side; the last one of a batch, of two blocks at most, waits for the next batch."""
@@ -200,31 +247,35 @@ def _cross_pairs(members: DataFrame, nodes: DataFrame, roots: DataFrame, similar
             rows = held if batch is None else batch if held is None else pd.concat([held, batch], ignore_index=True)
             if rows is None or not len(rows):
                 continue
-            asks, node, root, size = (rows[c].to_numpy() for c in ("asks", "node", "root", "n_shingles"))
+            asks, node, root, main, size = (rows[c].to_numpy() for c in ("asks", "node", "root", "main", "n_shingles"))
             keys = rows[["bucket", "ask", "held"]].to_numpy()
             begin = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
             ends = [*begin[1:].tolist(), len(rows)]
             whole = len(begin) if batch is None else len(begin) - 1
             table = np.frombuffer(b"".join(rows.sketch), np.uint16).reshape(len(rows), REGISTERS)
-            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for low, high in zip(begin[:whole].tolist(), ends):
+            sets = [np.frombuffer(h, np.uint64) for h in rows.hashes]
+            bands = band_keys(table).view(np.int64)
+            band = (bands[begin] == keys[begin, :1]).argmax(axis=1).tolist()
+            a, b = [], []
+            for low, high, earlier in zip(begin[:whole].tolist(), ends, band):
+                joined: dict[int, int] = {}
                 kept = low + np.flatnonzero(~asks[low:high])
                 for i in (low + np.flatnonzero(asks[low:high])).tolist() if len(kept) else ():
-                    at = kept[((table[kept] == table[i]).sum(axis=1, dtype=np.int16) >= enough) & (root[kept] != root[i])]
-                    left.append(np.full(len(at), i))
-                    right.append(at)
-            every, other = np.concatenate(left), np.concatenate(right)
+                    at = kept[(root[kept] != root[i]) & ((root[kept] == main[kept]) | (node[kept] < node[i]))]
+                    at = at[(table[at] == table[i]).sum(axis=1, dtype=np.int16) >= enough]
+                    at = at[~(bands[at, :earlier] == bands[i, :earlier]).any(axis=1)]
+                    if not len(at):
+                        continue
+                    more, less = (table[i] > table[at]).sum(axis=1), (table[i] < table[at]).sum(axis=1)
+                    ok = plausible(more, less, np.full(len(at), size[i], np.float64), size[at].astype(np.float64), similarity)
+                    links = _links_of(i, at[ok], (REGISTERS - more - less)[ok], sets, root, joined, percent)
+                    a += [node[i]] * len(links)
+                    b += node[links].tolist()
             held = None if batch is None else rows.iloc[begin[-1]:].reset_index(drop=True)
-            for low in range(0, len(every), 1 << 15):  # so many pairs of sketches at a time
-                i, at = every[low:low + (1 << 15)], other[low:low + (1 << 15)]
-                more, less = (table[i] > table[at]).sum(axis=1), (table[i] < table[at]).sum(axis=1)
-                ok = plausible(more, less, size[i].astype(np.float64), size[at].astype(np.float64), similarity)
-                yield pd.DataFrame({"node": node[i][ok], "other": node[at][ok], "root": root[at][ok], "equal": (REGISTERS - more - less)[ok]})
+            yield pd.DataFrame({"node": np.array(a, np.int64), "other": np.array(b, np.int64)})
 
     rows = asks.unionByName(held).repartition("bucket", "ask", "held").sortWithinPartitions("bucket", "ask", "held")
-    found = rows.mapInPandas(compare, "node long, other long, root long, equal int")
-    if nearest:
-        found = found.groupBy("node", "root").agg(F.max_by("other", F.struct("equal", "other")).alias("other"))
+    found = rows.mapInPandas(compare, "node long, other long")
     return found.select(F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b")).distinct()
 
 
@@ -271,7 +322,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         F.min("doc_id").alias("first"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("holder"), "text_key")).alias("from"),
         F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
-    members = nodes.select("node", F.explode("bands").alias("bucket"))
+    members = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
     shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     members = stored(members.join(shared, "bucket", "left_semi"), "members")
     met = nodes.join(members.select("node").distinct(), "node").select("node", "from.holder", "from.text_key")
@@ -287,17 +338,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 
 def _linked(nodes: DataFrame, members: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
-    """node, root of what is linked: stars, then the likeliest pairs across components, then all that are left."""
-    tested, edges, roots = None, None, None
-    for turn in ("star", "nearest", "all"):
-        if turn == "star":
-            pairs = _star_pairs(members, nodes, similarity)
-        else:
-            pairs = _cross_pairs(members, nodes, roots, similarity, turn == "nearest").join(tested, ["a", "b"], "left_anti")
-        pairs = stored(pairs, "pairs")
-        if turn != "star" and pairs.isEmpty():
-            break
-        found = stored(verified(pairs, texts, similarity), "links")
-        tested, edges = (pairs, found) if tested is None else (tested.unionAll(pairs), edges.unionAll(found))
-        roots = component_roots(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "sketch-roots")
-    return roots
+    """node, root of what is linked: by stars, then across the components these make."""
+    edges = None
+    for pairs in (lambda roots: _star_pairs(members, nodes, similarity), lambda roots: _cross_links(members, nodes, texts, roots, similarity)):
+        roots = None if edges is None else component_roots(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "sketch-roots")
+        found = stored(verified(stored(pairs(roots), "pairs"), texts, similarity), "links")
+        edges = found if edges is None else edges.unionAll(found)
+    return component_roots(edges.select(F.col("a").alias("u"), F.col("b").alias("v")), "sketch-roots")
