@@ -322,9 +322,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         F.min("doc_id").alias("first"), F.min(F.struct(F.coalesce("doc_id", F.lit(NO_ID)).alias("holder"), "text_key")).alias("from"),
         F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands"))
     nodes = stored(nodes, "nodes")
-    members = nodes.select("node", "n_shingles", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = stored(members.join(shared, "bucket", "left_semi"), "members")
+    members = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "bucket"))
+    # of buckets with the same nodes, told by two 64-bit hashes of them, the one of the first band is enough
+    same = [F.bit_xor(F.xxhash64("node", F.lit(seed))).alias(f"nodes{seed}") for seed in (1, 2)]
+    shared = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("band").alias("band"), *same).where("n > 1")
+    shared = shared.groupBy("n", "nodes1", "nodes2").agg(F.min_by("bucket", F.struct("band", "bucket")).alias("bucket")).select("bucket")
+    members = stored(members.drop("band").join(shared, "bucket", "left_semi"), "members")
     met = nodes.join(members.select("node").distinct(), "node").select("node", "from.holder", "from.text_key")
     body = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("holder"), F.xxhash64(text_or_empty()).alias("text_key"), text_or_empty().alias("text"))
     texts = stored(body.join(met, ["holder", "text_key"]).select("node", "text").dropDuplicates(["node"]), "texts")
