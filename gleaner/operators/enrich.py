@@ -9,7 +9,7 @@ from collections.abc import Callable, Sequence
 import pandas as pd
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import sentences, squash, tokens
 from ..session import cut_lineage, small_side
@@ -54,29 +54,44 @@ def needs_task(articles: DataFrame, done: DataFrame, task: str, article_topics:
     return wanted.join(done.select("article_id", "task", "content_hash"), ["article_id", "task", "content_hash"], "left_anti")
 
 
+COMMON_TOKENS, TOKEN_CHARS = 50_000, 64  # bound of what is broadcast: rows, and characters of each
+
+
 def summarize(df: DataFrame, key: str, text: str, max_points: int = 5, max_chars: int = 200) -> DataFrame:
     """Extractive summary ``(key, summary_text, key_points, confidence)``.
 
     Sentences are scored by the mean of ``ln(1 + documents / sentences with the token)`` over their distinct
-    tokens. The best ``max_points`` become the key points in reading order, the leading ones the summary of at most
-    ``max_chars`` characters; the confidence is the share of the score they carry.
+    tokens. The best ``max_points`` become the key points in reading order; the summary is made of the leading ones,
+    whole, as many as fit ``max_chars`` characters and one at least; the confidence is the share of the score the key
+    points carry. Documents without a token have no row.
+
+    Common tokens, nearly all the words of a text, are looked up in a broadcast table of bounded size where the text is
+    read, so no stop word is ever a shuffle key; only rare tokens travel to their weight.
     """
     # outer forms: for the plain ones the optimizer adds size filters that cut the texts again
     words = df.select(key, F.posexplode_outer(sentences(F.col(text))).alias("pos", "sentence")).select(
         key, "pos", F.explode_outer(F.array_distinct(tokens(F.col("sentence")))).alias("token")).where("token is not null")
-    freq = words.groupBy("token").agg(F.count("*").alias("df"))
+    freq = cut_lineage(words.groupBy("token").agg(F.count("*").alias("df")))
     n = df.agg(F.count("*")).scalar()
-    weighed = words.join(freq, "token").withColumn("w", F.ln(1 + n / F.col("df")))
-    scores = weighed.groupBy(key, "pos").agg(F.round(F.avg("w"), 6).alias("score"))
-    total = scores.groupBy(key).agg(F.sum("score").alias("total"))
-    best = top_per_group(scores, [key], [F.col("score").desc(), F.col("pos")], max_points)
-    points = best.groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("p"), F.sum("score").alias("kept"))
+    weights = freq.select("token", F.ln(1 + n / F.col("df")).alias("w"))
+    common = freq.where(F.length("token") <= TOKEN_CHARS).orderBy(F.col("df").desc(), "token").limit(COMMON_TOKENS)
+    common = common.select("token", F.ln(1 + n / F.col("df")).alias("w"))
+    rare = F.when(F.col("w").isNull(), F.col("token")).alias("rare")
+    met = cut_lineage(words.join(F.broadcast(common), "token", "left").groupBy(key, "pos", rare).agg(F.sum("w").alias("w"), F.count("*").alias("n")))
+    looked_up = met.where("rare is not null").join(weights.withColumnRenamed("w", "found"), F.col("rare") == F.col("token")).select(key, "pos", F.col("found").alias("w"), "n")
+    scores = met.where("rare is null").select(key, "pos", "w", "n").unionAll(looked_up).groupBy(key, "pos").agg(
+        F.round(F.sum("w") / F.sum("n"), 6).alias("score"))
+    total = F.sum("score").over(Window.partitionBy(key))
+    ranked = top_per_group(scores.withColumn("total", total), [key], [F.col("score").desc(), F.col("pos")], max_points)
+    points = ranked.groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("p"), F.sum("score").alias("kept"), F.first("total").alias("total"))
     # only the positions travel; the sentences are cut again from the text of their document
     lines = F.transform("p", lambda i: F.element_at(F.col("s"), i + 1))
+    upto = lambda i: F.aggregate(F.slice("key_points", F.lit(1), i + 1), F.lit(-1), lambda length, s: length + 1 + F.length(s))
+    leading = F.filter("key_points", lambda s, i: (i == 0) | (upto(i) <= max_chars))
     return (
-        df.select(key, sentences(F.col(text)).alias("s")).join(points.join(total, key), key)
+        df.select(key, sentences(F.col(text)).alias("s")).join(points, key)
         .withColumn("key_points", lines)
-        .select(key, F.substring(F.array_join("key_points", " "), 1, max_chars).alias("summary_text"), "key_points",
+        .select(key, F.array_join(leading, " ").alias("summary_text"), "key_points",
                 F.round(F.col("kept") / F.col("total"), 6).alias("confidence"))
     )
 

@@ -61,30 +61,72 @@ def co_mentions(mentions: DataFrame) -> DataFrame:
              F.least("confidence", "nxt.confidence").alias("confidence"))
 
 
+SURFACES = 256  # of one article that are looked for at a time
+
+
+def _nearest_window(text: Column, surface: Column, ratio: float) -> Column:
+    """Struct (d, i, w) of the closest window of the surface's length within the allowed distance, else null.
+
+    At most k edits leave one of k + 1 pieces as it is, and in a window of the same length that piece has moved by at most
+    k / 2. So only the windows around a piece that the text contains are cut out and measured.
+    """
+    n = F.length(surface)
+    k = F.ceil((1 - F.lit(ratio)) * n).cast("int") - 1  # ratio > r  <=>  distance < (1 - r) * n
+    cut = lambda i: F.floor(i * n / (k + 1)).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0), k), lambda i: F.struct(
+        cut(i).alias("at"), (cut(i + 1) - cut(i)).alias("len"), F.substr(surface, cut(i) + 1, cut(i + 1) - cut(i)).alias("p")))
+    half = F.floor(k / 2).cast("int")
+
+    def around(piece: Column) -> Column:
+        quoted = F.concat(F.lit(r"\Q"), F.replace(piece["p"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+        def shifted(d: Column) -> Column:
+            before = piece["at"] + d
+            after = n - before - piece["len"]
+            return F.when((before >= 0) & (after >= 0), F.concat(
+                F.lit(".{"), before.cast("string"), F.lit("}"), quoted, F.lit(".{"), after.cast("string"), F.lit("}")))
+
+        return F.transform(F.sequence(-half, half), shifted)
+
+    held = F.filter(pieces, lambda p: F.contains(text, p["p"]))
+    pattern = F.concat(F.lit("(?s)(?=("), F.array_join(F.flatten(F.transform(held, around)), "|"), F.lit("))"))
+    rated = F.transform(F.regexp_extract_all(text, pattern, F.lit(1)), lambda w, i: F.struct(
+        F.levenshtein(surface, w).alias("d"), i.alias("i"), w.alias("w")))
+    best = F.array_min(F.filter(rated, lambda r: r["d"] <= k))
+    return F.when((k >= 1) & F.exists(pieces, lambda p: F.contains(text, p["p"])), best)
+
+
 def ground(mentions: DataFrame, articles: DataFrame, floor: float = 0.1, ratio: float = 0.8) -> DataFrame:
     """Surfaces checked against the text.
 
     Present: kept. Else the first best window of the same length whose edit-distance ratio exceeds ``ratio``
-    replaces it; else the confidence is halved and rows under ``floor`` are dropped.
+    replaces it; else the confidence is halved and rows under ``floor`` are dropped. An empty or missing surface and
+    an empty text leave the mention as it is, a missing text counts as one that holds nothing; mentions of unknown
+    articles are dropped.
+
+    A text meets the distinct surfaces of its article once for every ``SURFACES`` of them, not once per mention.
     """
-    joined = mentions.join(articles.select("article_id", "content_text"), "article_id")
-    n = F.length("surface")
-    windows = F.regexp_extract_all("content_text", F.concat(F.lit("(?s)(?=(.{"), n.cast("string"), F.lit("}))")), F.lit(1))
-    # ratio > r  <=>  distance < (1 - r) * n
-    allowed = F.ceil((1 - F.lit(ratio)) * n).cast("int") - 1
-    rated = F.transform(windows, lambda w, i: F.struct(
-        F.levenshtein(F.col("surface"), w).alias("d"), i.alias("i"), w.alias("w")))
-    best = F.array_min(rated)
-    found = F.contains("content_text", F.col("surface"))
-    checked = joined.withColumn("hit", F.when(found | F.col("surface").isNull() | (F.col("content_text") == ""), None).otherwise(best))
-    aligned = F.col("hit.d") <= allowed
-    exact = found | F.col("surface").isNull() | (F.col("content_text") == "")
+    wanted = F.coalesce("surface", F.lit(""))
+    asked = mentions.select("article_id", wanted.alias("asked")).distinct()
+    sizes = asked.groupBy("article_id").agg(F.ceil(F.count("*") / SURFACES).alias("parts"))
+    lists = asked.join(sizes, "article_id").groupBy("article_id", F.pmod(F.xxhash64("asked"), F.col("parts")).alias("part")).agg(
+        F.collect_list("asked").alias("surfaces"))
+    text = F.col("content_text")
+
+    def judge(s: Column) -> Column:
+        exact = F.coalesce((s == "") | (text == "") | F.contains(text, s), F.lit(False))
+        return F.struct(s.alias("asked"), exact.alias("exact"), F.when(~exact, _nearest_window(text, s, ratio)["w"]).alias("window"))
+
+    judged = lists.join(articles.select("article_id", "content_text"), "article_id").select(
+        F.col("article_id").alias("judged_id"), F.inline(F.transform("surfaces", judge)))
+    grounded = F.col("exact") | F.col("window").isNotNull()
     conf = F.coalesce("confidence", F.lit(0.5))
     return (
-        checked.withColumn("surface", F.when(~exact & aligned, F.col("hit.w")).otherwise(F.col("surface")))
-        .withColumn("grounded", F.coalesce(exact | aligned, F.lit(False)))
-        .withColumn("confidence", F.when(F.col("grounded"), conf).otherwise(conf * 0.5))
-        .where(F.col("grounded") | (F.col("confidence") >= floor)).drop("hit", "content_text")
+        mentions.join(judged, (F.col("article_id") == F.col("judged_id")) & (wanted == F.col("asked")))
+        .withColumn("surface", F.coalesce("window", "surface"))
+        .withColumn("grounded", grounded)
+        .withColumn("confidence", F.when(grounded, conf).otherwise(conf * 0.5))
+        .where(F.col("grounded") | (F.col("confidence") >= floor)).drop("judged_id", "asked", "exact", "window")
     )
 
 

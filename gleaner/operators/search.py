@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import tokens
-from ..session import at_most, cut_lineage
+from ..session import cut_lineage
 from .postings import PostingIndex
 from .ranking import reciprocal_rank_fusion, top_per_group
 
@@ -138,39 +141,73 @@ def keyword_search_wiki(index: PostingIndex, pages: DataFrame, queries: DataFram
 def substring_search(articles: DataFrame, queries: DataFrame) -> DataFrame:
     """``(query_id, article_id)`` where the text or title contains the query, case ignored.
 
-    Small query tables are folded into one literal list tested in a single pass over the articles; larger
-    ones meet the articles on character trigrams first.
+    The work over the texts does not grow with the number of queries, see ``contains_any``.
     """
     wanted = queries.select("query_id", F.lower(F.trim("query")).alias("needle")).where("needle <> ''")
     hay = articles.select("article_id", F.lower(F.concat_ws("\n", "title", "content_text")).alias("hay"))
     return contains_any(hay, "article_id", "hay", wanted, "query_id", "needle")
 
 
-LITERAL_NEEDLES = 1_000
+LITERAL_NEEDLES, AUTOMATON_CHARS = 64, 1_000_000  # needles tested one by one; characters of all needles in an automaton
 
 
 def contains_any(hay: DataFrame, hay_id: str, text: str, needles: DataFrame, needle_id: str, needle: str,
-                 limit: int = LITERAL_NEEDLES, keep: tuple[str, ...] = ()) -> DataFrame:
+                 limit: int = LITERAL_NEEDLES, keep: tuple[str, ...] = (), chars: int = AUTOMATON_CHARS) -> DataFrame:
     """``(hay_id, *keep, needle_id, needle)`` for every needle that occurs in the text.
 
-    Up to ``limit`` needles become a literal list, tested in one pass without any join. Beyond it both sides
-    are keyed by trigrams (shorter needles by themselves), joined on the key and then verified.
+    Up to ``limit`` needles become a literal list. More of them, of at most ``chars`` characters together, are put into
+    one automaton per task that finds all in a single pass over a text. Still larger tables meet the texts on the
+    rarest trigram of each needle (shorter needles on themselves) and are then verified. Empty needles and missing texts
+    match nothing.
     """
-    few = needles.select(needle_id, needle)
-    if at_most(few, limit):
-        kinds = dict(few.dtypes)
-        rows = few.collect()
+    few = needles.select(needle_id, needle).where(F.length(needle) > 0)
+    kinds = dict(few.dtypes)
+    size = few.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(needle)), F.lit(0)).alias("chars")).first()
+    if size["n"] <= limit and size["chars"] <= AUTOMATON_CHARS:
         listed = F.array(*[
-            F.struct(F.lit(r[0]).cast(kinds[needle_id]).alias(needle_id), F.lit(r[1]).alias(needle)) for r in rows
+            F.struct(F.lit(r[0]).cast(kinds[needle_id]).alias(needle_id), F.lit(r[1]).alias(needle)) for r in few.collect()
         ]).cast(f"array<struct<{needle_id}:{kinds[needle_id]},{needle}:string>>")
         hits = F.filter(listed, lambda e: F.contains(F.col(text), e[needle]))
         return hay.select(hay_id, *keep, F.inline(hits))
-    keyed = few.withColumn("gram", F.substring(needle, 1, 3))
-    grams = F.array_distinct(F.concat(*[
-        F.regexp_extract_all(text, F.lit(rf"(?s)(?=({'.' * w}))"), F.lit(1)) for w in (1, 2, 3)]))
-    cand = hay.select(hay_id, F.explode(grams).alias("gram")).join(keyed, "gram").drop("gram")
-    return cand.join(hay.select(hay_id, text, *keep), hay_id).where(F.contains(text, F.col(needle))).select(
-        hay_id, *keep, needle_id, needle)
+    if size["chars"] <= chars:
+        distinct = sorted({r[0] for r in few.select(needle).collect()})
+        found = hay.select(hay_id, *keep, F.explode(_occurring(hay.sparkSession, distinct)(text)).alias(needle))
+        return found.join(F.broadcast(few), needle).select(hay_id, *keep, needle_id, needle)
+    return _by_rarest_trigram(hay, hay_id, text, few, needle_id, needle, keep)
+
+
+def _occurring(spark: SparkSession, needles: list[str]) -> Callable[[str], Column]:
+    """A function of a text column: the array of the needles that occur in it."""
+    shared = spark.sparkContext.broadcast(needles)
+
+    @F.pandas_udf("array<string>")
+    def occurring(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for n in shared.value:
+            automaton.add_word(n, n)
+        automaton.make_automaton()
+        for batch in batches:
+            yield pd.Series([sorted({n for _, n in automaton.iter(t)}) if t else [] for t in batch], dtype=object)
+
+    return occurring
+
+
+def _by_rarest_trigram(hay: DataFrame, hay_id: str, text: str, needles: DataFrame, needle_id: str, needle: str,
+                       keep: tuple[str, ...]) -> DataFrame:
+    def runs(col: str, *widths: int) -> Column:
+        return F.array_distinct(F.concat(*[F.regexp_extract_all(col, F.lit(rf"(?s)(?=({'.' * w}))"), F.lit(1)) for w in widths]))
+
+    own = F.when(F.length(needle) < 3, F.array(needle)).otherwise(runs(needle, 3))
+    grams = cut_lineage(needles.select(needle).distinct().select(needle, F.explode(own).alias("gram")))
+    held = hay.select(hay_id, F.explode(runs(text, 1, 2, 3)).alias("gram"))
+    # a needle with a trigram that no text has is dropped: it occurs nowhere
+    counts = cut_lineage(held.join(grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("n")))
+    rarest = grams.join(counts, "gram", "left").groupBy(needle).agg(
+        F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
+    met = held.join(rarest.drop("n"), "gram").drop("gram").join(hay.select(hay_id, text, *keep), hay_id).where(F.contains(text, F.col(needle)))
+    return met.drop(text).join(needles, needle).select(hay_id, *keep, needle_id, needle)
 
 
 def search(index: PostingIndex, queries: DataFrame, vectors: DataFrame | None = None,

@@ -221,8 +221,9 @@ f AS (SELECT token, count(*) AS df FROM w GROUP BY 1),
 sc AS (SELECT doc_id, pos, round(avg(ln(1 + (SELECT count(*) FROM documents) / df)), 6) AS score FROM w JOIN f USING (token) GROUP BY 1, 2),
 r AS (SELECT doc_id, pos, sentence, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS rank,
       sum(score) OVER (PARTITION BY doc_id) AS total FROM s JOIN sc USING (doc_id, pos))
-SELECT doc_id, substr(string_agg(sentence, ' ' ORDER BY pos), 1, 200) AS summary_text, string_agg(sentence, '|' ORDER BY pos) AS key_points,
-       round(sum(score) / any_value(total), 6) AS confidence FROM r WHERE rank <= 5 GROUP BY 1""")
+SELECT doc_id, string_agg(sentence, ' ' ORDER BY pos) FILTER (WHERE nth = 1 OR upto <= 200) AS summary_text, string_agg(sentence, '|' ORDER BY pos) AS key_points,
+       round(sum(score) / any_value(total), 6) AS confidence FROM (
+  SELECT *, row_number() OVER w AS nth, sum(length(sentence) + 1) OVER w - 1 AS upto FROM r WHERE rank <= 5 WINDOW w AS (PARTITION BY doc_id ORDER BY pos)) GROUP BY 1""")
 def extractive_summary(spark, sf):
     return enrich.summarize(base.table(spark, sf, "documents"), "doc_id", "text").withColumn("key_points", F.array_join("key_points", "|"))
 

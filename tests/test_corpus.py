@@ -73,6 +73,50 @@ def test_grounding(spark):
     assert got == [(1, "Qwen-3", 0.8), (1, "Qwen-3", 0.9), (2, "Absent", 0.45)]
 
 
+def levenshtein(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        above, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            above, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, above + (x != y))
+    return row[-1]
+
+
+def test_grounding_agrees_with_all_windows(spark):
+    rnd = random.Random(11)
+    texts = {i: "".join(rnd.choice("ab\\E.(\n\u00e9\U0001F600") for _ in range(rnd.choice((8, 40, 200)))) for i in range(25)}
+    asked = []
+    for i, t in texts.items():
+        for _ in range(12):
+            n = rnd.randint(1, min(len(t), 34))
+            at = rnd.randint(0, len(t) - n)
+            s = list(t[at:at + n])
+            for _ in range(rnd.randint(0, 5)):
+                where = rnd.randrange(len(s)) if s else 0
+                s[where:where + rnd.randint(0, 1)] = rnd.choice(("", "a", "x"))
+            asked.append((i, "".join(s), rnd.choice((0.15, 0.9))))
+    asked += [(0, None, None), (0, "", 0.3), (30, "abc", 0.9), (31, "abcdefgh", 0.9), (99, "gone", 0.9), asked[0], asked[0]]
+    texts |= {30: "", 31: None}
+    m = spark.createDataFrame(asked, "article_id long, surface string, confidence double").withColumn("asked", F.lit("kept")).drop("asked")
+    a = spark.createDataFrame(list(texts.items()), "article_id long, content_text string")
+    want = []
+    for i, s, c in asked:
+        if i not in texts:
+            continue
+        t, c = texts[i], 0.5 if c is None else c
+        good, out = not s or t == "" or (t is not None and s in t), s
+        if not good and t:
+            n = len(s)
+            best = min(((levenshtein(s, t[j:j + n]), j) for j in range(len(t) - n + 1)), default=None)
+            if best and 1 - best[0] / n > 0.8 + 1e-9:
+                good, out = True, t[best[1]:best[1] + n]
+        if good or c * 0.5 >= 0.1:
+            want.append((i, out, good, c if good else c * 0.5))
+    got = rows(ent.ground(m, a), "article_id", "surface", "grounded", "confidence")
+    assert got == sorted(want, key=repr) and sum(w[2] for w in want) > 60
+    assert ent.ground(m.limit(0), a).count() == 0 and ent.ground(m, a.limit(0)).count() == 0
+
+
 def test_extraction_finds_longest_and_shortest_aliases(spark):
     a = arts(spark, [(1, "", "New York is big. York is old.\nnew   york")])
     g = spark.createDataFrame([("new york", "New York", "location"), ("york", "York", "location")], "alias string, name string, type string")

@@ -157,13 +157,18 @@ def test_wiki_pages_of_found_articles_are_not_repeated(spark):
     assert [(r.id, r.source) for r in got] == [(7, "article"), (7, "wiki"), (32, "wiki")]
 
 
-def test_literal_and_trigram_substring_paths_agree(spark):
+def test_substring_paths_agree(spark):
     rnd = random.Random(3)
-    hay = spark.createDataFrame([(i, "".join(rnd.choice("abc ") for _ in range(60))) for i in range(80)], "id long, t string")
-    needles = spark.createDataFrame([(i, "".join(rnd.choice("abc") for _ in range(1 + i % 5))) for i in range(30)], "n long, s string")
-    few = rows(search.contains_any(hay, "id", "t", needles, "n", "s"), "n", "id")
-    many = rows(search.contains_any(hay, "id", "t", needles, "n", "s", limit=0), "n", "id")
-    assert few == many and len(few) > 100
+    texts = ["".join(rnd.choice("abc \u00e9\U0001F600") for _ in range(60)) for _ in range(80)] + ["", None, "ab" * 5_000, "ab" * 5_000]
+    words = ["".join(rnd.choice("abc\u00e9\U0001F600") for _ in range(1 + i % 5)) for i in range(60)] + ["", None, "aba", "aba", "zzzz", "xyz"]
+    hay = spark.createDataFrame([(i, t, f"k{i}") for i, t in enumerate(texts)], "id long, t string, extra string")
+    needles = spark.createDataFrame(list(enumerate(words)), "n long, s string")
+    want = sorted(((n, i, f"k{i}") for i, t in enumerate(texts) for n, w in enumerate(words) if t and w and w in t), key=repr)
+    assert len(want) > 500
+    for limit, chars in ((100, 10), (0, 1_000), (0, 0)):
+        assert rows(search.contains_any(hay, "id", "t", needles, "n", "s", limit=limit, keep=("extra",), chars=chars), "n", "id", "extra") == want
+        for h, n in ((hay.limit(0), needles), (hay, needles.limit(0))):
+            assert search.contains_any(h, "id", "t", n, "n", "s", limit=limit, chars=chars).count() == 0
 
 
 def test_similar_articles_same_language_and_topic_bonus(spark):
