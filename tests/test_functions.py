@@ -36,6 +36,10 @@ def test_tokens_mix_words_and_cjk_grams(spark):
     assert one(spark, None, X.tokens) == []
 
 
+def test_tokens_keep_the_order_of_the_text(spark):
+    assert one(spark, "one\n## 要点\ntwo 原文: three", X.tokens) == ["one", "要", "点", "要点", "two", "原", "文", "原文", "three"]
+
+
 def test_scrub_html(spark):
     html = "<SCRIPT a='1'>x\n</SCRIPT><p>k</p><style>p{}</style>"
     assert one(spark, html, X.scrub_html) == "<p>k</p>"

@@ -157,6 +157,12 @@ def test_wiki_pages_of_found_articles_are_not_repeated(spark):
     assert [(r.id, r.source) for r in got] == [(7, "article"), (7, "wiki"), (32, "wiki")]
 
 
+def test_a_phrase_does_not_match_across_a_label(spark):
+    index = index_of(spark, {1: "red fox\n\n## 要点\n\njumps far", 2: "red\n要点\nfox jumps"})
+    got = search.keyword_search(index, asked(spark, '"fox jumps"', '"red fox"', "fox jumps"), 10)
+    assert rows(got, "query_id", "doc_id") == [(0, 2), (1, 1), (2, 1), (2, 2)]
+
+
 def test_substring_paths_agree(spark):
     rnd = random.Random(3)
     texts = ["".join(rnd.choice("abc \u00e9\U0001F600") for _ in range(60)) for _ in range(80)] + ["", None, "ab" * 5_000, "ab" * 5_000]
