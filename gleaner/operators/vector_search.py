@@ -15,7 +15,7 @@ from functools import reduce
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 from .ranking import top_per_group
@@ -24,6 +24,7 @@ SAMPLE = 10_000  # vectors that the centroids are fitted on, about
 CELLS = 1_024  # at most
 PROBES = 4  # cells that a query asks first
 BLOCK_ROWS = 2_048  # vectors and queries of a block
+ASK_ROWS = 32_768  # queries times packs in a batch of asks
 MARGIN = 2e-6  # of a similarity: results are ranked on six digits
 NO_CELL = -1  # vectors without length; asked by all
 
@@ -78,44 +79,54 @@ def _celled(corpus: DataFrame, centres: np.ndarray, dim: int) -> DataFrame:
     return corpus.mapInArrow(place, "doc_id long, grp string, cell int, angle double, unit binary")
 
 
-def _choose(queries: DataFrame, centres: np.ndarray, probes: int, reach: float | None = None) -> DataFrame:
-    """query_id, grp, unit, cell: the ``probes`` nearest of a query's cells; or, with ``reach``, all others its ``floor`` leaves open.
+def _choose(queries: DataFrame, centres: np.ndarray, probes: int, reach: float | None = None, rows: int = ASK_ROWS) -> DataFrame:
+    """query_id, grp, unit, floor, pack: the packs of the ``probes`` nearest of a query's cells; or, with ``reach``, all others its ``floor`` leaves open.
 
-    ``queries`` carries the cells of its group as ``cells`` (cell, radius)."""
+    ``queries`` carries the cells of its group as ``cells`` (cell, radius, pack). No batch has more than ``rows`` rows, or one query's."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def asks(batch: pa.RecordBatch, who: list[int], packs: list[np.ndarray]) -> pa.RecordBatch:
+            at = pa.array(np.repeat(np.array(who, np.int64), [len(p) for p in packs]))
+            return pa.RecordBatch.from_arrays([*(batch.column(n).take(at) for n in ("query_id", "grp", "unit", "floor")), pa.array(np.concatenate(packs).astype(np.int32))],
+                                              names=["query_id", "grp", "unit", "floor", "pack"])
+
         for batch in batches:
-            out: list[tuple[int, int]] = []
-            floors = batch.column("floor").to_numpy(zero_copy_only=False) if reach is not None else None
+            who, packs, held = [], [], 0
+            floors = batch.column("floor").to_numpy(zero_copy_only=False)
             for i, (data, cells) in enumerate(zip(batch.column("unit"), batch.column("cells"))):
                 unit, its = np.frombuffer(data.as_py(), np.float64), cells.values
-                cell, radius = (its.field(n).to_numpy(zero_copy_only=False) for n in ("cell", "radius"))
+                cell, radius, pack = (its.field(n).to_numpy(zero_copy_only=False) for n in ("cell", "radius", "pack"))
                 away = np.where(cell == NO_CELL, -1.0, np.arccos(np.clip(centres[cell] @ unit, -1, 1)) if len(centres) else 0.0)
                 order = np.argsort(away, kind="stable")
                 first = probes + int((cell == NO_CELL).any())
                 if reach is None:
-                    take = order[:first]
+                    take = np.unique(pack[order[:first]])
                 else:
                     take = order[first:]
                     if floors[i] > -2 and unit.any():
                         take = take[np.cos(np.maximum(0, away[take] - reach * radius[take])) >= floors[i] - MARGIN]
-                out += [(i, c) for c in cell[take].tolist()]
-            rows = pa.array([i for i, _ in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(n).take(rows) for n in ("query_id", "grp", "unit")), pa.array([c for _, c in out], pa.int32())],
-                                             names=["query_id", "grp", "unit", "cell"])
+                    take = np.setdiff1d(pack[take], pack[order[:first]])
+                if held and held + len(take) > rows:
+                    yield asks(batch, who, packs)
+                    who, packs, held = [], [], 0
+                who.append(i)
+                packs.append(take)
+                held += len(take)
+            if held:
+                yield asks(batch, who, packs)
 
-    return queries.mapInArrow(choose, "query_id long, grp string, unit binary, cell int")
+    return queries.mapInArrow(choose, "query_id long, grp string, unit binary, floor double, pack int")
 
 
 def _meet(asked: DataFrame, docs: DataFrame, dim: int, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
-    """query_id, doc_id, similarity: the best ``k`` documents of every block of a cell for the queries that ask it."""
-    cell = ["grp", "cell"]
-    asks = asked.groupBy(*cell).agg(F.ceil(F.count("*") / block_rows).alias("ask_blocks"))
-    holds = docs.groupBy(*cell).agg(F.ceil(F.count("*") / block_rows).alias("held_blocks"))
-    sizes = cut_lineage(asks.join(holds, cell))
+    """query_id, doc_id, similarity: the best ``k`` documents of every block of a pack for the queries that ask it, if they reach the query's floor."""
+    pack = ["grp", "pack"]
+    asks = asked.groupBy(*pack).agg(F.ceil(F.count("*") / block_rows).alias("ask_blocks"))
+    holds = docs.groupBy(*pack).agg(F.ceil(F.count("*") / block_rows).alias("held_blocks"))
+    sizes = cut_lineage(asks.join(holds, pack))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = asked.join(sizes, cell).select(*cell, "query_id", "unit", F.pmod(F.xxhash64("query_id"), "ask_blocks").alias("ask"), every("held_blocks").alias("held"))
-    right = docs.join(sizes, cell).select(*cell, "doc_id", "unit", F.pmod(F.xxhash64("doc_id"), "held_blocks").alias("held"), every("ask_blocks").alias("ask"))
+    left = asked.join(sizes, pack).select(*pack, "query_id", "unit", "floor", F.pmod(F.xxhash64("query_id"), "ask_blocks").alias("ask"), every("held_blocks").alias("held"))
+    right = docs.join(sizes, pack).select(*pack, "doc_id", "unit", F.pmod(F.xxhash64("doc_id"), "held_blocks").alias("held"), every("ask_blocks").alias("ask"))
 
     def best(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(held):
@@ -126,6 +137,7 @@ def _meet(asked: DataFrame, docs: DataFrame, dim: int, k: int, exclude_self: boo
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         scores = np.round(np.maximum.reduceat(a @ b.T, first, axis=1), 6)
         ids = ids[first]
+        scores[scores < queries.floor.to_numpy()[:, None]] = -np.inf
         if exclude_self:
             scores[asking[:, None] == ids[None, :]] = -np.inf
         if len(ids) > k:  # ties at the limit are kept and settled by id
@@ -139,7 +151,7 @@ def _meet(asked: DataFrame, docs: DataFrame, dim: int, k: int, exclude_self: boo
         q, d = q[place < k], d[place < k]
         return pd.DataFrame({"query_id": asking[q], "doc_id": ids[d], "similarity": scores[q, d]})
 
-    keys = [*cell, "ask", "held"]
+    keys = [*pack, "ask", "held"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, doc_id long, similarity double")
 
 
@@ -163,13 +175,17 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = N
         asked = queries.where(F.size("vector") == dim).select(F.col("query_id").cast("long").alias("query_id"), grp, vector)
         centres = fit_centroids(held, dim, held.count(), sample)
         docs = cut_lineage(_celled(held, centres, dim))
-        cells = docs.groupBy("grp", "cell").agg(F.max("angle").alias("radius"))
-        cells = cells.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cell", "radius"))).alias("cells"))  # at most CELLS + 1
+        cells = docs.groupBy("grp", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
+        # cells are packed to about a block, so that a query is sent once for all it asks of a pack; at most CELLS + 1 of a group
+        before = F.sum("n").over(Window.partitionBy("grp").orderBy("cell")) - F.col("n")
+        cells = cut_lineage(cells.select("grp", "cell", "radius", F.floor(before / block_rows).cast("int").alias("pack")))
+        docs = cut_lineage(docs.join(cells.select("grp", "cell", "pack"), ["grp", "cell"]).select("grp", "pack", "doc_id", "unit"))
+        cells = cells.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cell", "radius", "pack"))).alias("cells"))
         units = asked.mapInArrow(lambda batches, dim=dim: (
             pa.RecordBatch.from_arrays([b.column("query_id"), b.column("grp"), _packed(_unit(_matrix(b.column("vector"), dim)))], names=["query_id", "grp", "unit"]) for b in batches),
             "query_id long, grp string, unit binary")
         units = cut_lineage(units.join(cells, "grp"))
-        found = _meet(_choose(units, centres, probes), docs, dim, k, exclude_self, block_rows)
+        found = _meet(_choose(units.withColumn("floor", F.lit(-9.0)), centres, probes), docs, dim, k, exclude_self, block_rows)
         found = cut_lineage(found)
         once = found.groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"))
         top = top_per_group(once, ["query_id"], [F.col("similarity").desc(), F.col("doc_id")], k)

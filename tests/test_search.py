@@ -189,3 +189,25 @@ def test_rerank_only_touches_the_head(spark):
     ranked = spark.createDataFrame([(0, d, 1.0, d) for d in range(1, 6)], "query_id long, doc_id long, score double, rank long")
     scores = spark.createDataFrame([(0, 2, 9.0), (0, 5, 99.0)], "query_id long, doc_id long, score double")
     assert [r.doc_id for r in search.rerank(ranked, scores, top=3).orderBy("rank").collect()] == [2, 1, 3, 4, 5]
+
+
+def test_a_query_is_sent_once_for_every_pack_of_cells(spark, monkeypatch):
+    from gleaner.operators import vector_search as V
+
+    rng = np.random.default_rng(2)
+    vecs = rng.normal(size=(500, 16))
+    corpus = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "doc_id long, vector array<double>")
+    asks, choose = [], V._choose
+
+    def counted(*args, **kw):
+        asks.append(choose(*args, **kw))
+        return asks[-1]
+
+    monkeypatch.setattr(V, "_choose", counted)
+    got = nearest(corpus, corpus.withColumnRenamed("doc_id", "query_id"), 5, exclude_self=True, block_rows=120)
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    sims = np.round(unit @ unit.T, 6)
+    np.fill_diagonal(sims, -9)
+    assert {(r.query_id, r["rank"]): (r.doc_id, r.similarity) for r in got.collect()} == {
+        (i, n + 1): (int(j), float(sims[i, j])) for i in range(500) for n, j in enumerate(np.lexsort((np.arange(500), -sims[i]))[:5])}
+    assert len(asks) == 2 and sum(a.count() for a in asks) <= 500 * 5  # 22 cells in at most 5 packs
