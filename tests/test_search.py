@@ -211,3 +211,17 @@ def test_a_query_is_sent_once_for_every_pack_of_cells(spark, monkeypatch):
     assert {(r.query_id, r["rank"]): (r.doc_id, r.similarity) for r in got.collect()} == {
         (i, n + 1): (int(j), float(sims[i, j])) for i in range(500) for n, j in enumerate(np.lexsort((np.arange(500), -sims[i]))[:5])}
     assert len(asks) == 2 and sum(a.count() for a in asks) <= 500 * 5  # 22 cells in at most 5 packs
+
+
+def test_index_counts_terms_inside_the_row(spark):
+    from collections import Counter
+
+    from gleaner.operators.index import build_index
+
+    texts = {1: "b a b c", 2: "", 3: None, 4: "x", 5: "Zz zz 要点 zz"}
+    docs = spark.createDataFrame([(i, "", t) for i, t in texts.items()], "article_id long, title string, content_text string")
+    built = build_index(docs)
+    assert "Exchange" not in built._jdf.queryExecution().executedPlan().toString()
+    got = {r.doc_id: (r.dl, r.terms, r.token_text) for r in built.collect()}
+    words = {1: ["b", "a", "b", "c"], 2: [], 3: [], 4: ["x"], 5: ["zz", "zz", "要", "点", "要点", "zz"]}
+    assert got == {i: (len(w), dict(Counter(w)), " ".join(w)) for i, w in words.items()}
