@@ -171,7 +171,8 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = N
     parts = []
     for r in queries.where("size(vector) > 0").select(F.size("vector").alias("dim")).distinct().collect():
         dim = r.dim
-        held = corpus.where(F.size("vector") == dim).select(F.col("doc_id").cast("long").alias("doc_id"), grp, vector)
+        # read three times below; a corpus is often the end of a long filter
+        held = cut_lineage(corpus.where(F.size("vector") == dim).select(F.col("doc_id").cast("long").alias("doc_id"), grp, "vector")).withColumn("vector", vector)
         asked = queries.where(F.size("vector") == dim).select(F.col("query_id").cast("long").alias("query_id"), grp, vector)
         centres = fit_centroids(held, dim, held.count(), sample)
         docs = cut_lineage(_celled(held, centres, dim))

@@ -225,3 +225,30 @@ def test_index_counts_terms_inside_the_row(spark):
     got = {r.doc_id: (r.dl, r.terms, r.token_text) for r in built.collect()}
     words = {1: ["b", "a", "b", "c"], 2: [], 3: [], 4: ["x"], 5: ["zz", "zz", "要", "点", "要点", "zz"]}
     assert got == {i: (len(w), dict(Counter(w)), " ".join(w)) for i, w in words.items()}
+
+
+def test_vector_search_evaluates_its_corpus_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    data = spark.createDataFrame([(i, "active", [float(i % 7 + 1), float(i % 5), 1.0]) for i in range(50)], "id long, model string, vector array<float>")
+    corpus = data.select(counted.asNondeterministic()("id").alias("article_id"), "model", "vector")
+    got = vector_search(corpus, data.where("id < 3").select(F.col("id").alias("query_id"), "vector"), 2, "active").collect()
+    assert len(got) == 6 and seen.value == 50
+
+
+def test_topics_are_found_without_moving_texts(spark):
+    from gleaner.plans import base
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = base.article_topics(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # the join with the events stands above the aggregate of the hits, which has no text
+    assert plan.index("Join LeftSemi") < plan.index("Aggregate") < plan.index("text#")
