@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.text import tokens
-from ..session import cut_lineage
+from ..session import cut_lineage, small_side
 from .postings import PostingIndex
 from .ranking import reciprocal_rank_fusion, top_per_group
 
@@ -239,7 +239,8 @@ def search(index: PostingIndex, queries: DataFrame, vectors: DataFrame | None =
 
 def page(ranked: DataFrame, articles: DataFrame, number: int, size: int, snippet: int = 200) -> DataFrame:
     """Rows of one result page with title and snippet."""
-    cut = ranked.where(F.col("rank").between((number - 1) * size + 1, number * size))
+    # written, then sent to the texts where it is small
+    cut = small_side(cut_lineage(ranked.where(F.col("rank").between((number - 1) * size + 1, number * size))))
     text = articles.select(F.col("article_id").alias("doc_id"), "title", F.substring("content_text", 1, snippet).alias("snippet"))
     return cut.join(text, "doc_id")
 

@@ -114,7 +114,7 @@ def hybrid_search(spark, sf):
 SELECT query_id, doc_id, score, rank, title, substr(content_text, 1, 200) AS snippet FROM hybrid JOIN articles ON article_id = doc_id
 WHERE rank BETWEEN 11 AND 20""")
 def search_page(spark, sf):
-    return search.page(_hybrid(spark, sf, 20).drop("mode"), base.articles(spark, sf), 2, 10)
+    return search.page(_hybrid(spark, sf, 20).drop("mode"), base.texts(spark, sf), 2, 10)
 
 
 @query("search_with_wiki", WIKI_KW + """
@@ -152,7 +152,7 @@ h AS (SELECT query_id, doc_id, score, hyb30.rank AS fused_rank, CASE WHEN hyb30.
 SELECT query_id, doc_id, score, fused_rank, rerank_score, row_number() OVER (PARTITION BY query_id
   ORDER BY CASE WHEN fused_rank <= 20 THEN 0 ELSE 1 END, rerank_score DESC NULLS LAST, fused_rank) AS rank FROM h""")
 def rerank_apply(spark, sf):
-    ranked = _hybrid(spark, sf, 30).drop("mode")
+    ranked = base.stored(_hybrid(spark, sf, 30).drop("mode"))  # read for the scores and for the ranks
     labels = base.table(spark, sf, "labels").select("doc_id", (F.col("quality") * 2 + F.col("toxic")).cast("double").alias("score"))
     scores = ranked.select("query_id", "doc_id").join(labels, "doc_id")
     return search.rerank(ranked, scores, 20)

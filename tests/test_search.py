@@ -252,3 +252,22 @@ def test_topics_are_found_without_moving_texts(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     # the join with the events stands above the aggregate of the hits, which has no text
     assert plan.index("Join LeftSemi") < plan.index("Aggregate") < plan.index("text#")
+
+
+def test_mentions_summaries_and_pages_move_no_texts(spark):
+    from gleaner.plans import base
+
+    sf = "/root/testdata/sf0.001"
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        told = base.summaries(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        ranked = spark.createDataFrame([(1, i, 1.0, i + 1) for i in range(15)], "query_id long, doc_id long, score double, rank long")
+        page = search.page(ranked, base.texts(spark, sf), 2, 10)
+        shuffles = page._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        got = sorted(r.doc_id for r in page.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # sentences are cut below the join with the events, and a page is sent to the texts
+    assert told.index("LeftSemi") < told.index("regexp_replace(text")
+    assert shuffles == 0 and got == [10, 11, 12, 13, 14]
