@@ -58,7 +58,8 @@ def read_feed(spark: SparkSession, path: str, feed_id: int, row_tag: str = "item
 def parse_feed(payloads: DataFrame, xml: str, feed_id: str = "feed_id") -> DataFrame:
     """The same for a table holding one entry document per row."""
     entry = F.from_xml(xml, ENTRY_SCHEMA, XML_OPTIONS)
-    return entry_items(payloads.select(feed_id, entry.alias("e")).select(feed_id, "e.*"), F.col(feed_id))
+    # as a generator the entry is parsed once: in a plain column the filters on link and title would each parse it again
+    return entry_items(payloads.select(feed_id, F.inline_outer(F.array(entry))), F.col(feed_id))
 
 
 def _field(doc: Column, paths: str | Sequence[str]) -> Column:
