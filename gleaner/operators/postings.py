@@ -1,8 +1,10 @@
 """A stored keyword index: posting lists by bucket of their term, read for the asked terms only.
 
-A task cuts its documents into segments of bounded size and turns each into one list per term, so texts are never
-shuffled; the lists are, once, to their term's bucket. A list carries its documents, counts, lengths and positions and,
-for its segment, the largest count and the smallest length, which bound every score in it.
+A task cuts its documents into segments of bounded size and turns each into one list per term, so neither
+texts nor lists are shuffled: a task sorts its lists by bucket and writes its own file of each. A list carries its documents, counts, lengths and positions and,
+for its segment, the largest count and the smallest length, which bound every score in it. The positions of all its
+documents stand one after the other, without an array of their own, which would be several times their size; ``ends``
+says where those of each document end.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from ..functions.text import tokens
 
 SEGMENT_TOKENS = 2_000_000
 BUCKETS = 256
-LIST = ("segment long, term string, n int, max_tf int, min_dl int, docs array<long>, tfs array<int>, dls array<int>, places array<array<int>>")
+LIST = ("segment long, term string, n int, max_tf int, min_dl int, docs array<long>, tfs array<int>, dls array<int>, ends array<int>, places array<int>")
 
 
 def bucket_of(term: Column, buckets: int) -> Column:
@@ -37,8 +39,8 @@ def _lists(segment: int, ids: list[np.ndarray], words: list[pa.Array], lengths:
     ints = lambda a: pa.array(a.astype(np.int32))
     listed = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
     columns = [pa.array([segment]), pa.array([None], pa.string()), ints(np.array([len(doc)])), ints(np.array([0])), ints(np.array([0])), listed(pa.array(doc)),
-               listed(ints(np.zeros(len(doc)))), listed(ints(dl)), pa.array([None], pa.list_(pa.list_(pa.int32())))]
-    names = ["segment", "term", "n", "max_tf", "min_dl", "docs", "tfs", "dls", "places"]
+               listed(ints(np.zeros(len(doc)))), listed(ints(dl)), *(pa.array([None], pa.list_(pa.int32())) for _ in range(2))]
+    names = ["segment", "term", "n", "max_tf", "min_dl", "docs", "tfs", "dls", "ends", "places"]
     yield pa.RecordBatch.from_arrays(columns, names=names)
     if not size.sum():
         return
@@ -53,9 +55,11 @@ def _lists(segment: int, ids: list[np.ndarray], words: list[pa.Array], lengths:
     tf = np.diff(np.r_[begin, len(pair)])
     first = np.flatnonzero(np.r_[True, term[1:] != term[:-1]])
     cuts, sizes = np.r_[first, len(term)].astype(np.int32), dl[member]
-    places = pa.ListArray.from_arrays(ints(np.r_[begin, len(pair)]), ints(at))
+    spans = np.r_[begin, len(pair)]
+    ends = spans[1:] - np.repeat(spans[first], np.diff(cuts))
+    places = pa.ListArray.from_arrays(ints(spans[cuts]), ints(at))
     columns = [pa.array(np.full(len(first), segment)), coded.dictionary.take(pa.array(term[first])), ints(np.diff(cuts)), ints(np.maximum.reduceat(tf, first)),
-               ints(np.minimum.reduceat(sizes, first)), *(pa.ListArray.from_arrays(ints(cuts), v) for v in (pa.array(doc[member]), ints(tf), ints(sizes), places))]
+               ints(np.minimum.reduceat(sizes, first)), *(pa.ListArray.from_arrays(ints(cuts), v) for v in (pa.array(doc[member]), ints(tf), ints(sizes), ints(ends))), places]
     batch = pa.RecordBatch.from_arrays(columns, names=names)
     for low in range(0, len(batch), 4_096):
         yield batch.slice(low, 4_096)
@@ -86,8 +90,8 @@ def write_index(df: DataFrame, doc_id: str, text: Column, path: str, buckets: in
 
     rows = df.select(F.col(doc_id).cast("long").alias("doc_id"), tokens(text).alias("toks"))
     rows = rows.mapInArrow(build, LIST).withColumn("bucket", F.when(F.col("term").isNull(), -1).otherwise(bucket_of(F.col("term"), buckets)))
-    # a frequent term has one list per segment; eight shares of each bucket keep its file from being one task's
-    rows.repartition("bucket", F.pmod("segment", F.lit(8))).sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    # lists take up more than the texts and stay in the task that built them: it writes a file to each bucket's folder
+    rows.sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
 @dataclass(frozen=True)

@@ -64,7 +64,8 @@ def _evaluated(cells: DataFrame, asked: DataFrame, lists: DataFrame, avgdl: floa
     key = ["query_id", "alt", "unit"]
     rows = cells.select(*key, "segment").join(asked, key).join(lists, ["term", "segment"])
     spoken = F.size("phrases") > 0
-    zipped = F.arrays_zip("docs", "tfs", "dls", F.when(spoken, F.col("places")).otherwise(F.array()).alias("places"))
+    own = F.transform(F.arrays_zip("ends", "tfs"), lambda p: F.slice("places", p["ends"] - p["tfs"] + 1, p["tfs"]))
+    zipped = F.arrays_zip("docs", "tfs", "dls", F.when(spoken, own).otherwise(F.array()).alias("places"))
     spots = rows.select(*key, "segment", "need", "phrases", "term", "idf", F.explode(zipped).alias("p"))
     held = spots.groupBy(*key, "segment", F.col("p.docs").alias("doc_id")).agg(
         F.count("*").alias("n"), F.first("need").alias("need"), F.first("phrases").alias("phrases"),

@@ -22,11 +22,15 @@ def _finish(q) -> None:
 
 
 def _in_parts(spark, rows, part, start, parts=3):
-    """Lands ``rows`` in turn by ``part`` (0, 1, ...) and runs the stream after each: several batches, and a restart before all but the first."""
+    """Runs the stream over ``rows`` in turn by ``part`` (0, 1, ...): several batches, and a restart before all but the first.
+
+    ``rows`` are worked out and landed once, in a folder per part; a start sees the folders that have come by then.
+    """
     folder, schema = scratch_folder(spark, "landed"), rows.schema
+    rows.withColumn("_part", part).write.partitionBy("_part").parquet(folder)
     for n in range(parts):
-        rows.where(part == n).write.mode("append").parquet(folder)
-        _finish(start(jobs.file_stream(spark, folder, schema)))
+        come = ",".join(str(i) for i in range(n + 1))
+        _finish(start(jobs.file_stream(spark, f"{folder}/_part={{{come}}}", schema)))
 
 
 def _by_day(ts, *starts):
