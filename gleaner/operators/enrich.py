@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import sentences, squash, tokens
-from ..session import cut_lineage, small_side
+from ..session import cut_lineage
 from .ranking import top_per_group
 
 UNKNOWN = "unknown"
@@ -26,15 +26,35 @@ def language_profiles(docs: DataFrame, text: str = "text", lang: str = "lang") -
     return cut_lineage(profile)  # learned once, looked up many times
 
 
+COMMON_TOKENS, TOKEN_CHARS = 50_000, 64  # bound of what is broadcast: rows, and characters of each
+LANGUAGES = 64  # languages whose weights stand beside each other in such a row
+
+
 def detect_language(df: DataFrame, key: str, text: str, profiles: DataFrame, min_chars: int = 10, penalty: float = -12.0) -> DataFrame:
     """``(key, lang)``: highest sum of log weights over the tokens; ``penalty`` for a token outside a profile.
 
-    Texts under ``min_chars`` characters or without any known token are ``unknown``. The join is on the token, after
-    the tokens of a document have been counted; scores are partial aggregates per (document, language).
+    Texts under ``min_chars`` characters or without any known token are ``unknown``. The weights of the commonest tokens
+    in all languages are broadcast and added up where the text is read; only rarer tokens are shuffled to theirs.
     """
-    long_enough = F.length(squash(F.coalesce(F.col(text), F.lit("")))) >= min_chars
-    words = df.where(long_enough).select(key, F.explode_outer(tokens(F.col(text))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    counts = words.join(small_side(profiles), "token").groupBy(key, "lang").agg(F.sum(F.greatest(F.col("w") - penalty, F.lit(0.0)) * F.col("n")).alias("gain"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    # squashing the start alone tells for all but blank or short texts: what follows never shortens it
+    long_enough = F.when(F.length(squash(F.substring(whole, 1, 64))) >= min_chars, True).otherwise(F.length(squash(whole)) >= min_chars)
+    gains = profiles.select("lang", "token", "w", F.greatest(F.col("w") - penalty, F.lit(0.0)).alias("gain"))
+    langs = [r.lang for r in profiles.select("lang").distinct().limit(LANGUAGES + 1).collect()]
+    langs = langs if len(langs) <= LANGUAGES else []
+    beside = [F.max(F.when(F.col("lang").eqNullSafe(F.lit(l)), F.col("gain"))).alias(f"g{i}") for i, l in enumerate(langs)]
+    common = gains.where(F.length("token") <= TOKEN_CHARS).groupBy("token").agg(F.max("w").alias("most"), *beside)
+    common = common.orderBy(F.col("most").desc(), "token").limit(COMMON_TOKENS if langs else 0)
+    words = df.where(long_enough).select(key, F.explode_outer(tokens(F.col(text))).alias("token"))
+    rare = F.when(F.col("most").isNull(), F.col("token")).alias("rare")
+    met = cut_lineage(words.join(F.broadcast(common), "token", "left").groupBy(key, rare).agg(
+        F.count("*").alias("n"), *[F.sum(f"g{i}").alias(f"g{i}") for i in range(len(langs))]))
+    found = met.where("rare is not null").join(gains, F.col("rare") == F.col("token")).select(key, "lang", (F.col("gain") * F.col("n")).alias("gain"))
+    if langs:
+        each = F.array(*[F.struct(F.lit(l).cast("string").alias("lang"), F.col(f"g{i}").alias("gain")) for i, l in enumerate(langs)])
+        # a language without a gain, not even zero, knows none of the tokens
+        found = found.unionByName(met.where("rare is null").select(key, F.inline(each)).where("gain is not null"))
+    counts = found.groupBy(key, "lang").agg(F.sum("gain").alias("gain"))
     best = counts.groupBy(key).agg(F.min_by("lang", F.struct(-F.round("gain", 6), F.col("lang"))).alias("lang"))
     return df.select(key).join(best, key, "left").select(key, F.coalesce("lang", F.lit(UNKNOWN)).alias("lang"))
 
@@ -54,9 +74,6 @@ def needs_task(articles: DataFrame, done: DataFrame, task: str, article_topics:
     return wanted.join(done.select("article_id", "task", "content_hash"), ["article_id", "task", "content_hash"], "left_anti")
 
 
-COMMON_TOKENS, TOKEN_CHARS = 50_000, 64  # bound of what is broadcast: rows, and characters of each
-
-
 def summarize(df: DataFrame, key: str, text: str, max_points: int = 5, max_chars: int = 200) -> DataFrame:
     """Extractive summary ``(key, summary_text, key_points, confidence)``.
 

@@ -73,3 +73,28 @@ def test_posting_lists_are_not_shuffled(spark):
         assert at == len(r.places)
     found = keyword_search(index, spark.createDataFrame([(1, '"b a"'), (2, '"a b"'), (3, "c -b")], "query_id long, query string"), 5)
     assert rows(found, "query_id", "doc_id") == [(1, 0), (1, 1), (2, 0), (2, 5), (3, 3)]
+
+
+def test_languages_shuffle_rare_tokens_only(spark, monkeypatch):
+    from gleaner.operators import enrich
+
+    docs = spark.createDataFrame([("en", "the cat and the dog"), ("de", "der hund und der kater"), ("fr", "le chat et le chien der")], "lang string, text string")
+    df = spark.createDataFrame([(1, "the cat and the dog"), (2, "der kater und der hund"), (3, "le chien et le chat"), (4, "xyz xyz xyz"), (5, "the"), (6, " " * 70 + "the dog and the cat"), (7, None)], "id long, t string")
+    want = [(1, "en"), (2, "de"), (3, "fr"), (4, "unknown"), (5, "unknown"), (6, "en"), (7, "unknown")]
+    p, sent, cut = enrich.language_profiles(docs), [], enrich.cut_lineage
+    monkeypatch.setattr(enrich, "cut_lineage", lambda d: sent.append(cut(d)) or sent[-1])
+    assert rows(enrich.detect_language(df, "id", "t", p)) == want
+    assert rows(sent[-1].where("rare is not null"), "id", "rare") == [(4, "xyz")]
+    monkeypatch.setattr(enrich, "COMMON_TOKENS", 2)
+    assert rows(enrich.detect_language(df, "id", "t", p)) == want
+    monkeypatch.setattr(enrich, "LANGUAGES", 1)
+    assert rows(enrich.detect_language(df, "id", "t", p)) == want
+
+
+def test_summaries_cut_a_text_once(spark):
+    from gleaner.plans import base
+
+    sf = "/root/testdata/sf0.001"
+    for arts in (None, base.raw_articles(spark, sf)):
+        plan = base.summaries(spark, sf, arts)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("split(") == 1
