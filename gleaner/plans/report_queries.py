@@ -159,9 +159,9 @@ FROM articles a LEFT JOIN summaries USING (article_id) LEFT JOIN tr USING (artic
 LEFT JOIN wiki ON ref_id = article_id""")
 def article_detail(spark, sf):
     arts = base.articles(spark, sf)
-    found = base.mentions(spark, sf)
-    full = ls.details(arts, base.summaries(spark, sf), base.translations(spark, sf), base.entities(spark, sf, found),
-                      base.article_entities(spark, sf, found), base.topics(spark), base.article_topics(spark, sf), base.article_wiki(spark, sf))
+    found, told = base.mentions(spark, sf), base.stored(base.summaries(spark, sf))
+    full = ls.details(arts, told, base.translations(spark, sf), base.entities(spark, sf, found),
+                      base.article_entities(spark, sf, found), base.topics(spark), base.article_topics(spark, sf), base.article_wiki(spark, sf, told))
     text = lambda c: F.coalesce(c, F.lit(""))
     return full.select(
         "article_id", "title", text(F.col("summary_text")).alias("summary_text"), text(F.col("translated_content")).alias("translation"),

@@ -45,6 +45,12 @@ def test_only_words_that_begin_an_alias_are_put_together(spark):
         (1, 2, 1, "York"), (1, 2, 2, "New"), (2, 1, 1, "New")], key=repr)
 
 
+def test_details_cut_no_text_again(spark):
+    from gleaner.plans.catalog import QUERIES
+
+    assert optimized(QUERIES["article_detail"](spark, "/root/testdata/sf0.001")).count(CUT) == 0
+
+
 def test_articles_with_equal_entities_are_not_paired(spark, monkeypatch):
     from gleaner.operators import related
 
