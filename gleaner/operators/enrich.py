@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import HashingTF, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions.text import sentences, squash, tokens
+from ..functions.text import sentence_lines, squash, tokens
 from ..session import cut_lineage
 from .ranking import top_per_group
 
@@ -74,6 +77,32 @@ def needs_task(articles: DataFrame, done: DataFrame, task: str, article_topics:
     return wanted.join(done.select("article_id", "task", "content_hash"), ["article_id", "task", "content_hash"], "left_anti")
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """token, n: how many lists of a batch hold the token."""
+    for batch in batches:
+        counts = pc.list_flatten(batch.column("tokens")).value_counts()
+        yield pa.RecordBatch.from_arrays([counts.field("values"), counts.field("counts")], names=["token", "n"])
+
+
+def _weighed(batches: Iterator[pa.RecordBatch], weights: dict[str, float]) -> Iterator[pa.RecordBatch]:
+    """key, pos, rare, w, n: per list the sum and number of the known weights (rare is null), and a row per other token."""
+    for batch in batches:
+        lists = batch.column("tokens")
+        owner = np.repeat(np.arange(len(batch)), pc.list_value_length(lists).to_numpy())
+        coded = pc.list_flatten(lists).dictionary_encode()
+        code = coded.indices.to_numpy()
+        w = np.array([weights.get(t, np.nan) for t in coded.dictionary.to_pylist()], float)[code]
+        known = ~np.isnan(w)
+        n = np.bincount(owner[known], minlength=len(batch))
+        some, rest = np.flatnonzero(n), np.flatnonzero(~known)
+        total = np.bincount(owner[known], w[known], len(batch))
+        at = pa.array(np.concatenate((some, owner[rest])))
+        rare = pa.concat_arrays([pa.nulls(len(some), pa.string()), coded.dictionary.take(pa.array(code[rest]))])
+        columns = [batch.column("key").take(at), batch.column("pos").take(at), rare,
+                   pa.array(np.concatenate((total[some], np.full(len(rest), np.nan)))), pa.array(np.concatenate((n[some], np.ones(len(rest), np.int64))))]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "pos", "rare", "w", "n"])
+
+
 def summarize(df: DataFrame, key: str, text: str, max_points: int = 5, max_chars: int = 200) -> DataFrame:
     """Extractive summary ``(key, summary_text, key_points, confidence)``.
 
@@ -86,15 +115,16 @@ def summarize(df: DataFrame, key: str, text: str, max_points: int = 5, max_chars
     read, so no stop word is ever a shuffle key; only rare tokens travel to their weight.
     """
     # outer forms: for the plain ones the optimizer adds size filters that cut the texts again
-    words = df.select(key, F.posexplode_outer(sentences(F.col(text))).alias("pos", "sentence")).select(
-        key, "pos", F.explode_outer(F.array_distinct(tokens(F.col("sentence")))).alias("token")).where("token is not null")
-    freq = cut_lineage(words.groupBy("token").agg(F.count("*").alias("df")))
+    words = df.select(F.col(key).alias("key"), F.posexplode_outer(sentence_lines(F.col(text))).alias("pos", "sentence")).where("pos is not null").select(
+        "key", "pos", F.array_distinct(tokens(F.col("sentence"))).alias("tokens"))
+    freq = cut_lineage(words.select("tokens").mapInArrow(_counted, "token string, n long").groupBy("token").agg(F.sum("n").alias("df")))
     n = df.agg(F.count("*")).scalar()
     weights = freq.select("token", F.ln(1 + n / F.col("df")).alias("w"))
     common = freq.where(F.length("token") <= TOKEN_CHARS).orderBy(F.col("df").desc(), "token").limit(COMMON_TOKENS)
-    common = common.select("token", F.ln(1 + n / F.col("df")).alias("w"))
-    rare = F.when(F.col("w").isNull(), F.col("token")).alias("rare")
-    met = cut_lineage(words.join(F.broadcast(common), "token", "left").groupBy(key, "pos", rare).agg(F.sum("w").alias("w"), F.count("*").alias("n")))
+    common = common.select("token", F.ln(1 + n / F.col("df")).alias("w")).toArrow()  # of bounded size, like its broadcast
+    shared = df.sparkSession.sparkContext.broadcast(dict(zip(common.column("token").to_pylist(), common.column("w").to_pylist())))
+    schema = f"key {df.schema[key].dataType.simpleString()}, pos int, rare string, w double, n long"
+    met = cut_lineage(words.mapInArrow(lambda batches: _weighed(batches, shared.value), schema).withColumnRenamed("key", key))
     looked_up = met.where("rare is not null").join(weights.withColumnRenamed("w", "found"), F.col("rare") == F.col("token")).select(key, "pos", F.col("found").alias("w"), "n")
     scores = met.where("rare is null").select(key, "pos", "w", "n").unionAll(looked_up).groupBy(key, "pos").agg(
         F.round(F.sum("w") / F.sum("n"), 6).alias("score"))
@@ -102,11 +132,11 @@ def summarize(df: DataFrame, key: str, text: str, max_points: int = 5, max_chars
     ranked = top_per_group(scores.withColumn("total", total), [key], [F.col("score").desc(), F.col("pos")], max_points)
     points = ranked.groupBy(key).agg(F.sort_array(F.collect_list("pos")).alias("p"), F.sum("score").alias("kept"), F.first("total").alias("total"))
     # only the positions travel; the sentences are cut again from the text of their document
-    lines = F.transform("p", lambda i: F.element_at(F.col("s"), i + 1))
+    lines = F.transform("p", lambda i: squash(F.element_at(F.col("s"), i + 1)))
     upto = lambda i: F.aggregate(F.slice("key_points", F.lit(1), i + 1), F.lit(-1), lambda length, s: length + 1 + F.length(s))
     leading = F.filter("key_points", lambda s, i: (i == 0) | (upto(i) <= max_chars))
     return (
-        df.select(key, sentences(F.col(text)).alias("s")).join(points, key)
+        df.select(key, sentence_lines(F.col(text)).alias("s")).join(points, key)
         .withColumn("key_points", lines)
         .select(key, F.array_join(leading, " ").alias("summary_text"), "key_points",
                 F.round(F.col("kept") / F.col("total"), 6).alias("confidence"))

@@ -51,6 +51,26 @@ def test_details_cut_no_text_again(spark):
     assert optimized(QUERIES["article_detail"](spark, "/root/testdata/sf0.001")).count(CUT) == 0
 
 
+def test_tokens_of_sentences_are_counted_by_batch(spark):
+    from gleaner.operators import enrich
+
+    from .test_summary import TEXTS, expected
+
+    df = spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").coalesce(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        got = sorted((r.doc_id, r.summary_text, r.key_points, round(r.confidence, 4)) for r in enrich.summarize(df, "doc_id", "text").collect())
+        batches = [pa.record_batch([pa.array([1, 2, 3]), pa.array([0, 0, 1]), pa.array([["a", "b"], [], ["b", "c"]])], ["key", "pos", "tokens"])]
+        counted, weighed = next(enrich._counted(iter(batches))), next(enrich._weighed(iter(batches), {"a": 1.0, "b": 2.0}))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == expected(TEXTS)
+    assert sorted(map(tuple, zip(*counted.to_pydict().values()))) == [("a", 1), ("b", 2), ("c", 1)]
+    assert weighed.select(["key", "pos", "rare", "n"]).to_pylist() == [
+        {"key": 1, "pos": 0, "rare": None, "n": 2}, {"key": 3, "pos": 1, "rare": None, "n": 1}, {"key": 3, "pos": 1, "rare": "c", "n": 1}]
+    assert weighed.column("w").to_pylist()[:2] == [3.0, 2.0]
+
+
 def test_articles_with_equal_entities_are_not_paired(spark, monkeypatch):
     from gleaner.operators import related
 
