@@ -17,13 +17,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..session import cut_lineage
+from ..session import by_shuffle, cut_lineage
 from .ranking import top_per_group
 
 SAMPLE = 10_000  # vectors that the centroids are fitted on, about
 CELLS = 1_024  # at most
 PROBES = 4  # cells that a query asks first
-BLOCK_ROWS = 2_048  # vectors and queries of a block
+BLOCK_ROWS = (2_048, 32_768)  # vectors and queries of a block, at least and at most
+BLOCKS = 16  # that a corpus makes, until its blocks are the largest; as often is a query sent
+SCORES = 4_000_000  # of a block that are held at a time
 ASK_ROWS = 32_768  # queries times packs in a batch of asks
 MARGIN = 2e-6  # of a similarity: results are ranked on six digits
 NO_CELL = -1  # vectors without length; asked by all
@@ -80,15 +82,15 @@ def _celled(corpus: DataFrame, centres: np.ndarray, dim: int) -> DataFrame:
 
 
 def _choose(queries: DataFrame, centres: np.ndarray, probes: int, reach: float | None = None, rows: int = ASK_ROWS) -> DataFrame:
-    """query_id, grp, unit, floor, pack: the packs of the ``probes`` nearest of a query's cells; or, with ``reach``, all others its ``floor`` leaves open.
+    """row, query_id, grp, floor, pack: the packs of the ``probes`` nearest of a query's cells; or, with ``reach``, all others its ``floor`` leaves open.
 
     ``queries`` carries the cells of its group as ``cells`` (cell, radius, pack). No batch has more than ``rows`` rows, or one query's."""
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def asks(batch: pa.RecordBatch, who: list[int], packs: list[np.ndarray]) -> pa.RecordBatch:
             at = pa.array(np.repeat(np.array(who, np.int64), [len(p) for p in packs]))
-            return pa.RecordBatch.from_arrays([*(batch.column(n).take(at) for n in ("query_id", "grp", "unit", "floor")), pa.array(np.concatenate(packs).astype(np.int32))],
-                                              names=["query_id", "grp", "unit", "floor", "pack"])
+            return pa.RecordBatch.from_arrays([*(batch.column(n).take(at) for n in ("row", "query_id", "grp", "floor")), pa.array(np.concatenate(packs).astype(np.int32))],
+                                              names=["row", "query_id", "grp", "floor", "pack"])
 
         for batch in batches:
             who, packs, held = [], [], 0
@@ -115,17 +117,20 @@ def _choose(queries: DataFrame, centres: np.ndarray, probes: int, reach: float |
             if held:
                 yield asks(batch, who, packs)
 
-    return queries.mapInArrow(choose, "query_id long, grp string, unit binary, floor double, pack int")
+    return queries.mapInArrow(choose, "row long, query_id long, grp string, floor double, pack int")
 
 
-def _meet(asked: DataFrame, docs: DataFrame, dim: int, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
-    """query_id, doc_id, similarity: the best ``k`` documents of every block of a pack for the queries that ask it, if they reach the query's floor."""
+def _meet(asked: DataFrame, units: DataFrame, docs: DataFrame, dim: int, k: int, exclude_self: bool, block_rows: int) -> DataFrame:
+    """query_id, doc_id, similarity: the best ``k`` documents of every block of a pack for the queries that ask it, if they reach the query's floor.
+
+    ``asked`` names the rows of ``units``, which join last: a vector is shuffled once for a pack and stored for none."""
     pack = ["grp", "pack"]
     asks = asked.groupBy(*pack).agg(F.ceil(F.count("*") / block_rows).alias("ask_blocks"))
     holds = docs.groupBy(*pack).agg(F.ceil(F.count("*") / block_rows).alias("held_blocks"))
     sizes = cut_lineage(asks.join(holds, pack))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
-    left = asked.join(sizes, pack).select(*pack, "query_id", "unit", "floor", F.pmod(F.xxhash64("query_id"), "ask_blocks").alias("ask"), every("held_blocks").alias("held"))
+    left = asked.join(sizes, pack).select(*pack, "row", "query_id", "floor", F.pmod(F.xxhash64("query_id"), "ask_blocks").alias("ask"), every("held_blocks").alias("held"))
+    left = left.join(by_shuffle(units.select("row", "unit")), "row").drop("row")
     right = docs.join(sizes, pack).select(*pack, "doc_id", "unit", F.pmod(F.xxhash64("doc_id"), "held_blocks").alias("held"), every("ask_blocks").alias("ask"))
 
     def best(queries: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
@@ -135,28 +140,32 @@ def _meet(asked: DataFrame, docs: DataFrame, dim: int, k: int, exclude_self: boo
         a, b = (np.frombuffer(b"".join(x.unit), np.float64).reshape(len(x), dim) for x in (queries, held))
         ids, asking = held.doc_id.to_numpy(), queries.query_id.to_numpy()
         first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
-        scores = np.round(np.maximum.reduceat(a @ b.T, first, axis=1), 6)
-        ids = ids[first]
-        scores[scores < queries.floor.to_numpy()[:, None]] = -np.inf
-        if exclude_self:
-            scores[asking[:, None] == ids[None, :]] = -np.inf
-        if len(ids) > k:  # ties at the limit are kept and settled by id
-            limit = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
-            q, d = np.nonzero((scores >= limit[:, None]) & np.isfinite(scores))
-        else:
-            q, d = np.nonzero(np.isfinite(scores))
-        order = np.lexsort((ids[d], -scores[q, d], q))
-        q, d = q[order], d[order]
-        place = np.arange(len(q)) - np.searchsorted(q, q)
-        q, d = q[place < k], d[place < k]
-        return pd.DataFrame({"query_id": asking[q], "doc_id": ids[d], "similarity": scores[q, d]})
+        ids, floors, parts = ids[first], queries.floor.to_numpy(), []
+        step = max(1, SCORES // len(b))
+        for low in range(0, len(a), step):
+            mine, floor = asking[low:low + step], floors[low:low + step]
+            scores = np.round(np.maximum.reduceat(a[low:low + step] @ b.T, first, axis=1), 6)
+            scores[scores < floor[:, None]] = -np.inf
+            if exclude_self:
+                scores[mine[:, None] == ids[None, :]] = -np.inf
+            if len(ids) > k:  # ties at the limit are kept and settled by id
+                limit = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+                q, d = np.nonzero((scores >= limit[:, None]) & np.isfinite(scores))
+            else:
+                q, d = np.nonzero(np.isfinite(scores))
+            order = np.lexsort((ids[d], -scores[q, d], q))
+            q, d = q[order], d[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            q, d = q[place < k], d[place < k]
+            parts.append(pd.DataFrame({"query_id": mine[q], "doc_id": ids[d], "similarity": scores[q, d]}))
+        return pd.concat(parts)
 
     keys = [*pack, "ask", "held"]
     return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(best, "query_id long, doc_id long, similarity double")
 
 
 def nearest(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = None, exclude_self: bool = False, reach: float = 1.0,
-            probes: int = PROBES, sample: int = SAMPLE, block_rows: int = BLOCK_ROWS) -> DataFrame:
+            probes: int = PROBES, sample: int = SAMPLE, block_rows: int | None = None) -> DataFrame:
     """``(query_id, doc_id, similarity, rank)``: the ``k`` documents of highest cosine per query.
 
     ``corpus`` has doc_id, vector (several rows per document allowed, the best one counts), ``queries`` has query_id,
@@ -165,6 +174,9 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = N
 
     ``reach`` is the share of a cell's radius that is taken off its angle: 1 gives the true neighbours, less leaves out
     cells that could only hold a few; with 0 no cell is asked whose centroid is farther than the k-th best.
+
+    Without ``block_rows`` a block holds a sixteenth of the corpus within ``BLOCK_ROWS``: what is shuffled is blocks met
+    with blocks, so their number has to stay.
     """
     grp = (F.coalesce(F.col(group).cast("string"), F.lit("\0")) if group else F.lit("")).alias("grp")
     vector = F.col("vector").cast("array<double>").alias("vector")
@@ -174,25 +186,29 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = N
         # read three times below; a corpus is often the end of a long filter
         held = cut_lineage(corpus.where(F.size("vector") == dim).select(F.col("doc_id").cast("long").alias("doc_id"), grp, "vector")).withColumn("vector", vector)
         asked = queries.where(F.size("vector") == dim).select(F.col("query_id").cast("long").alias("query_id"), grp, vector)
-        centres = fit_centroids(held, dim, held.count(), sample)
+        count = held.count()
+        size = block_rows or min(max(BLOCK_ROWS[0], -(-count // BLOCKS)), BLOCK_ROWS[1])
+        centres = fit_centroids(held, dim, count, sample)
         docs = cut_lineage(_celled(held, centres, dim))
         cells = docs.groupBy("grp", "cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n"))
         # cells are packed to about a block, so that a query is sent once for all it asks of a pack; at most CELLS + 1 of a group
         before = F.sum("n").over(Window.partitionBy("grp").orderBy("cell")) - F.col("n")
-        cells = cut_lineage(cells.select("grp", "cell", "radius", F.floor(before / block_rows).cast("int").alias("pack")))
+        cells = cut_lineage(cells.select("grp", "cell", "radius", F.floor(before / size).cast("int").alias("pack")))
         docs = cut_lineage(docs.join(cells.select("grp", "cell", "pack"), ["grp", "cell"]).select("grp", "pack", "doc_id", "unit"))
         cells = cells.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("cell", "radius", "pack"))).alias("cells"))
         units = asked.mapInArrow(lambda batches, dim=dim: (
             pa.RecordBatch.from_arrays([b.column("query_id"), b.column("grp"), _packed(_unit(_matrix(b.column("vector"), dim)))], names=["query_id", "grp", "unit"]) for b in batches),
             "query_id long, grp string, unit binary")
-        units = cut_lineage(units.join(cells, "grp"))
-        found = _meet(_choose(units.withColumn("floor", F.lit(-9.0)), centres, probes), docs, dim, k, exclude_self, block_rows)
+        # a query may have several vectors: rows are numbered before they are written
+        units = cut_lineage(units.withColumn("row", F.monotonically_increasing_id()))
+        found = _meet(cut_lineage(_choose(units.withColumn("floor", F.lit(-9.0)).join(cells, "grp"), centres, probes)), units, docs, dim, k, exclude_self, size)
         found = cut_lineage(found)
         once = found.groupBy("query_id", "doc_id").agg(F.max("similarity").alias("similarity"))
         top = top_per_group(once, ["query_id"], [F.col("similarity").desc(), F.col("doc_id")], k)
         floor = top.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("similarity")).alias("floor"))
-        open_ = units.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-9.0)))
-        found = found.unionByName(_meet(cut_lineage(_choose(open_, centres, probes, reach)), docs, dim, k, exclude_self, block_rows))
+        # the list of cells is longer than a vector: it comes last and is not shuffled with the queries
+        open_ = units.join(floor, "query_id", "left").withColumn("floor", F.coalesce("floor", F.lit(-9.0))).join(cells, "grp")
+        found = found.unionByName(_meet(cut_lineage(_choose(open_, centres, probes, reach)), units, docs, dim, k, exclude_self, size))
         parts.append(found)
     if not parts:
         parts = [queries.sparkSession.createDataFrame([], "query_id long, doc_id long, similarity double")]
@@ -233,8 +249,9 @@ def similar(vectors: DataFrame, articles: DataFrame, article_topics: DataFrame,
         vectors = vectors.where(F.col("model") == model)
     side = vectors.select(F.col("article_id").alias("doc_id"), "vector").join(lang, "doc_id")
     asked = side if targets is None else side.join(targets.select(F.col("article_id").alias("doc_id")), "doc_id", "left_semi")
-    found = nearest(side.where("live").drop("live"), asked.select(F.col("doc_id").alias("query_id"), "vector", "lang"),
-                    k * fetch, group="lang", exclude_self=True, reach=reach)
+    # read twice below
+    found = cut_lineage(nearest(side.where("live").drop("live"), asked.select(F.col("doc_id").alias("query_id"), "vector", "lang"),
+                                k * fetch, group="lang", exclude_self=True, reach=reach))
     mine = article_topics.select(F.col("article_id").alias("query_id"), "topic_id")
     theirs = article_topics.select(F.col("article_id").alias("doc_id"), "topic_id", "score")
     shared = (

@@ -5,6 +5,7 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from gleaner.operators import dedup, entities as ent
@@ -150,3 +151,29 @@ def test_rarer_terms_and_split_cells_give_the_same_pairs(spark):
     pairs = spark.createDataFrame([(i, j, (i + j) % 3) for i in range(80) for j in range(0, i, 7)], "a long, b long, cell long")
     compared = lambda n: rows(dedup._compared(pairs, vectors, n).select("a", "b", F.round("product", 9)))
     assert compared(5) == compared(50) == compared(5000) and len(compared(5)) == pairs.count()
+
+
+def test_vectors_are_not_written_for_every_pack(spark, monkeypatch):
+    from gleaner.operators import vector_search as V
+
+    rng = np.random.default_rng(5)
+    vecs = rng.normal(size=(400, 8))
+    vecs[7:60] = vecs[6]  # ties at the limit
+    corpus = spark.createDataFrame([(i // 2, v.tolist()) for i, v in enumerate(vecs)], "doc_id long, vector array<double>")
+    written = []
+
+    def cut(df):
+        written.append(cut_lineage(df))
+        return written[-1]
+
+    monkeypatch.setattr(V, "cut_lineage", cut)
+    monkeypatch.setattr(V, "SCORES", 900)  # several parts of a block
+    got = V.nearest(corpus, corpus.withColumnRenamed("doc_id", "query_id"), 5, exclude_self=True, block_rows=40)
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    sims = np.round((unit @ unit.T).reshape(200, 2, 200, 2).max(axis=(1, 3)), 6)  # two vectors of a query and of a document
+    np.fill_diagonal(sims, -9)
+    assert {(r.query_id, r["rank"]): (r.doc_id, r.similarity) for r in got.collect()} == {
+        (i, n + 1): (int(j), float(sims[i, j])) for i in range(200) for n, j in enumerate(np.lexsort((np.arange(200), -sims[i]))[:5])}
+    # a vector is written with the corpus and the queries, not with what is asked of ten packs
+    assert max(d.count() for d in written if "unit" in d.columns) <= 400
+    assert V.nearest(corpus, corpus.withColumnRenamed("doc_id", "query_id"), 5, exclude_self=True).count() == 1000
