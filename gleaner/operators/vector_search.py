@@ -24,7 +24,7 @@ SAMPLE = 10_000  # vectors that the centroids are fitted on, about
 CELLS = 1_024  # at most
 PROBES = 4  # cells that a query asks first
 BLOCK_ROWS = (2_048, 32_768)  # vectors and queries of a block, at least and at most
-BLOCKS = 16  # that a corpus makes, until its blocks are the largest; as often is a query sent
+BLOCKS = 4  # that a corpus makes, until its blocks are the largest; as often is a query sent
 SCORES = 4_000_000  # of a block that are held at a time
 ASK_ROWS = 32_768  # queries times packs in a batch of asks
 MARGIN = 2e-6  # of a similarity: results are ranked on six digits
@@ -175,7 +175,7 @@ def nearest(corpus: DataFrame, queries: DataFrame, k: int, group: str | None = N
     ``reach`` is the share of a cell's radius that is taken off its angle: 1 gives the true neighbours, less leaves out
     cells that could only hold a few; with 0 no cell is asked whose centroid is farther than the k-th best.
 
-    Without ``block_rows`` a block holds a sixteenth of the corpus within ``BLOCK_ROWS``: what is shuffled is blocks met
+    Without ``block_rows`` a block holds a quarter of the corpus within ``BLOCK_ROWS``: what is shuffled is blocks met
     with blocks, so their number has to stay.
     """
     grp = (F.coalesce(F.col(group).cast("string"), F.lit("\0")) if group else F.lit("")).alias("grp")
